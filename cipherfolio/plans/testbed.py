@@ -125,3 +125,38 @@ def damaged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when kind = 1 then confidence + 1.5D when kind = 3 then double('NaN') else confidence end as confidence",
     )
     return rows.unionByName(broken.select(*rows.columns))
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored scan per order; every fourth is a rescore of the one before."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "lpad(cast(o_orderkey as string), 12, '0') as scan_id",
+        "concat('repo', cast(o_custkey % 40 as string)) as ref",
+        "case when o_custkey % 40 < 30 then concat('sys', cast(o_custkey % 40 as string)) end as system",
+        "case when o_orderkey % 4 = 3 then 'rescore' when o_orderkey % 16 = 5 then 'fix' else 'scan' end as kind",
+        "case when o_orderkey % 4 = 3 then lpad(cast(o_orderkey - 1 as string), 12, '0') end as parent_scan_id",
+        "o_orderdate as created_at",
+        "case when o_orderkey % 5 = 0 then null when o_orderkey % 5 = 1 then array() else array('source', 'config') end as scanners_ran",
+        "cast(o_custkey % 7 as bigint) as critical",
+        "cast(o_orderkey % 5 as bigint) as high",
+        "cast(o_orderkey % 3 as bigint) as coverage_gaps",
+    )
+
+
+def page_gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages as examined files: unbalanced paragraphs are partial, a stray close is unparsed."""
+    pages = table(spark, sf_dir, "pages").selectExpr(
+        "'base' as scan_id",
+        "element_at(array('source', 'config', 'deps'), cast(page_id % 3 as int) + 1) as scanner",
+        "url as path",
+        "length(html) - length(replace(html, '<p>', '')) as opened",
+        "length(html) - length(replace(html, '</p>', '')) as closed",
+        "html",
+    )
+    gaps = pages.filter("opened * 4 <> closed * 3").selectExpr(
+        "scan_id", "scanner", "path",
+        "case when closed * 3 > opened * 4 then 'unparsed' else 'partially-parsed' end as kind",
+        "'unbalanced paragraphs' as reason",
+    )
+    examined = pages.groupBy("scan_id", "scanner").agg(F.count_distinct("path").alias("examined"))
+    return gaps, examined
