@@ -160,3 +160,63 @@ def page_gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     examined = pages.groupBy("scan_id", "scanner").agg(F.count_distinct("path").alias("examined"))
     return gaps, examined
+
+
+# Text of configuration files, package databases, manifests and code, built
+# from part rows. The expressions mean the same in both SQL dialects.
+NGINX_TEXT = """concat_ws(chr(10), concat('# ', p_name, ' ssl_protocols TLSv1;'), 'http {', '  map $host $x {', '    default ssl_ciphers;', '  }', '  server {',
+  CASE WHEN p_size % 3 = 0 THEN '    listen [::]:8443;' ELSE '    listen 443 ssl; # tls' END,
+  CASE WHEN p_size % 5 <> 0 THEN concat('    server_name host', p_partkey % 50, '.example alt.example;') END,
+  CASE WHEN p_size % 4 = 0 THEN '    ssl_protocols TLSv1.1 TLSv1.2;' WHEN p_size % 4 = 1 THEN '    ssl_protocols TLSv1.3;' END,
+  '    location / {', '      ssl_ciphers INNER:IGNORED;', '    }',
+  CASE WHEN p_size % 2 = 0 THEN '    ssl_ciphers ECDHE-A:ECDHE-B;' END, CASE WHEN p_size % 6 = 0 THEN '    ssl_ciphers LAST-WINS:;' END,
+  CASE WHEN p_size % 7 < 3 THEN '    ssl_ecdh_curve X25519MLKEM768:P-256;' WHEN p_size % 7 < 5 THEN '    ssl_ecdh_curve P-384;' END,
+  CASE WHEN p_size % 9 = 0 THEN concat('    ssl_certificate /etc/ssl/', p_partkey, '.pem;') END,
+  '  }', '  server {', '    listen 80;', '    server_name plain.example;',
+  CASE WHEN p_size % 11 = 0 THEN '    ssl_protocols SSLv3;' END, '  }', CASE WHEN p_size % 13 = 0 THEN '}' END, '}')"""
+SSHD_TEXT = """concat_ws(chr(10), concat('# Ciphers ', p_name), CASE WHEN p_size % 2 = 0 THEN 'KexAlgorithms mlkem768x25519-sha256' END,
+  CASE WHEN p_size % 3 = 0 THEN 'Ciphers aes256-gcm@openssh.com,aes128-ctr   # fast' END, 'Port 22',
+  CASE WHEN p_size % 5 < 3 THEN '  ciphers 3des-cbc' END, 'kexalgorithms diffie-hellman-group14-sha1', CASE WHEN p_size % 7 = 0 THEN 'MACs hmac-md5' END)"""
+OPENSSL_TEXT = """concat_ws(chr(10), 'Groups = before', '[openssl_init]', 'Groups = elsewhere', '[ System_Default_Sect ] # here',
+  CASE WHEN p_size % 2 = 0 THEN 'Groups = X25519MLKEM768:P-256' END, CASE WHEN p_size % 3 = 0 THEN '# MinProtocol = TLSv1' END,
+  CASE WHEN p_size % 3 < 2 THEN 'MinProtocol = TLSv1.2' END, CASE WHEN p_size % 5 = 0 THEN 'CipherString = DEFAULT:@SECLEVEL=2' END,
+  CASE WHEN p_size % 4 = 0 THEN 'minprotocol = TLSv1.3' END, '[other]', 'MaxProtocol = TLSv1.1')"""
+DPKG_TEXT = """concat_ws(chr(10), concat('Package: ', CASE p_size % 4 WHEN 0 THEN 'libssl3' WHEN 1 THEN 'libgnutls30' WHEN 2 THEN 'OpenSSL' ELSE 'bash' END),
+  CASE WHEN p_size % 9 = 0 THEN 'Status: deinstall ok config-files' ELSE 'Status: install ok installed' END,
+  CASE WHEN p_size % 2 = 0 THEN 'Source: openssl' END, concat('Version: ', CASE p_size % 3 WHEN 0 THEN '1:3.' ELSE '3.' END, p_size % 8, '.', p_partkey % 20, '-0ubuntu1'),
+  'Description: text', ' Version: 9.9.9', '', concat('Package: tool', p_partkey % 10), 'Status: install ok installed', 'Version: 1.0', '')"""
+APK_TEXT = """concat_ws(chr(10), CASE WHEN p_size % 3 = 0 THEN 'P:libcrypto3' ELSE 'P:musl' END, concat('V:3.', p_size % 8, '.', p_partkey % 10, '-r0'), 'o:openssl', '', 'P:broken', '')"""
+REQUIREMENTS_TEXT = """concat_ws(chr(10), '# pinned', CASE WHEN p_size % 2 = 0 THEN concat('cryptography==42.0.', p_partkey % 9) ELSE 'cryptography>=41.0,<43' END, 'requests>=2.31', 'PyJWT==2.8.0  # tokens')"""
+POETRY_TEXT = """concat_ws(chr(10), '[[package]]', 'name = "cryptography"', concat('version = "43.0.', p_partkey % 9, '"'), '', '[[package]]', 'name = "click"', 'version = "8.1.7"')"""
+GO_MOD_TEXT = """concat_ws(chr(10), 'module example.com/app', 'require (', concat(chr(9), 'golang.org/x/crypto v0.', p_size, '.0 // indirect'), chr(9) || 'github.com/pkg/errors v0.9.1', ')')"""
+PACKAGE_JSON_TEXT = """concat('{"dependencies": {"node-forge": "^1.', p_size % 4, '.1", "left-pad": "1.3.0"}, "devDependencies": {"elliptic": "6.5.', p_size % 6, '"}}')"""
+CODE_TEXT = """concat_ws(chr(10), concat('# ', p_name),
+  CASE p_size % 6 WHEN 0 THEN concat('key = rsa.generate_private_key(public_exponent=65537, key_size=', 1024 * (1 + p_size % 4), ')')
+    WHEN 1 THEN 'key = rsa.generate_private_key(public_exponent=65537, key_size=bits)' WHEN 2 THEN 'digest = hashlib.md5(data).hexdigest()'
+    WHEN 3 THEN 'c = Cipher(algorithms.AES(k), modes.ECB())' WHEN 4 THEN 'curve = ec.generate_private_key(ec.SECP256R1())' ELSE 'print("nothing here")' END,
+  CASE WHEN p_size % 5 = 0 THEN concat('API_KEY = "', md5(concat('k', p_partkey)), '"') END,
+  CASE WHEN p_size % 10 = 0 THEN 'cipher = AES.new(API_KEY, AES.MODE_CBC)' END,
+  CASE WHEN p_size % 7 = 0 THEN 'k2 = rsa.generate_private_key(key_size=int(os.environ["BITS"])).sign(data)' END)"""
+
+
+def text_files(spark: SparkSession, sf_dir: str, path: str, text: str) -> DataFrame:
+    """One file per part; ``path`` and ``text`` are SQL over part columns."""
+    return table(spark, sf_dir, "part").selectExpr("'base' as scan_id", "concat('sys', p_partkey % 25) as system", f"{path} as path", f"{text} as text")
+
+
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests and lockfiles, some beside each other and some vendored."""
+    folder = "concat('repo/p', p_partkey, '/"
+    kinds = (
+        (folder + "requirements.txt')", REQUIREMENTS_TEXT, "true"),
+        (folder + "poetry.lock')", POETRY_TEXT, "p_size % 3 = 0"),
+        (folder + "go.mod')", GO_MOD_TEXT, "p_size % 4 = 0"),
+        (folder + "package.json')", PACKAGE_JSON_TEXT, "p_size % 5 < 3"),
+        (folder + "node_modules/x/package.json')", PACKAGE_JSON_TEXT, "p_size % 5 = 0"),
+    )
+    part = table(spark, sf_dir, "part")
+    rows = None
+    for path, text, when in kinds:
+        one = part.where(when).selectExpr("'base' as scan_id", "concat('sys', p_partkey % 25) as system", f"{path} as path", f"{text} as text")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
