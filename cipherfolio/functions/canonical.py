@@ -6,6 +6,8 @@ the JVM and fuses into whatever projection uses it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,10 +47,18 @@ BLANKS = " \t\n\r\x0b\x0c"
 
 
 def literal_map(table: dict[str, object]) -> Column:
-    """A small constant lookup table as a map literal."""
+    """A small constant lookup table; Catalyst folds it to one map literal."""
+    if all(isinstance(value, str) for value in table.values()):
+        packed = "\x1e".join(f"{key}\x1f{value}" for key, value in table.items())
+        return F.str_to_map(F.lit(packed), F.lit("\x1e"), F.lit("\x1f"))
     return F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
 
 
+def literal_words(words: Sequence[str]) -> Column:
+    """A constant list of words, folded to one array literal."""
+    return F.split(F.lit("\x1e".join(words)), "\x1e")
+
+
 def lookup(table: dict[str, object], key: Column) -> Column:
     """``table[key]``, NULL on a miss."""
     return F.try_element_at(literal_map(table), key)
@@ -118,12 +128,15 @@ PARAM_COERCIONS = {
 def canonical_params(params: Column) -> Column:
     """Known params in canonical form, everything else as written. Idempotent."""
 
+    by_rule: dict[object, list[str]] = {}
+    for name, rule in PARAM_COERCIONS.items():
+        by_rule.setdefault(rule, []).append(name)
+
     def coerce(key: Column, value: Column) -> Column:
-        chain = None
-        for name, rule in PARAM_COERCIONS.items():
-            fixed = F.coalesce(rule(value), value)
-            chain = F.when(key == name, fixed) if chain is None else chain.when(key == name, fixed)
-        return chain.otherwise(value)
+        chain = F
+        for rule, names in by_rule.items():
+            chain = chain.when(key.isin(*names), rule(value))
+        return F.coalesce(chain, value)
 
     return F.transform_values(params, coerce)
 

@@ -28,3 +28,12 @@ def durable(rows: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return rows.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core for costly per-row work on an input of few splits.
+
+    A large input already has more splits than cores and is left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from cipherfolio.functions import redact as R
+from cipherfolio.operators.durable import durable, spread
 from cipherfolio.plans import testbed as B
 from cipherfolio.plans.inventory_queries import joined, param
 from cipherfolio.sources import bytescan, config_text, detect, files, packages
@@ -90,7 +91,7 @@ TEXT_RULES = (
 def detect_documents(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents").selectExpr(
         "'base' as scan_id", "source as system", "concat('doc/', doc_id) as path", "text", "'text' as language")
-    found = detect.matches(files.lines(docs), TEXT_RULES)
+    found = detect.matches(files.lines(spread(docs)), TEXT_RULES)
     return found.groupBy("path", "line_no", "rule_id", param("host").alias("host"), "holder", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -98,7 +99,7 @@ def candidate_fold(spark, sf_dir):
     """Documents with a license line confirm the tokens of their source."""
     docs = B.table(spark, sf_dir, "documents").selectExpr(
         "'base' as scan_id", "source as system", "source as path", "text", "'text' as language")
-    found = detect.annotate(detect.matches(files.lines(docs), TEXT_RULES))
+    found = detect.annotate(durable(detect.matches(files.lines(spread(docs)), TEXT_RULES)))
     marked = found.withColumn("holder", F.when(F.col("rule_id") == "doc-license", F.lit("token")).otherwise(F.col("holder")))
     rows = detect.fold_candidates(marked)
     return rows.groupBy("path", "algorithm", "rule_id").agg(F.count(F.lit(1)).alias("n"))
@@ -138,22 +139,23 @@ def pem_blocks(spark, sf_dir):
 
 
 def _redacted(spark, sf_dir, name, keys, text):
-    rows = B.table(spark, sf_dir, name)
-    fixed = R.redact_text(F.col(text), True, SECRET_WORDS)
-    return rows.select(*keys, F.md5(fixed).alias("digest"), F.length(fixed).cast("bigint").alias("length"), (fixed != F.col(text)).alias("changed"))
+    rows = spread(B.table(spark, sf_dir, name).select(*keys, text))
+    fixed = rows.withColumn("fixed", R.redact_text(F.col(text), True, SECRET_WORDS))
+    return fixed.select(
+        *keys, F.md5("fixed").alias("digest"), F.length("fixed").cast("bigint").alias("length"), (F.col("fixed") != F.col(text)).alias("changed"))
 
 
 def redact_audit(spark, sf_dir):
     """Which rule acted how often in which column, never on what."""
     parts = None
     for name, text in (("documents", "text"), ("conversations", "text"), ("pages", "html")):
-        one = B.table(spark, sf_dir, name).select(F.lit(f"{name}.{text}").alias("field"), F.explode(R.rules_hit(F.col(text), True, SECRET_WORDS)).alias("rule"))
+        one = spread(B.table(spark, sf_dir, name).select(text)).select(F.lit(f"{name}.{text}").alias("field"), F.explode(R.rules_hit(F.col(text), True, SECRET_WORDS)).alias("rule"))
         parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy("field", "rule").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def text_entropy(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select("doc_id", F.round(R.entropy(F.col("text")), 5).alias("bits"))
+    return spread(B.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.round(R.entropy(F.col("text")), 5).alias("bits"))
 
 
 QUERIES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cipherfolio.operators.durable import spread
 from cipherfolio.schema import FINDING_COLUMNS
 
 
@@ -29,7 +30,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_name")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    joined = items.join(parts, "l_partkey").join(suppliers, "l_suppkey")
+    joined = spread(items).join(parts, "l_partkey").join(suppliers, "l_suppkey")
     numbered = joined.selectExpr(
         "*",
         "cast(l_partkey % 16 as int) as i",

@@ -13,12 +13,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherfolio import schema as S
 from cipherfolio.functions import redact as R
 from cipherfolio.knowledge import HERE, KnowledgeError, read_table
+from cipherfolio.operators.durable import durable
 from cipherfolio.sources import files as T
 
 # Confidence of an unresolved parameter, symbol params, prefixes.
@@ -115,66 +116,78 @@ def as_symbol(text: Column) -> Column:
     return F.when(text.rlike(QUOTED_LITERAL), unquote(text)).otherwise(F.regexp_replace(tail, SYMBOL_PREFIX, ""))
 
 
-def param_value(name: str, text: Column) -> Column:
+def param_value(name: Column, text: Column) -> Column:
     plain = F.when(text.rlike(r"^[0-9][0-9_]*$"), F.replace(text, F.lit("_"), F.lit(""))).otherwise(unquote(text))
-    return as_symbol(text) if name in SYMBOL_PARAMS else plain
+    return F.when(name.isin(*SYMBOL_PARAMS), as_symbol(text)).otherwise(plain)
 
 
 # --- matching ---------------------------------------------------------------
 
-def _match(rule: DetectRule, text: Column) -> Column:
-    """All matches of one rule in one line as an array of structs."""
-    whole = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1))
+RULE_COLUMNS = (
+    "rule_no int, rule_id string, pattern string, algorithm string, primitive string, usage string, asset_type string, "
+    "captures array<struct<name:string,at:int>>, holder_at int, fixed map<string,string>, mode_flags array<string>, ceiling double, "
+    "redact boolean, annotates string, usage_refinable boolean, min_entropy double, literal_at int"
+)
 
-    def shape(found: Column) -> Column:
-        taken = {name: F.trim(F.regexp_extract(found, rule.pattern, group)) for name, group in rule.capture.items()}
-        holder = taken.pop(HOLDER, F.lit(""))
-        pairs = {name: param_value(name, value) for name, value in taken.items()}
-        pairs.update({name: F.lit(value) for name, value in rule.fixed.items()})
-        mode = pairs.get("mode", F.lit(None).cast("string"))
+
+def rule_table(spark: SparkSession, rules: Sequence[DetectRule]) -> DataFrame:
+    """The attributes of every rule: one row per rule of the knowledge files."""
+    rows = []
+    for number, rule in enumerate(rules):
+        fixed = dict(rule.fixed)
         if "critical" in rule.flags:
-            pairs["flagged"] = F.lit("true")
-        elif rule.mode_flags:
-            pairs["flagged"] = F.when(mode.isin(*rule.mode_flags), F.lit("true"))
+            fixed["flagged"] = "true"
         if "candidate" in rule.flags:
-            pairs["candidate"] = F.lit("true")
-        resolved = F.lit(True)
-        for value in taken.values():
-            resolved = resolved & is_resolved(value)
-        ceiling = F.lit(1.0 if rule.confidence is None else rule.confidence)
-        entries = F.map_from_entries(F.array(*[F.struct(F.lit(n), v.cast("string")) for n, v in sorted(pairs.items())])) if pairs else F.create_map().cast("map<string,string>")
-        holder_name = F.when(holder.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*$"), holder)
-        return F.struct(
-            F.lit(rule.id).alias("rule_id"), F.lit(rule.algorithm).alias("algorithm"), F.lit(rule.primitive).alias("primitive"),
-            F.lit(rule.usage).alias("usage"), F.lit(rule.asset_type).alias("asset_type"), entries.alias("params"),
-            resolved.alias("resolved"), F.least(F.when(resolved, F.lit(1.0)).otherwise(F.lit(UNRESOLVED)), ceiling).alias("confidence"),
-            F.lit(rule.redact).alias("redact"), F.lit(rule.annotates).cast("string").alias("annotates"),
-            F.lit(rule.usage_refinable).alias("usage_refinable"), holder_name.alias("holder"))
-
-    if rule.min_entropy is not None:
-        floor = rule.min_entropy
-        whole = F.filter(whole, lambda m: R.entropy(unquote(F.regexp_extract(m, rule.pattern, rule.literal_group))) >= floor)
-    matches = F.transform(whole, lambda m: shape(m))
-    return F.when(text.rlike(rule.pattern) & (F.col("language") == rule.language), matches)
+            fixed["candidate"] = "true"
+        captures = [(name, at) for name, at in sorted(rule.capture.items()) if name != HOLDER]
+        rows.append((
+            number, rule.id, rule.pattern, rule.algorithm, rule.primitive, rule.usage, rule.asset_type, captures, rule.capture.get(HOLDER, 0),
+            fixed, list(rule.mode_flags), rule.confidence or 1.0, rule.redact, rule.annotates, rule.usage_refinable, rule.min_entropy, rule.literal_group))
+    return spark.createDataFrame(rows, RULE_COLUMNS)
+
+
+def _extract(pattern_at: Column) -> Column:
+    return F.trim(F.call_function("regexp_extract", F.col("match"), F.col("pattern"), pattern_at))
 
 
 def matches(lines: DataFrame, rules: Sequence[DetectRule] | None = None) -> DataFrame:
     """Every rule match on every line (scan_id, system, path, language, line_no, line).
 
     Lines no rule of their language can match are dropped by one alternation
-    before any per-rule work.
+    before any per-rule work; only actual matches meet the rule attributes.
     """
     rules = load_rules() if rules is None else rules
-    by_language: dict[str, list[DetectRule]] = {}
-    for rule in rules:
-        by_language.setdefault(rule.language, []).append(rule)
-    text = F.col("line")
-    worth = F.lit(False)
-    for language, own in by_language.items():
-        worth = worth | ((F.col("language") == language) & text.rlike("|".join(f"(?:{rule.pattern})" for rule in own)))
-    found = F.flatten(F.array_compact(F.array(*[_match(rule, text) for rule in rules])))
+    by_language: dict[str, list[int]] = {}
+    for number, rule in enumerate(rules):
+        by_language.setdefault(rule.language, []).append(number)
+    text, language = F.col("line"), F.col("language")
+    worth, found = F, F
+    for name, own in by_language.items():
+        worth = worth.when(language == name, text.rlike("|".join(f"(?:{rules[n].pattern})" for n in own)))
+        hits = [
+            F.when(text.rlike(rules[n].pattern), F.struct(F.lit(n).alias("rule_no"), F.regexp_extract_all(text, F.lit(f"({rules[n].pattern})"), F.lit(1)).alias("found")))
+            for n in own
+        ]
+        found = found.when(language == name, F.array_compact(F.array(*hits)))
     keep = lines.columns
-    return lines.filter(worth).select(*keep, F.explode(found).alias("m")).select(*keep, "m.*")
+    hit = (
+        lines.filter(worth).select(*keep, F.explode(found).alias("h"))
+        .select(*keep, "h.rule_no", F.explode("h.found").alias("match"))
+        .join(F.broadcast(rule_table(lines.sparkSession, rules)), "rule_no")
+    )
+    strong = F.col("min_entropy").isNull() | (R.entropy(unquote(_extract(F.col("literal_at")))) >= F.col("min_entropy"))
+    taken = F.transform("captures", lambda c: F.struct(c["name"].alias("name"), _extract(c["at"]).alias("text")))
+    staged = hit.filter(strong).withColumn("taken", taken).withColumn("resolved", F.forall("taken", lambda t: is_resolved(t["text"])))
+    captured = F.map_from_entries(F.transform("taken", lambda t: F.struct(t["name"], param_value(t["name"], t["text"]))))
+    staged = staged.withColumn("params", F.map_concat("fixed", captured))
+    weak_mode = F.coalesce(F.array_contains("mode_flags", F.try_element_at("params", F.lit("mode"))), F.lit(False))
+    flagged = F.when(weak_mode & F.try_element_at("params", F.lit("flagged")).isNull(), F.create_map(F.lit("flagged"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>"))
+    holder = F.when(F.col("holder_at") > 0, _extract(F.col("holder_at")))
+    return staged.select(
+        *keep, "rule_id", "algorithm", "primitive", "usage", "asset_type", F.map_concat("params", flagged).alias("params"), "resolved",
+        F.least(F.when(F.col("resolved"), F.lit(1.0)).otherwise(F.lit(UNRESOLVED)), F.col("ceiling")).alias("confidence"),
+        "redact", "annotates", "usage_refinable",
+        F.when(holder.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*$"), holder).alias("holder"))
 
 
 def annotate(found: DataFrame) -> DataFrame:
@@ -239,4 +252,5 @@ def detection_findings(detections: DataFrame) -> DataFrame:
 def source_findings(files: DataFrame, rules: Sequence[DetectRule] | None = None) -> DataFrame:
     """Text files (scan_id, system, path, text) -> declared findings."""
     rows = T.lines(files.withColumn("language", language_of(F.col("path"))).filter("language IS NOT NULL"))
-    return detection_findings(fold_candidates(annotate(matches(rows, rules))))
+    # Annotation and folding read the matches several times; the rules run once.
+    return detection_findings(fold_candidates(annotate(durable(matches(rows, rules)))))

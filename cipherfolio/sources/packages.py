@@ -119,61 +119,53 @@ def preferred_manifests(files: DataFrame) -> DataFrame:
     return known.join(best, [*key, "rank"]).drop("rank", "directory")
 
 
-def _line_dependencies(rows: DataFrame, manifest: str, pattern: str) -> DataFrame:
-    """``name`` and ``spec`` from lines; pattern groups 1 and 2."""
-    kept = rows.filter(F.col("manifest") == manifest)
-    found = T.lines(kept).filter(F.col("line").rlike(pattern))
-    return found.select(
-        "scan_id", "system", "path", "ecosystem",
-        F.regexp_extract("line", pattern, 1).alias("package"), F.regexp_extract("line", pattern, 2).alias("spec"))
-
-
-def _pair_dependencies(rows: DataFrame, manifest: str, pattern: str) -> DataFrame:
-    """``name`` and ``spec`` from every match in the whole text."""
-    kept = rows.filter(F.col("manifest") == manifest)
-    matches = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
-    return kept.select("scan_id", "system", "path", "ecosystem", F.explode(matches).alias("m")).select(
-        "scan_id", "system", "path", "ecosystem",
-        F.regexp_extract("m", pattern, 1).alias("package"), F.regexp_extract("m", pattern, 2).alias("spec"))
-
-
-def _json_dependencies(rows: DataFrame, manifest: str, fields: tuple[str, ...], nested: bool) -> DataFrame:
-    """Dependencies of JSON manifests; a file that is not JSON yields nothing."""
+def _pair(package: Column, spec: Column) -> Column:
+    return F.struct(package.alias("package"), F.trim(spec).alias("spec"))
+
+
+def _matched(pattern: str) -> Column:
+    """Pairs from groups 1 and 2 of every match in the text."""
+    whole = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
+    return F.transform(whole, lambda m: _pair(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)))
+
+
+def _json_fields(fields: tuple[str, ...], nested: bool) -> Column:
+    """Pairs from maps of a JSON manifest; a file that is not JSON has none."""
     value = "struct<version:string>" if nested else "string"
-    shape = "struct<" + ",".join(f"`{f}`:map<string,{value}>" for f in fields) + ">"
-    parsed = F.from_json("text", shape)
-    maps = F.map_concat(*[F.coalesce(parsed[f], F.create_map().cast(f"map<string,{value}>")) for f in fields])
-    entries = F.flatten(F.array(*[F.coalesce(F.map_entries(parsed[f]), F.array().cast(f"array<struct<key:string,value:{value}>>")) for f in fields])) if len(fields) > 1 else F.map_entries(maps)
-    exploded = rows.filter(F.col("manifest") == manifest).select("scan_id", "system", "path", "ecosystem", F.explode(entries).alias("e"))
-    spec = F.col("e.value.version") if nested else F.col("e.value")
-    return exploded.select("scan_id", "system", "path", "ecosystem", F.regexp_replace("e.key", r"^.*node_modules/", "").alias("package"), spec.alias("spec"))
+    parsed = F.from_json("text", "struct<" + ",".join(f"`{f}`:map<string,{value}>" for f in fields) + ">")
+    entries = F.flatten(F.array_compact(F.array(*[F.map_entries(parsed[f]) for f in fields])))
+    return F.transform(entries, lambda e: _pair(
+        F.regexp_replace(e["key"], r"^.*node_modules/", ""), F.coalesce(e["value"]["version"] if nested else e["value"], F.lit(""))))
+
+
+_NAME = r"[A-Za-z0-9][A-Za-z0-9._-]*"
+PARSERS = {
+    "poetry.lock": lambda: _matched(r'(?s)\[\[package\]\]\s*name = "([^"]+)"\s*version = "([^"]+)"'),
+    "Pipfile.lock": lambda: _json_fields(("default", "develop"), True),
+    "requirements.txt": lambda: _matched(rf"(?m)^[^\S\n]*({_NAME})(?:\[[^\]\n]*\])?[^\S\n]*([<>=!~][^#;\n]*)?(?:[#;].*)?$"),
+    "pyproject.toml": lambda: _matched(rf'"({_NAME})(?:\[[^\]]*\])?\s*([<>=!~][^";]*)(?:;[^"]*)?"'),
+    "package-lock.json": lambda: _json_fields(("packages", "dependencies"), True),
+    "yarn.lock": lambda: _matched(r'(?m)^"?(@?[^@"\s]+)@[^\n]*:\s*\n\s+version:? "?([^"\n]+)"?'),
+    "package.json": lambda: _json_fields(("dependencies", "devDependencies"), False),
+    "go.mod": lambda: _matched(r"(?m)^\s*(?:require\s+)?([a-z0-9.-]+\.[a-z]+/[^\s]+)\s+(v[0-9][^\s]*)"),
+    "go.sum": lambda: _matched(r"(?m)^([a-z0-9.-]+\.[a-z]+/[^\s]+)\s+(v[0-9][^\s/]*)\s"),
+}
+#: Files that hold exact versions by definition.
+EXACT_FILES = ("poetry.lock", "package-lock.json", "yarn.lock", "go.mod", "go.sum")
 
 
 def dependencies(files: DataFrame) -> DataFrame:
     """Every declared dependency with its version text and whether it is a range."""
-    rows = preferred_manifests(files)
-    name = r"[A-Za-z0-9][A-Za-z0-9._-]*"
-    exact = {"poetry.lock", "package-lock.json", "yarn.lock", "go.mod", "go.sum"}
-    parts = {
-        "poetry.lock": _pair_dependencies(rows, "poetry.lock", r'(?s)\[\[package\]\]\s*name = "([^"]+)"\s*version = "([^"]+)"'),
-        "Pipfile.lock": _json_dependencies(rows, "Pipfile.lock", ("default", "develop"), True),
-        "requirements.txt": _line_dependencies(rows, "requirements.txt", rf"^\s*({name})(?:\[[^\]]*\])?\s*([<>=!~][^#;]*)?(?:[#;].*)?$"),
-        "pyproject.toml": _pair_dependencies(rows, "pyproject.toml", rf'"({name})(?:\[[^\]]*\])?\s*([<>=!~][^";]*)(?:;[^"]*)?"'),
-        "package-lock.json": _json_dependencies(rows, "package-lock.json", ("packages", "dependencies"), True),
-        "yarn.lock": _pair_dependencies(rows, "yarn.lock", r'(?m)^"?(@?[^@"\s]+)@[^\n]*:\s*\n\s+version:? "?([^"\n]+)"?'),
-        "package.json": _json_dependencies(rows, "package.json", ("dependencies", "devDependencies"), False),
-        "go.mod": _line_dependencies(rows, "go.mod", r"^\s*(?:require\s+)?([a-z0-9.-]+\.[a-z]+/[^\s]+)\s+(v[0-9][^\s]*)"),
-        "go.sum": _line_dependencies(rows, "go.sum", r"^([a-z0-9.-]+\.[a-z]+/[^\s]+)\s+(v[0-9][^\s/]*)\s"),
-    }
-    merged = None
-    for manifest, part in parts.items():
-        spec = F.trim(F.coalesce("spec", F.lit("")))
-        pinned = F.lit(True) if manifest in exact else spec.rlike(r"^={0,3}\s*v?[0-9][0-9A-Za-z.!+-]*$") & (F.lit(manifest == "package.json") | spec.startswith("="))
-        shaped = part.filter("package <> ''").select(
-            "scan_id", "system", "path", "ecosystem", "package",
-            F.when(pinned, F.regexp_replace(spec, r"^=+\s*", "")).otherwise(spec).alias("version"), (~pinned).alias("version_is_range"))
-        merged = shaped if merged is None else merged.unionByName(shaped)
-    return merged.distinct()
+    pairs = F
+    for manifest, parse in PARSERS.items():
+        pairs = pairs.when(F.col("manifest") == manifest, parse())
+    rows = preferred_manifests(files).select("scan_id", "system", "path", "ecosystem", "manifest", F.explode(F.array_distinct(pairs)).alias("d"))
+    spec = F.col("d.spec")
+    bare = spec.rlike(r"^v?[0-9][0-9A-Za-z.!+-]*$") & (F.col("manifest") == "package.json")
+    pinned = F.col("manifest").isin(*EXACT_FILES) | bare | spec.rlike(r"^={1,3}\s*v?[0-9][0-9A-Za-z.!+-]*$")
+    return rows.filter("d.package <> ''").select(
+        "scan_id", "system", "path", "ecosystem", "d.package",
+        F.when(pinned, F.regexp_replace(spec, r"^=+\s*", "")).otherwise(spec).alias("version"), (~pinned).alias("version_is_range"))
 
 
 def dependency_findings(files: DataFrame, facts: DataFrame) -> DataFrame:
