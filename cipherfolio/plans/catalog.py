@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.plans import correlation_queries, inventory_queries, metric_queries, source_queries
+from cipherfolio.plans import correlation_queries, event_queries, inventory_queries, metric_queries, source_queries
 
-MODULES = (inventory_queries, correlation_queries, metric_queries, source_queries)
+MODULES = (inventory_queries, correlation_queries, metric_queries, source_queries, event_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,3 +221,38 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = part.where(when).selectExpr("'base' as scan_id", "concat('sys', p_partkey % 25) as system", f"{path} as path", f"{text} as text")
         rows = one if rows is None else rows.unionByName(one)
     return rows
+
+
+# Event lines built from event rows: handshakes, accessor reads, damaged lines.
+EVENT_LINE = """CASE WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN '{"pid": 12, broken' WHEN 1 THEN '[1, 2]'
+    WHEN 2 THEN '{"pid": -5, "comm": "x", "phase": "return"}' WHEN 3 THEN concat('{"pid": 7, "comm": "', repeat('x', 400), '"}')
+    ELSE '{"pid": 9, "comm": "x", "phase": "return", "retval": 1, "observed_cipher": 17}' END
+  ELSE concat('{"pid": ', 1000 + user_id, ', "tid": ', user_id, ', "comm": "', CASE user_id % 3 WHEN 0 THEN 'nginx' WHEN 1 THEN 'envoy' ELSE 'java' END,
+    '", "libssl_path": "/usr/lib/libssl.so.3", "phase": "', CASE WHEN event_type = 'signup' THEN 'return' ELSE 'enrich' END,
+    '", "retval": ', CASE WHEN event_type = 'signup' AND event_id % 5 = 0 THEN '-1' ELSE '1' END, ', "timestamp": ', event_id,
+    CASE WHEN event_id % 3 = 0 THEN ', "observed_version": "TLSv1.3"' WHEN event_id % 3 = 1 THEN ', "observed_version": ""' ELSE '' END,
+    CASE WHEN event_id % 4 = 0 THEN ', "observed_cipher": "TLS_AES_256_GCM_SHA384"' WHEN event_id % 4 = 1 THEN ', "observed_cipher": "TLS_CHACHA20_POLY1305_SHA256"' ELSE '' END,
+    CASE WHEN event_id % 7 = 0 THEN ', "observed_group": "X25519MLKEM768"' WHEN event_id % 7 < 3 THEN ', "observed_group": "x25519"'
+         WHEN event_id % 7 = 3 THEN ', "observed_group": null' ELSE '' END, '}') END"""
+EVENT_FILE = "concat('spool-', event_id % 50, '.jsonl')"
+MAX_EVENT_LINE = 350
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(f"{EVENT_FILE} as path", "cast(event_id as int) as line_no", f"{EVENT_LINE} as line")
+
+
+def handshake_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one thread per user: signups complete, the rest read values."""
+    return table(spark, sf_dir, "events").where("event_type <> 'error'").selectExpr(
+        "event_id", "1000 + user_id as pid", "user_id as tid", "unix_micros(cast(ts as timestamp)) as ts_us",
+        "case when event_type = 'signup' then 'return' else 'enrich' end as phase",
+        "case when event_type = 'signup' and event_id % 5 = 0 then -1L else 1L end as retval",
+        "case when event_id % 3 = 0 then 'TLSv1.3' end as version",
+        "case event_type when 'click' then 'TLS_AES_256_GCM_SHA384' when 'purchase' then '' end as cipher",
+        "case event_type when 'view' then 'x25519' end as `group`")
+
+
+OPENSSL_OLD_TEXT = """concat_ws(chr(10), '[system_default_sect]', 'Groups = P-256:X448 # keep', CASE WHEN p_size % 2 = 0 THEN 'MinProtocol = TLSv1' ELSE 'MinProtocol = TLSv1.2' END)"""
+MD5_TEXT = """concat_ws(chr(10), '# tool', CASE p_size % 3 WHEN 0 THEN 'def store(password):' WHEN 1 THEN 'def checksum(data):' ELSE 'def run(data):' END,
+  CASE WHEN p_size % 5 = 0 THEN concat_ws(chr(10), '    a = 1', '    b = 2', '    c = 3', '    d = 4', '    e = 5', '    f = 6') END, '    h = hashlib.md5(data).hexdigest()', '    return h')"""
