@@ -17,6 +17,7 @@ from cipherfolio.functions import canonical as C
 from cipherfolio.knowledge import Pack
 from cipherfolio.operators import compare, policy
 from cipherfolio.operators import inventory as inv
+from cipherfolio.operators.durable import durable
 
 # Targets of the rewrites, retired versions and the vote words.
 HYBRID_GROUP = "X25519MLKEM768"
@@ -141,7 +142,9 @@ def propose(findings: DataFrame, lines: DataFrame, templates: Sequence[Template]
     proposed = located.withColumn("refusal", F.when(F.col("line").isNull(), F.lit("the cited line does not exist")).otherwise(refusal))
     proposed = proposed.withColumn("new_line", F.when(F.col("refusal").isNull(), text))
     empty = F.col("refusal").isNull() & (F.col("new_line").isNull() | (F.col("new_line") == F.col("line")))
-    return proposed.withColumn("refusal", F.when(empty, F.lit("there is nothing to change at this line")).otherwise(F.col("refusal"))).drop("context")
+    final = F.when(empty, F.lit("there is nothing to change at this line")).otherwise(F.col("refusal"))
+    # Patching and verifying both read the proposals.
+    return durable(proposed.withColumn("refusal", final).drop("context"))
 
 
 def patch_files(files: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -164,10 +167,9 @@ def verify(proposals: DataFrame, before: DataFrame, patched: DataFrame, detector
     findings to the subset that counts as Critical; new ones block the fix.
     """
     after = _fingerprint(detector(patched)).withColumn("copy", F.split("scan_id", "\u001f"))
-    after = after.select(
+    after = durable(after.select(
         F.get("copy", F.lit(0)).alias("scan_id"), F.get("copy", F.lit(1)).alias("fixed"), F.get("copy", F.lit(2)).cast("bigint").alias("fixed_line"),
-        *[c for c in after.columns if c not in ("scan_id", "copy")])
-    key = ["scan_id", "system", "path"]
+        *[c for c in after.columns if c not in ("scan_id", "copy")]))
     site = ["scan_id", "fixed", "fixed_line"]
     still = after.filter(F.col("fingerprint") == F.col("fixed")).select(*site).distinct().withColumn("_still", F.lit(True))
     arrived = compare.arrivals(_fingerprint(before), after, ["scan_id", "fingerprint"])

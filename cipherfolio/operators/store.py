@@ -16,6 +16,11 @@ from cipherfolio.knowledge import Pack
 from cipherfolio.operators import correlate, metrics, policy
 
 TABLES = ("components", "drifts", "occurrences", "scans")
+#: A store without any drift has no drift file to read a schema from.
+DRIFTS = (
+    "system string, role string, bom_ref string, kind string, declared string, observed string, records bigint, "
+    "confidence double, cause string, scan_id string"
+)
 #: What a component is before any verdict: all a rescore needs.
 BASE_COLUMNS = (
     "scan_id", "system", "bom_ref", "asset_type", "primitive", "algorithm", "usage", "locus", "entries", "confidence", "configurable", "n_findings",
@@ -53,7 +58,7 @@ def save_scans(components: DataFrame, drifts: DataFrame, scans: DataFrame, root:
         _write(occurrences, f"{root}/occurrences")
     stored = F.col("scan_id").isin(*names)
     written = spark.read.parquet(f"{root}/components").filter(stored)
-    found = spark.read.parquet(f"{root}/drifts").filter(stored)
+    found = spark.read.schema(DRIFTS).parquet(f"{root}/drifts").filter(stored)
     _write(scans.join(summaries(written, found), "scan_id", "left"), f"{root}/scans")
 
 
@@ -61,7 +66,8 @@ def read(spark: SparkSession, root: str, name: str, scan_ids: Sequence[str] | No
     """A stored table, pruned to the partitions of some scans."""
     if name not in TABLES:
         raise ValueError(f"{name!r} is not one of {TABLES}")
-    rows = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+    reader = spark.read.schema(DRIFTS) if name == "drifts" else spark.read
+    rows = reader.parquet(f"{root}/{name}")
     return rows if scan_ids is None else rows.filter(F.col("scan_id").isin(*scan_ids))
 
 

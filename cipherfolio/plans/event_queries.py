@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cipherfolio.operators import correlate, enrich, kpi, remediate, store
-from cipherfolio.operators import inventory as inv
+from cipherfolio.operators.durable import durable
 from cipherfolio.plans import oracle_base as O
 from cipherfolio.plans import testbed as B
 from cipherfolio.plans.correlation_queries import CORRELATED, DRIFT
@@ -121,7 +121,7 @@ def fix_verify(spark, sf_dir):
     context = B.targets(spark, sf_dir).withColumn("exposure", F.lit("internal"))
     out = None
     for rows, detector in ((config, config_text.config_findings), (code, lambda f: detect.source_findings(f, _HASH_RULES))):
-        found = detector(rows)
+        found = durable(detector(rows))
         proposals = remediate.propose(found, files.lines(rows))
         patched = remediate.patch_files(rows, proposals)
         one = remediate.verify(proposals, found, patched, detector, remediate.critical_by(context)).select("path", "template", "verified", "new_line", "new_findings")

@@ -163,7 +163,7 @@ def typed_components(rows: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON documents: one row per component."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("document"), F.from_json("value", DOCUMENT).alias("d"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("document"), F.from_json("value", DOCUMENT).alias("d"))
     rows = raw.select("document", F.coalesce("d.metadata.component.name", F.lit("system")).alias("system"), F.explode("d.components").alias("c"))
     return typed_components(rows)
 

@@ -38,15 +38,15 @@ def _lines(files: DataFrame) -> DataFrame:
 
 def read_spool(spark: SparkSession, directory: str) -> DataFrame:
     """(path, line_no, line) of every published file; not recursive, no blank lines."""
-    return _lines(spark.read.option("wholetext", "true").text(directory))
+    return _lines(spark.read.text(directory, wholetext=True))
 
 
 def stream_spool(spark: SparkSession, directory: str, archive: str | None = None, max_files: int = 1000) -> DataFrame:
     """The spool as a stream: each file once, kept in ``archive`` afterwards."""
-    reader = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return _lines(reader.text(directory))
+    return _lines(reader.text(directory, wholetext=True))
 
 
 def _get(path: str, kind: str) -> Column:

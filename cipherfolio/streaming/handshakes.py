@@ -82,7 +82,7 @@ def hold_handshakes(events: DataFrame, window_us: int) -> DataFrame:
             elif row["phase"] == "return" and row["retval"] == 1:
                 if held is not None:
                     out.append(_emit(key, held, "replaced"))
-                held = {n: v or None for n, v in clean.items()}
+                held = {n: (v or None) if n in READ else v for n, v in clean.items()}
             else:
                 out.append(_emit(key, clean, "passed"))
         if held is None:

@@ -1,0 +1,89 @@
+import base64
+
+import pytest
+from pyspark.sql import functions as F
+
+from cipherfolio.functions import redact as R
+
+RSA = bytes.fromhex("308204a30201000282010100") + bytes(range(256)) * 4
+ED = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))
+PUBLIC = bytes.fromhex("302a300506032b6570032100") + bytes(range(32))
+TOKEN = "9f8e7d6c5b4a39281706f5e4d3c2b1a0ffee"
+
+CASES = [
+    ("armour", "x -----BEGIN RSA PRIVATE KEY-----\nabc", R.REDACTED, [R.ARMOUR]),
+    ("base64", f'k = "{base64.b64encode(RSA[:300]).decode()}" end', 'k = "<redacted>" end', [R.DER]),
+    ("hex", f" {ED.hex()} tail", " <redacted> tail", [R.DER]),
+    ("hex 0x", f" 0x{ED.hex()} tail", " <redacted> tail", [R.DER]),
+    ("separated", ":".join(f"{b:02x}" for b in ED), "<redacted>", [R.DER]),
+    ("escapes", "a " + "".join(f"\\x{b:02x}" for b in ED) + " z", "a <redacted> z", [R.DER]),
+    ("array", "{ " + ", ".join(f"(byte) 0x{b:02x}" for b in ED) + " }", "{ <redacted> }", [R.DER]),
+    ("decimal array", ", ".join(str(b) for b in ED), "<redacted>", [R.DER]),
+    ("raw", "z" + RSA[:20].decode("latin-1"), R.REDACTED, [R.DER]),
+    ("public", f'pub = "{base64.b64encode(PUBLIC).decode()}"', None, []),
+    ("public under a secret name", f'secret = "{base64.b64encode(PUBLIC).decode()}"', None, []),
+    ("named", f'api_secret = "{TOKEN}" # x', 'api_secret = "<redacted>" # x', [R.SECRET_NAME]),
+    ("assigned", f"DB_PASSWORD={TOKEN}", "DB_PASSWORD=<redacted>", [R.SECRET_NAME]),
+    ("key name", f'signingKey = "{TOKEN}"', 'signingKey = "<redacted>"', [R.SECRET_NAME]),
+    ("key id", f'key_id = "{TOKEN}"', None, []),
+    ("low entropy", 'secret = "' + "0" * 40 + '"', None, []),
+    ("short", 'secret = "9f8e7d6c5b4a3928"', None, []),
+    ("identifier", 'secret = "my_very_long_configuration_setting_name"', None, []),
+    ("algorithm name", 'secret = "AES256WithHmacSHA256AndPBKDF2Padding"', None, []),
+    ("remark only", f'x = "{TOKEN}" # secret', None, []),
+    ("quoted word only", f'x = "secret" + "{TOKEN}"', None, []),
+    ("long literals", '"' + "a" * 40000 + "\" secret '" + "b" * 40000, None, []),
+]
+
+
+def test_cases(spark):
+    rows = spark.createDataFrame([(n, t) for n, t, _, _ in CASES], "name string, t string")
+    first = spark.createDataFrame(
+        rows.select("name", R.redact_text(F.col("t")).alias("once"), R.rules_hit(F.col("t")).alias("hit")).collect(), "name string, once string, hit array<string>")
+    out = {r.name: r for r in first.withColumn("twice", R.redact_text(F.col("once"))).collect()}
+    for name, text, expected, rules in CASES:
+        assert out[name].once == (text if expected is None else expected), name
+        assert out[name].hit == rules, name
+        assert out[name].twice == out[name].once, name
+
+
+def test_naming_rule_is_for_snippets_only(spark):
+    text = f'api_secret = "{TOKEN}"'
+    row = spark.createDataFrame([(text,)], "t string").select(R.redact_text(F.col("t"), snippet=False).alias("r")).first()
+    assert row.r == text
+
+
+def test_key_context(spark):
+    cases = {
+        'k = "short"': 'k = "short"', 'k = "longenough1"': 'k = "<redacted>"', 'a = "AES/GCM/NoPadding"': 'a = "AES/GCM/NoPadding"',
+        "token 0123456789abcdefXYZ end": "token <redacted> end", "plainwordswithoutdigits": "plainwordswithoutdigits",
+        "1, 2, 3, 4, 5, 6, 7, 8": "<redacted>", "\\x01\\x02\\x03\\x04\\x05\\x06\\x07\\x08": "<redacted>",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", R.redact_key_context(F.col("t")).alias("r")).collect()
+    assert {r.t: r.r for r in rows} == cases
+
+
+def test_scrub_line(spark):
+    cases = {
+        '  x = b"0123456789"  ': 'x = b"<redacted>"', 'x = b"012"': 'x = b"012"', f'md5("{TOKEN}")': 'md5("<redacted>")',
+        'c("AES/CBC/PKCS5Padding")': 'c("AES/CBC/PKCS5Padding")', "-----BEGIN CERTIFICATE-----": R.REDACTED,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", R.scrub_line(F.col("t")).alias("r")).collect()
+    assert {r.t: r.r for r in rows} == cases
+
+
+def test_findings_flagged_as_keys_keep_no_literal(spark):
+    from test_policy import finding
+    from cipherfolio.schema import FINDING
+
+    rows = [finding(asset_type="key", occurrences=[("declared", "a:1", "d", 'k = "longenough1"')]),
+            finding(asset_type="key", params={"material": "public-key"}, occurrences=[("declared", "b:1", "d", 'k = "longenough1"')]),
+            finding(params={"x": ED.hex()})]
+    out = R.redact_findings(spark.createDataFrame(rows, FINDING)).collect()
+    assert [r.occurrences[0].snippet for r in out] == ['k = "<redacted>"', 'k = "longenough1"', "code"]
+    assert out[2].params == {"x": "<redacted>"}
+
+
+@pytest.mark.parametrize("text,bits", [("aaaa", 0.0), ("abab", 1.0), ("abcd", 2.0), ("", 0.0)])
+def test_entropy(spark, text, bits):
+    assert spark.createDataFrame([(text,)], "t string").select(R.entropy(F.col("t")).alias("e")).first().e == pytest.approx(bits)
