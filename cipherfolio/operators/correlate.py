@@ -54,10 +54,11 @@ def correlation_role() -> Column:
     return F.when(bare == "", F.lit(DEFAULT_ROLE)).otherwise(bare)
 
 
-def members(components: DataFrame) -> DataFrame:
+def members(components: DataFrame, settled: bool = False) -> DataFrame:
     """The correlating part of each component, narrow, with lineage cut.
 
-    Everything below reads these rows several times.
+    Everything below reads these rows several times. ``settled`` components
+    come from a stored table or a checkpoint and need no cut of their own.
     """
     name = F.col("name")
     allowed = F.array_distinct(F.filter(F.transform(F.split(_param("cipher_suites"), ","), lambda s: F.trim(s)), lambda s: s != ""))
@@ -76,7 +77,8 @@ def members(components: DataFrame) -> DataFrame:
         _said("cipher_suite").alias("suite"),
         F.when(F.size(allowed) > 0, F.array_sort(allowed)).alias("allowed"),
     )
-    return durable(rows.filter(F.col("view").isin(*S.VIEWS)))
+    known = rows.filter(F.col("view").isin(*S.VIEWS))
+    return known if settled else durable(known)
 
 
 def endpoint_counts(rows: DataFrame) -> DataFrame:
@@ -305,7 +307,12 @@ def apply_drift(scored: DataFrame, drifts: DataFrame, covered: DataFrame) -> Dat
 
 
 def correlate(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(components with drift and coverage, drift rows)``."""
-    rows = members(scored)
+    """``(components with drift and coverage, drift rows)``.
+
+    The scored components are settled once: they are far fewer than the
+    findings, and drift, coverage and the result all read them.
+    """
+    settled = durable(scored)
+    rows = members(settled, settled=True)
     found = drifts_of(rows)
-    return apply_drift(scored, found, coverage(rows)), found
+    return apply_drift(settled, found, coverage(rows)), found

@@ -202,7 +202,8 @@ CODE_TEXT = """concat_ws(chr(10), concat('# ', p_name),
 
 def text_files(spark: SparkSession, sf_dir: str, path: str, text: str) -> DataFrame:
     """One file per part; ``path`` and ``text`` are SQL over part columns."""
-    return table(spark, sf_dir, "part").selectExpr("'base' as scan_id", "concat('sys', p_partkey % 25) as system", f"{path} as path", f"{text} as text")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
+    return part.selectExpr("'base' as scan_id", "concat('sys', p_partkey % 25) as system", f"{path} as path", f"{text} as text")
 
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +216,7 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (folder + "package.json')", PACKAGE_JSON_TEXT, "p_size % 5 < 3"),
         (folder + "node_modules/x/package.json')", PACKAGE_JSON_TEXT, "p_size % 5 = 0"),
     )
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     rows = None
     for path, text, when in kinds:
         one = part.where(when).selectExpr("'base' as scan_id", "concat('sys', p_partkey % 25) as system", f"{path} as path", f"{text} as text")
@@ -239,7 +240,7 @@ MAX_EVENT_LINE = 350
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(f"{EVENT_FILE} as path", "cast(event_id as int) as line_no", f"{EVENT_LINE} as line")
+    return spread(table(spark, sf_dir, "events").drop("props")).selectExpr(f"{EVENT_FILE} as path", "cast(event_id as int) as line_no", f"{EVENT_LINE} as line")
 
 
 def handshake_events(spark: SparkSession, sf_dir: str) -> DataFrame:

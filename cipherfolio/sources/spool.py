@@ -65,7 +65,9 @@ def _clean(path: str) -> Column:
 def judge_lines(lines: DataFrame, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """Every line with its parsed event and why it was rejected, if it was."""
     fits = F.octet_length("line") <= max_bytes
-    parsed = lines.withColumn("event", F.when(fits, F.try_parse_json("line")))
+    # Generated, not projected: filters on the event then cannot be pushed
+    # below the parser, where each test would parse the line again.
+    parsed = lines.select("*", F.explode(F.array(F.when(fits, F.try_parse_json("line")))).alias("event"))
     is_object = F.schema_of_variant("event").startswith("OBJECT")
     pid = F.when(_kind("pid") == "BIGINT", _get("pid", "bigint"))
     comm = F.when(_kind("comm") == "STRING", _clean("comm"))
