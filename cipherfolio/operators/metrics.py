@@ -428,3 +428,43 @@ def gap_rollup(gaps: DataFrame, examined: DataFrame) -> DataFrame:
         "scan_id", "scanner", "unparsed", "partially_parsed", F.coalesce("examined", F.lit(0)).alias("examined"),
         ((F.coalesce("examined", F.lit(0)) > 0) & (F.col("unparsed") >= F.coalesce("examined", F.lit(0)))).alias("nothing_parsed"),
     )
+
+
+def count_scans(scans: DataFrame, kind: str | None = None) -> DataFrame:
+    """Rows a listing would page over."""
+    rows = scans.filter(F.col("kind") == kind) if kind else scans
+    return rows.agg(F.count(F.lit(1)).alias("scans"))
+
+
+# --- report data ------------------------------------------------------------
+
+def coverage_statement(components: DataFrame, listed: int = 12) -> tuple[DataFrame, DataFrame]:
+    """``(views, incomplete)``: what was collected, and what lacks a view.
+
+    Every view has a row, collected or not. Of the components whose group
+    lacks a view the worst ``listed`` of each scan are named; ``remainder``
+    says how many more there are.
+    """
+    views = view_coverage(components).withColumn("statement", F.when(F.col("collected"), F.lit("COLLECTED")).otherwise(F.lit("NOT COLLECTED")))
+    lacking = components.filter(F.size("coverage_missing") > 0)
+    totals = lacking.groupBy("scan_id").agg(F.count(F.lit(1)).alias("incomplete"))
+    window = Window.partitionBy("scan_id").orderBy(*report_order())
+    worst = lacking.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= listed)
+    named = worst.join(totals, "scan_id").select(
+        "scan_id", "position", "system", "bom_ref", "name", F.array_join("coverage_missing", ", ").alias("missing"),
+        F.greatest(F.lit(0), F.col("incomplete") - listed).alias("remainder"))
+    return views, named
+
+
+def drifted(components: DataFrame) -> DataFrame:
+    return components.filter(F.col("drift_records") > 0)
+
+
+def provisional(components: DataFrame) -> DataFrame:
+    return components.filter(F.size("provisional_rules") > 0)
+
+
+def best_place(components: DataFrame, first: DataFrame) -> DataFrame:
+    """Where to look first: the endpoint, else the first sighting, else a dash."""
+    rows = components.join(first, ["scan_id", "system", "bom_ref"], "left")
+    return rows.withColumn("place", F.coalesce(_param("endpoint"), "first_locator", F.lit("-"))).drop("first_view", "first_locator")

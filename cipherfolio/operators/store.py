@@ -33,6 +33,16 @@ def _write(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("scan_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+PRUNED_SCANS = 1000
+
+
+def _only(rows: DataFrame, scans: DataFrame) -> DataFrame:
+    """The partitions of some scans: named in the filter while they are few."""
+    ids = scans.select("scan_id").distinct()
+    few = [row["scan_id"] for row in ids.limit(PRUNED_SCANS + 1).collect()]
+    return rows.filter(F.col("scan_id").isin(*few)) if len(few) <= PRUNED_SCANS else rows.join(ids, "scan_id", "left_semi")
+
+
 def summaries(components: DataFrame, drifts: DataFrame) -> DataFrame:
     """The summary columns of a scan row, from the rows being stored."""
     base = metrics.summarise(components)
@@ -51,14 +61,12 @@ def save_scans(components: DataFrame, drifts: DataFrame, scans: DataFrame, root:
     The summary is computed from the rows as written, not from a recomputation.
     """
     spark = components.sparkSession
-    names = [row["scan_id"] for row in scans.select("scan_id").collect()]
     _write(components, f"{root}/components")
     _write(drifts, f"{root}/drifts")
     if occurrences is not None:
         _write(occurrences, f"{root}/occurrences")
-    stored = F.col("scan_id").isin(*names)
-    written = spark.read.parquet(f"{root}/components").filter(stored)
-    found = spark.read.schema(DRIFTS).parquet(f"{root}/drifts").filter(stored)
+    written = _only(spark.read.parquet(f"{root}/components"), scans)
+    found = _only(spark.read.schema(DRIFTS).parquet(f"{root}/drifts"), scans)
     _write(scans.join(summaries(written, found), "scan_id", "left"), f"{root}/scans")
 
 

@@ -125,10 +125,24 @@ def scan_page(spark, sf_dir):
     return metrics.scan_page(testbed.scans(spark, sf_dir), 50, 100, "scan").select("scan_id", "kind", "ref")
 
 
+def count_scans(spark, sf_dir):
+    return metrics.count_scans(testbed.scans(spark, sf_dir), "scan")
+
+
+def coverage_statement(spark, sf_dir):
+    return metrics.coverage_statement(artefacts(spark, sf_dir))[1]
+
+
+def best_place(spark, sf_dir):
+    found = inv.identify(testbed.findings(spark, sf_dir))
+    rows = metrics.best_place(inv.with_structure(inv.fold_components(found)), inv.first_sighting(found))
+    return rows.select("scan_id", "system", "bom_ref", "place")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        summary_by_scan, band_counts, certainty_counts, category_band_pivot, score_histogram, agility, quantum_exposure,
+        count_scans, coverage_statement, best_place, summary_by_scan, band_counts, certainty_counts, category_band_pivot, score_histogram, agility, quantum_exposure,
         view_coverage, drift_headline, mosca_summary, inventory_cards, scanner_coverage, priority_queue, worst_by_band,
         inventory_filter_sort, roadmap, roadmap_clusters, coverage_gaps, scan_status, risk_trend, previous_scan,
         latest_child, scan_page,
@@ -154,6 +168,12 @@ _ROADMAP = f"""deadline < DATE '{TODAY}' AS overdue,
        ELSE CAST(year(deadline) AS VARCHAR) END AS "column" """
 
 ORACLES = {
+    "count_scans": "WITH " + _SCANS + "SELECT count(*) AS scans FROM scans WHERE kind = 'scan'",
+    "coverage_statement": "WITH " + CORRELATED + f""",
+        l AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY {_REPORT}) AS position, count(*) OVER (PARTITION BY scan_id) AS n FROM art WHERE coverage_missing <> '')
+        SELECT scan_id, position, system, bom_ref, name, replace(coverage_missing, ',', ', ') AS missing, greatest(0, n - 12) AS remainder FROM l WHERE position <= 12""",
+    "best_place": "WITH " + O.IDENTIFIED + """
+        SELECT scan_id, system, bom_ref, coalesce(any_value(endpoint), arg_min(locator, (view, locator, detail, snippet))) AS place FROM ident GROUP BY scan_id, system, bom_ref""",
     "summary_by_scan": "WITH " + CORRELATED + f"""
         SELECT scan_id, count(*) AS component_count, {_BANDS}, CAST(max(score) AS BIGINT) AS max_score,
           CAST(sum(drift_records) AS BIGINT) AS drift_records, count(*) FILTER (coverage_missing <> '') AS coverage_gaps FROM art GROUP BY ALL""",
