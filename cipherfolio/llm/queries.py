@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.llm import exact_dedup
+from cipherfolio.llm import exact_dedup, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), hash_rest=True)
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("full_hash")).alias("text_sha256"))
@@ -24,6 +29,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, n.text_sha256 FROM
 """
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op6_exact_dedup": op6_exact_dedup,
 }
 ORACLES = {
