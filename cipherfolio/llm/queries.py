@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.llm import exact_dedup, sharding
+from cipherfolio.llm import exact_dedup, packing, sharding, token_blocks
+from cipherfolio.operators.durable import checkpoint_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +31,36 @@ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, n.text_sha256 FROM n JOIN g ON n.text_sha256 = g.text_sha256
 """
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one; it belongs to this session's run."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    slim = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.number_sequences(slim).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "bucket_slot")
+
+
+def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-blocks")
+    token_blocks.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    documents, starts = token_blocks.read_token_files(spark, path)
+    slim = documents.select("part", "chunk", "doc_id", "local_start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_blocks.with_starts(slim, starts).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
+    "op9_token_blocks": op9_token_blocks,
 }
 ORACLES = {
     "op6_exact_dedup": OP6_SQL,
