@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.llm import exact_dedup, packing, sharding, token_blocks
+from cipherfolio.llm import exact_dedup, packing, prefix_bpe, sharding, token_blocks
 from cipherfolio.operators.durable import checkpoint_folder
 
 
@@ -42,6 +42,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    encoded = prefix_bpe.encode_documents(table(spark, sf_dir, "documents"), path)
+    return encoded.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2(prefix_bpe.decimal_ids("ids", path), 256).alias("ids_sha256"), F.sha2(prefix_bpe.decoded("ids", path), 256).alias("decoded_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     slim = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -58,6 +66,7 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_prefix_bpe": op3_prefix_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op9_token_blocks": op9_token_blocks,
