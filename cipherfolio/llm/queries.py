@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.llm import exact_dedup, packing, prefix_bpe, sharding, token_blocks
+from cipherfolio.llm import exact_dedup, packing, prefix_bpe, sharding, token_blocks, toxicity
 from cipherfolio.operators.durable import checkpoint_folder
 
 
@@ -50,6 +50,13 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(prefix_bpe.decimal_ids("ids", path), 256).alias("ids_sha256"), F.sha2(prefix_bpe.decoded("ids", path), 256).alias("decoded_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     slim = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -67,6 +74,7 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_prefix_bpe": op3_prefix_bpe,
+    "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op9_token_blocks": op9_token_blocks,
