@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.llm import exact_dedup, packing, prefix_bpe, sharding, token_blocks, toxicity
+from cipherfolio.llm import exact_dedup, fingerprints, packing, prefix_bpe, sharding, token_blocks, toxicity
 from cipherfolio.operators.durable import checkpoint_folder
 
 
@@ -63,6 +63,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.number_sequences(slim).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "bucket_slot")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document meets half of the next one's text, so the text is shuffled twice and never gathered."""
+    docs = table(spark, sf_dir, "documents")
+    marked = fingerprints.fingerprint_documents(docs).select("doc_id", "text", "n_chars", "sketch")
+    follows = fingerprints.next_in_descending_order(docs)
+    sizes = docs.select("doc_id", F.expr("char_length(coalesce(text, '')) div 2").cast("int").alias("taken"))
+    lent = (
+        follows.join(sizes, "doc_id")
+        .join(marked.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch")), "next_id")
+        .select("doc_id", F.expr("substring(next_text, 1, taken)").alias("lent"), "next_sketch", "taken")
+    )
+    edited = F.concat(F.expr("substring(text, 1, int(n_chars) - taken)"), F.col("lent"))
+    both = marked.join(lent, "doc_id").select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited"))
+    final = both.withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
+    return final.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-blocks")
     token_blocks.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -77,6 +97,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op8_fingerprints": op8_fingerprints,
     "op9_token_blocks": op9_token_blocks,
 }
 ORACLES = {
