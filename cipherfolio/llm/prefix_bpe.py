@@ -25,7 +25,7 @@ from cipherfolio.llm.word_tokens import byte_letters
 #: Fixed value of the vocabulary file's kind: how a text is split into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 ODD_SPACE = regex.compile(r"\A\s|\s\Z|\s\s")
-MOST_REMEMBERED = 2_000_000
+MOST_REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 NEVER = 1 << 60
 
@@ -142,10 +142,9 @@ class PrefixBpe(dict):
         """Ids of a whole text; null is empty. Special tokens in it become their ids, as the library has it."""
         if not text:
             return b""
-        if len(self) > MOST_REMEMBERED:
-            self.clear()
-            self.pieces.clear()
-            self.known_pairs.clear()
+        for memory in (self, self.pieces, self.known_pairs):
+            if len(memory) > MOST_REMEMBERED:
+                memory.clear()
         if self.between is None or not self.between.search(text):
             return self.plain(text)
         return b"".join(array("I", [self.special[x]]).tobytes() if x in self.special else self.plain(x) for x in self.between.split(text))

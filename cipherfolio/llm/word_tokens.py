@@ -16,7 +16,7 @@ import regex
 #: Fixed value of the vocabulary file: how it splits normalised text into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 END_ID = 1
-MOST_REMEMBERED = 2_000_000
+MOST_REMEMBERED = 600_000
 LONGEST_REMEMBERED = 64
 
 
@@ -65,9 +65,9 @@ class WordIds(dict):
         """Ids of a whole text; null is empty."""
         if not text:
             return b""
-        if len(self) > MOST_REMEMBERED:
-            self.clear()
-            self.pieces.clear()
+        for memory in (self, self.pieces):
+            if len(memory) > MOST_REMEMBERED:
+                memory.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
