@@ -10,7 +10,7 @@ import numpy as np
 LEAST_GRAM, MOST_GRAM = 3, 5
 BUCKETS = 1 << 18
 LONGEST_WORD = 40
-MOST_REMEMBERED = 2_000_000
+MOST_REMEMBERED = 800_000
 
 
 def grams(word: str, buckets: int = BUCKETS) -> list[int]:

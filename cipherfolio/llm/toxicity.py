@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cipherfolio.llm.subwords import BUCKETS, WordScores, bare, grams, words_of
 
 #: Documented bound of the training sample: rows of each class, drawn by a hash of the id.
-ROWS_PER_CLASS = 1500
+ROWS_PER_CLASS = 1200
 DIMENSIONS = 4
 EPOCHS = 70
 RATE = 0.02
@@ -56,29 +56,24 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 
 def bags(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries (document, bucket, share of the document's n-grams), one per distinct pair."""
-    number: dict[str, int] = {}
-    doc_at, word_at, times = [], [], []
+    """Entries (document, bucket, share of the document's n-grams), one per distinct pair, built document by document."""
+    known: dict[str, np.ndarray] = {}
+    documents, found, shares = [], [], []
     for i, text in enumerate(texts):
-        for word, count in Counter(map(bare, words_of(text))).items():
-            doc_at.append(i)
-            word_at.append(number.setdefault(word, len(number)))
-            times.append(count)
-    if not number:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    found = [np.array(grams(word, buckets), np.int64) for word in number]
-    sizes = np.array([len(x) for x in found])
-    every, starts = np.concatenate(found), np.cumsum(sizes) - sizes
-    doc_at, word_at, times = np.array(doc_at), np.array(word_at), np.array(times, np.float64)
-    total = np.bincount(doc_at, times * sizes[word_at], len(texts))
-    repeat = sizes[word_at]
-    entry = np.repeat(starts[word_at] - (np.cumsum(repeat) - repeat), repeat) + np.arange(repeat.sum())
-    key = np.repeat(doc_at, repeat) * buckets + every[entry]
-    order = np.argsort(key, kind="stable")
-    key, share = key[order], np.repeat(times / total[doc_at], repeat)[order]
-    first = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1])
-    key = key[first]
-    return key // buckets, key % buckets, np.add.reduceat(share, first).astype(np.float32)
+        counts = Counter(map(bare, words_of(text)))
+        if not counts:
+            continue
+        for word in counts.keys() - known.keys():
+            known[word] = np.array(grams(word, buckets), np.int32)
+        each = [known[word] for word in counts]
+        times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), [len(x) for x in each])
+        bucket, where = np.unique(np.concatenate(each), return_inverse=True)
+        documents.append(np.full(len(bucket), i, np.int32))
+        found.append(bucket)
+        shares.append((np.bincount(where, times) / times.sum()).astype(np.float32))
+    if not found:
+        return np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32)
+    return np.concatenate(documents), np.concatenate(found), np.concatenate(shares)
 
 
 def fit(sample: list[tuple[str, int]], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS) -> Model:
