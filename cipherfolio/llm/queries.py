@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.llm import exact_dedup, fingerprints, packing, prefix_bpe, sharding, token_blocks, toxicity
+from cipherfolio.llm import bag_minhash, exact_dedup, fingerprints, packing, prefix_bpe, sharding, token_blocks, toxicity
 from cipherfolio.operators.durable import checkpoint_folder
 
 
@@ -91,6 +91,10 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.with_starts(slim, starts).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_prefix_bpe": op3_prefix_bpe,
@@ -99,6 +103,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
     "op9_token_blocks": op9_token_blocks,
+    "op10_bag_minhash": op10_bag_minhash,
 }
 ORACLES = {
     "op6_exact_dedup": OP6_SQL,
