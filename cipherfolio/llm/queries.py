@@ -66,17 +66,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document meets half of the next one's text, so the text is shuffled twice and never gathered."""
     docs = table(spark, sf_dir, "documents")
-    marked = fingerprints.fingerprint_documents(docs).select("doc_id", "text", "n_chars", "sketch")
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     follows = fingerprints.next_in_descending_order(docs)
-    sizes = docs.select("doc_id", F.expr("char_length(coalesce(text, '')) div 2").cast("int").alias("taken"))
-    lent = (
-        follows.join(sizes, "doc_id")
-        .join(marked.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch")), "next_id")
-        .select("doc_id", F.expr("substring(next_text, 1, taken)").alias("lent"), "next_sketch", "taken")
-    )
-    edited = F.concat(F.expr("substring(text, 1, int(n_chars) - taken)"), F.col("lent"))
-    both = marked.join(lent, "doc_id").select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited"))
-    final = both.withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
+    sizes = base.select("doc_id", F.expr("char_length(text) div 2").cast("int").alias("taken"))
+    asked = follows.join(sizes, "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "taken")
+    lent = asked.join(base, "doc_id").select(F.col("asker").alias("doc_id"), F.expr("substring(text, 1, taken)").alias("lent"), fingerprints.sketch(F.col("text")).alias("next_sketch"))
+    n_chars = F.char_length("text").cast("long")
+    both = base.join(lent, "doc_id").select("doc_id", "text", "lent", "next_sketch", n_chars.alias("n_chars"))
+    edited = F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 2))"), F.col("lent"))
+    final = both.select("doc_id", "n_chars", "next_sketch", edited.alias("edited"), fingerprints.sketch(F.col("text")).alias("sketch")).withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
     return final.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
