@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.llm import bag_minhash, exact_dedup, fingerprints, packing, prefix_bpe, sharding, token_blocks, toxicity
+from cipherfolio.llm import bag_minhash, cotraining, exact_dedup, fingerprints, packing, prefix_bpe, sharding, token_blocks, toxicity
 from cipherfolio.operators.durable import checkpoint_folder
 
 
@@ -42,6 +42,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    views = cotraining.train(docs, table(spark, sf_dir, "labels"))
+    return cotraining.score_documents(docs, views).withColumn("kept", F.col("score") >= 0.5)
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     encoded = prefix_bpe.encode_documents(table(spark, sf_dir, "documents"), path)
@@ -95,6 +101,7 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_cotraining": op2_cotraining,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
