@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.llm import bag_minhash, cotraining, exact_dedup, fingerprints, packing, prefix_bpe, sharding, token_blocks, toxicity
+from cipherfolio.llm import bag_minhash, cotraining, exact_dedup, fingerprints, language_id, packing, prefix_bpe, sharding, token_blocks, toxicity
 from cipherfolio.operators.durable import checkpoint_folder
 
 
@@ -20,6 +20,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.text_model(table(spark, sf_dir, "documents"))
+    return language_id.identify(table(spark, sf_dir, "pages"), model).select("page_id", "host", "declared", "text_lang", "lang", F.round("chance", 6).alias("chance"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), hash_rest=True)
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("full_hash")).alias("text_sha256"))
@@ -104,6 +109,7 @@ QUERIES = {
     "op2_cotraining": op2_cotraining,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
