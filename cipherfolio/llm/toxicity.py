@@ -20,8 +20,8 @@ from cipherfolio.llm.subwords import BUCKETS, WordScores, bare, grams, words_of
 
 #: Documented bound of the training sample: rows of each class, drawn by a hash of the id.
 ROWS_PER_CLASS = 1200
-DIMENSIONS = 4
-EPOCHS = 70
+DIMENSIONS = 2
+EPOCHS = 50
 RATE = 0.02
 #: An n-gram seen in fewer sample documents has a zero vector: it would only learn its documents by heart.
 LEAST_DOCUMENTS = 8
