@@ -37,8 +37,8 @@ def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of the ids that stay. Rows that repeat an id stay or go together, and rows without an id stay together
     if any of them is to stay."""
-    stay = decisions.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    stay = decisions.filter("kept").select(F.col("doc_id").alias("stays")).distinct()
+    return docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
