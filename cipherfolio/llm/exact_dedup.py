@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = shape.join(open_keys, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_bytes") == F.col("_sbytes")) & (F.col("_prefix") == F.col("_sprefix")), "left")
     is_open = F.coalesce(F.col("_open"), F.lit(False))
     full = F.unhex(F.sha2("_norm", 256))
-    hashed = met.select("_id", is_open.alias("_open"), (full if hash_rest else F.when(is_open, full)).alias("_full"))
+    hashed = durable(met.select("_id", is_open.alias("_open"), (full if hash_rest else F.when(is_open, full)).alias("_full")))
 
     alone = hashed.filter(~F.col("_open")).select(
         F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_full").alias("full_hash"))
