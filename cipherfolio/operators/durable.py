@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -29,24 +28,3 @@ def durable(rows: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return rows.checkpoint(eager=True)
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Use every core for costly per-row work on an input of few splits.
-
-    A large input already has more splits than cores and is left alone.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only for a table counted to be small.
-
-    Beyond ``limit`` rows the join keeps whatever strategy its sizes call for.
-    The count stops at the limit.
-    """
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.operators.durable import spread
 from cipherfolio.schema import FINDING_COLUMNS
 
 
@@ -13,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key, whatever their number: a given table may be one row group, which no reader can split.
+
+    Only these adapters do so; operators take the splits of their input.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 _ALGORITHMS = (
     "array('RSA','ECDSA','Ed25519','ECDH','AES','ChaCha20-Poly1305','SHA-1','SHA-256','MD5','3DES',"
     "'ML-KEM','X25519MLKEM768','x25519','TLS','OpenSSL','TLS_AES_256_GCM_SHA384')"
@@ -30,7 +37,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_name")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    joined = spread(items).join(parts, "l_partkey").join(suppliers, "l_suppkey")
+    joined = items.join(parts, "l_partkey").join(suppliers, "l_suppkey")
     numbered = joined.selectExpr(
         "*",
         "cast(l_partkey % 16 as int) as i",
@@ -202,7 +209,7 @@ CODE_TEXT = """concat_ws(chr(10), concat('# ', p_name),
 
 def text_files(spark: SparkSession, sf_dir: str, path: str, text: str) -> DataFrame:
     """One file per part; ``path`` and ``text`` are SQL over part columns."""
-    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     return part.selectExpr("'base' as scan_id", "concat('sys', p_partkey % 25) as system", f"{path} as path", f"{text} as text")
 
 
@@ -216,7 +223,7 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (folder + "package.json')", PACKAGE_JSON_TEXT, "p_size % 5 < 3"),
         (folder + "node_modules/x/package.json')", PACKAGE_JSON_TEXT, "p_size % 5 = 0"),
     )
-    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     rows = None
     for path, text, when in kinds:
         one = part.where(when).selectExpr("'base' as scan_id", "concat('sys', p_partkey % 25) as system", f"{path} as path", f"{text} as text")
@@ -240,7 +247,7 @@ MAX_EVENT_LINE = 350
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "events").drop("props")).selectExpr(f"{EVENT_FILE} as path", "cast(event_id as int) as line_no", f"{EVENT_LINE} as line")
+    return dealt(table(spark, sf_dir, "events").drop("props"), "event_id").selectExpr(f"{EVENT_FILE} as path", "cast(event_id as int) as line_no", f"{EVENT_LINE} as line")
 
 
 def handshake_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from cipherfolio.functions import redact as R
 from cipherfolio.knowledge import HERE, read_table
-from cipherfolio.operators.durable import broadcast_if_small
 from cipherfolio.sources import files as T
 from cipherfolio.sources.packages import is_pqc_capable
 
@@ -131,7 +130,7 @@ def signature_findings(blobs: DataFrame, signatures: Sequence[Signature] | None
 def banner_findings(blobs: DataFrame, facts: DataFrame, banners: Sequence[tuple[str, str]] = BANNERS) -> DataFrame:
     """Banners with the capability their library's confirmed floor gives them."""
     by_name = facts.filter("ecosystem = 'distro'").select(F.col("package_key").alias("_key"), "floor", "verified").distinct()
-    rows = banner_hits(blobs, banners).withColumn("_key", F.lower("library")).join(broadcast_if_small(by_name), "_key", "left")
+    rows = banner_hits(blobs, banners).withColumn("_key", F.lower("library")).join(by_name, "_key", "left")
     return rows.select(*T.finding(
         scanner_id=F.lit("binary"), view=F.lit("shipped"), asset_type=F.lit("library"), primitive=F.lit("unknown"), algorithm=F.col("library"),
         params=T.text_map(version=F.col("version"), library=F.col("library"), pqc_capable=is_pqc_capable(F.col("floor"), F.col("verified"), F.col("version"))),
@@ -163,7 +162,7 @@ def symbol_hits(imports: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Known imported symbols, once per binary (scan_id, system, path, symbol)."""
     bare = imports.withColumn("symbol", F.regexp_replace("symbol", r"@+.*$", ""))
     # Joining before the distinct keeps unknown symbols out of the shuffle.
-    return bare.join(broadcast_if_small(dictionary), "symbol").dropDuplicates(["scan_id", "system", "path", "symbol"])
+    return bare.join(dictionary, "symbol").dropDuplicates(["scan_id", "system", "path", "symbol"])
 
 
 def symbol_findings(imports: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cipherfolio import schema as S
 from cipherfolio.functions import redact as R
 from cipherfolio.knowledge import HERE, KnowledgeError, read_table
-from cipherfolio.operators.durable import broadcast_if_small, durable
+from cipherfolio.operators.durable import durable
 from cipherfolio.sources import files as T
 
 # Confidence of an unresolved parameter, symbol params, prefixes.
@@ -173,7 +173,7 @@ def matches(lines: DataFrame, rules: Sequence[DetectRule] | None = None) -> Data
     hit = (
         lines.filter(worth).select(*keep, F.explode(found).alias("h"))
         .select(*keep, "h.rule_no", F.explode("h.found").alias("match"))
-        .join(broadcast_if_small(rule_table(lines.sparkSession, rules)), "rule_no")
+        .join(rule_table(lines.sparkSession, rules), "rule_no")
     )
     strong = F.col("min_entropy").isNull() | (R.entropy(unquote(_extract(F.col("literal_at")))) >= F.col("min_entropy"))
     taken = F.transform("captures", lambda c: F.struct(c["name"].alias("name"), _extract(c["at"]).alias("text")))

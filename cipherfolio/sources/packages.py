@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherfolio.knowledge import HERE, read_table
-from cipherfolio.operators.durable import broadcast_if_small
 from cipherfolio.sources import files as T
 
 # Lockfiles and manifests, most certain first.
@@ -55,7 +54,7 @@ def join_libraries(packages: DataFrame, facts: DataFrame) -> DataFrame:
     The fact table normally comes from the knowledge file: tens of rows.
     """
     keyed = packages.withColumn("package_key", F.lower("package"))
-    return keyed.join(broadcast_if_small(facts), ["ecosystem", "package_key"]).drop("package_key")
+    return keyed.join(facts, ["ecosystem", "package_key"]).drop("package_key")
 
 
 def package_findings(packages: DataFrame, facts: DataFrame, detail: Column, view: str = "shipped", scanner: str = "container") -> DataFrame:
