@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cipherfolio import schema as S
 from cipherfolio.functions import canonical as C
+from cipherfolio.functions import redact
 
 UNIT = "\u001f"
 RECORD = "\u001e"
@@ -307,10 +308,18 @@ def crypto_properties() -> Column:
     )
 
 
-def build_components(findings: DataFrame) -> DataFrame:
-    """Findings -> components in one pass: validate, identify, fold, describe."""
+def normalise(findings: DataFrame) -> DataFrame:
+    """Findings fit to be stored: validated, without key material in any free text, identified.
+
+    Components and sightings both start here, so neither can hold what the other had removed.
+    """
     accepted, _ = split_valid(findings)
-    return with_structure(fold_components(identify(accepted)))
+    return identify(redact.redact_findings(accepted))
+
+
+def build_components(findings: DataFrame) -> DataFrame:
+    """Findings -> components in one pass: validate, redact, identify, fold, describe."""
+    return with_structure(fold_components(normalise(findings)))
 
 
 # --- numbering --------------------------------------------------------------

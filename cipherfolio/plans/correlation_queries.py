@@ -30,7 +30,7 @@ def _drift(spark, sf_dir, kinds):
 
 
 def drift_evidence(spark, sf_dir):
-    findings = inv.identify(testbed.findings(spark, sf_dir))
+    findings = inv.normalise(testbed.findings(spark, sf_dir))
     rows = correlate.members(inv.with_structure(inv.fold_components(findings)))
     return correlate.drift_witnesses(rows, inv.sightings(findings))
 
@@ -57,7 +57,7 @@ def _sides(rows):
 
 def compare_snapshots(spark, sf_dir):
     base, head = _sides(scored(spark, sf_dir))
-    seen = inv.sightings(inv.identify(testbed.findings(spark, sf_dir)))
+    seen = inv.sightings(inv.normalise(testbed.findings(spark, sf_dir)))
     changes = compare.evidence_changes(*_sides(seen))
     rows = compare.compare_components(base, head, changes)
     return rows.select(
@@ -67,7 +67,7 @@ def compare_snapshots(spark, sf_dir):
 
 
 def compare_evidence(spark, sf_dir):
-    seen = inv.sightings(inv.identify(testbed.findings(spark, sf_dir)))
+    seen = inv.sightings(inv.normalise(testbed.findings(spark, sf_dir)))
     return compare.evidence_changes(*_sides(seen)).select("system", "bom_ref", "view", "locator", "detail", "scanners", "change")
 
 

@@ -62,12 +62,12 @@ def dedup_components(spark, sf_dir):
 
 
 def sighting_sources(spark, sf_dir):
-    rows = inv.sightings(inv.identify(testbed.findings(spark, sf_dir)))
+    rows = inv.sightings(inv.normalise(testbed.findings(spark, sf_dir)))
     return rows.select("scan_id", "bom_ref", "view", "locator", "detail", "snippet", joined("scanners"))
 
 
 def occurrence_numbers(spark, sf_dir):
-    rows = inv.sightings(inv.identify(testbed.findings(spark, sf_dir)))
+    rows = inv.sightings(inv.normalise(testbed.findings(spark, sf_dir)))
     return inv.number_occurrences(rows).select("scan_id", "occurrence_ref", "view", "locator", "detail", "snippet")
 
 

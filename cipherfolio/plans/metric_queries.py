@@ -19,7 +19,7 @@ def artefacts(spark, sf_dir):
 
 
 def sightings(spark, sf_dir):
-    return inv.sightings(inv.identify(testbed.findings(spark, sf_dir)))
+    return inv.sightings(inv.normalise(testbed.findings(spark, sf_dir)))
 
 
 def summary_by_scan(spark, sf_dir):

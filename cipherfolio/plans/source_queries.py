@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from cipherfolio.functions import redact as R
-from cipherfolio.operators.durable import durable, spread
+from cipherfolio.operators.durable import durable
 from cipherfolio.plans import testbed as B
 from cipherfolio.plans.inventory_queries import joined, param
 from cipherfolio.sources import bytescan, config_text, detect, files, packages
@@ -91,18 +91,18 @@ TEXT_RULES = (
 def detect_documents(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents").selectExpr(
         "'base' as scan_id", "source as system", "concat('doc/', doc_id) as path", "text", "'text' as language")
-    found = detect.matches(files.lines(spread(docs)), TEXT_RULES)
+    found = detect.matches(files.lines(B.dealt(docs, "path")), TEXT_RULES)
     return found.groupBy("path", "line_no", "rule_id", param("host").alias("host"), "holder", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def candidate_fold(spark, sf_dir):
-    """Documents with a license line confirm the tokens of their source."""
+    """License lines of a document confirm its tokens."""
     docs = B.table(spark, sf_dir, "documents").selectExpr(
-        "'base' as scan_id", "source as system", "source as path", "text", "'text' as language")
-    found = detect.annotate(durable(detect.matches(files.lines(spread(docs)), TEXT_RULES)))
+        "'base' as scan_id", "source as system", "concat('doc/', doc_id) as path", "text", "'text' as language")
+    found = detect.annotate(durable(detect.matches(files.lines(B.dealt(docs, "path")), TEXT_RULES)))
     marked = found.withColumn("holder", F.when(F.col("rule_id") == "doc-license", F.lit("token")).otherwise(F.col("holder")))
     rows = detect.fold_candidates(marked)
-    return rows.groupBy("path", "algorithm", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("path", "algorithm", "rule_id", F.size(F.coalesce("also", F.array())).alias("sightings"), "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def symbol_join(spark, sf_dir):
@@ -139,7 +139,7 @@ def pem_blocks(spark, sf_dir):
 
 
 def _redacted(spark, sf_dir, name, keys, text):
-    rows = spread(B.table(spark, sf_dir, name).select(*keys, text))
+    rows = B.dealt(B.table(spark, sf_dir, name).select(*keys, text), keys[0])
     fixed = rows.withColumn("fixed", R.redact_text(F.col(text), True, SECRET_WORDS))
     return fixed.select(
         *keys, F.md5("fixed").alias("digest"), F.length("fixed").cast("bigint").alias("length"), (F.col("fixed") != F.col(text)).alias("changed"))
@@ -148,14 +148,14 @@ def _redacted(spark, sf_dir, name, keys, text):
 def redact_audit(spark, sf_dir):
     """Which rule acted how often in which column, never on what."""
     parts = None
-    for name, text in (("documents", "text"), ("conversations", "text"), ("pages", "html")):
-        one = spread(B.table(spark, sf_dir, name).select(text)).select(F.lit(f"{name}.{text}").alias("field"), F.explode(R.rules_hit(F.col(text), True, SECRET_WORDS)).alias("rule"))
+    for name, key, text in (("documents", "doc_id", "text"), ("conversations", "conv_id", "text"), ("pages", "page_id", "html")):
+        one = B.dealt(B.table(spark, sf_dir, name).select(key, text), key).select(F.lit(f"{name}.{text}").alias("field"), F.explode(R.rules_hit(F.col(text), True, SECRET_WORDS)).alias("rule"))
         parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy("field", "rule").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def text_entropy(spark, sf_dir):
-    return spread(B.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.round(R.entropy(F.col("text")), 5).alias("bits"))
+    return B.dealt(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.round(R.entropy(F.col("text")), 5).alias("bits"))
 
 
 QUERIES = {
@@ -298,8 +298,8 @@ ORACLES = {
           UNION ALL SELECT path, 2, 'py-aes-cipher', 'algorithm', 'block-cipher', 'AES', 'encrypt', NOT TRUE, 1.0, NULL, 'ECB', NULL, 'true', NULL, 'c = Cipher(algorithms.AES(k), modes.ECB())' FROM c WHERE p_size % 6 = 3
           UNION ALL SELECT path, 2, 'py-hardcoded-cipher-key', 'key', 'unknown', 'AES', 'unknown', FALSE, 1.0, NULL, NULL, NULL, 'true', NULL, '<redacted key material>' FROM c WHERE p_size % 6 = 3
           UNION ALL SELECT path, 2, 'py-ec-keygen', 'algorithm', 'key-agreement', 'ECDH', 'unknown', FALSE, 1.0, NULL, NULL, 'SECP256R1', NULL, NULL, 'curve = ec.generate_private_key(ec.SECP256R1())' FROM c WHERE p_size % 6 = 4
-          UNION ALL SELECT path, 3, 'py-hardcoded-key-candidate', 'key', 'unknown', CASE WHEN p_size % 10 = 0 THEN 'AES' ELSE 'unknown' END, 'unknown', FALSE, 0.5, NULL, NULL, NULL,
-            CASE WHEN p_size % 10 = 0 THEN 'true' END, CASE WHEN p_size % 10 <> 0 THEN 'true' END, '<redacted key material>' FROM c WHERE p_size % 5 = 0
+          UNION ALL SELECT path, 3, 'py-hardcoded-key-candidate', 'key', 'unknown', 'unknown', 'unknown', FALSE, 0.5, NULL, NULL, NULL,
+            NULL, 'true', '<redacted key material>' FROM c WHERE p_size % 5 = 0 AND p_size % 10 <> 0
           UNION ALL SELECT path, 4, 'py-hardcoded-cipher-key', 'key', 'unknown', 'AES', 'unknown', FALSE, 1.0, NULL, NULL, NULL, 'true', NULL, '<redacted key material>' FROM c WHERE p_size % 10 = 0
           UNION ALL SELECT path, 4, 'py-aes-cipher-pycryptodome', 'algorithm', 'block-cipher', 'AES', 'encrypt', FALSE, 1.0, NULL, 'CBC', NULL, NULL, NULL, 'cipher = AES.new(API_KEY, AES.MODE_CBC)' FROM c WHERE p_size % 10 = 0
           UNION ALL SELECT path, last, 'py-rsa-keygen', 'algorithm', 'pke', 'RSA', 'sign', TRUE, 1.0, 'int', NULL, NULL, NULL, NULL, 'k2 = rsa.generate_private_key(key_size=int(os.environ["BITS"])).sign(data)' FROM c WHERE p_size % 7 = 0)
@@ -310,9 +310,12 @@ ORACLES = {
           CASE rule_id WHEN 'doc-token' THEN 0.5 WHEN 'doc-url' THEN CASE WHEN contains(m, '.') THEN 1.0 ELSE 0.6 END ELSE 1.0 END AS confidence, count(*) AS n
         FROM hits GROUP BY ALL""",
     "candidate_fold": "WITH " + _DOC_LINES + """,
-        lic AS (SELECT DISTINCT source FROM hits WHERE rule_id = 'doc-license')
-        SELECT source AS path, CASE rule_id WHEN 'doc-token' THEN CASE WHEN source IN (SELECT source FROM lic) THEN 'License' ELSE 'unknown' END WHEN 'doc-url' THEN 'URL' ELSE 'License' END AS algorithm,
-          rule_id, count(*) AS n FROM hits GROUP BY ALL""",
+        lic AS (SELECT DISTINCT doc_id FROM hits WHERE rule_id = 'doc-license'),
+        tok AS (SELECT doc_id, count(DISTINCT line_no) AS k FROM hits WHERE rule_id = 'doc-token' GROUP BY ALL)
+        SELECT 'doc/' || h.doc_id AS path, CASE rule_id WHEN 'doc-token' THEN 'unknown' WHEN 'doc-url' THEN 'URL' ELSE 'License' END AS algorithm, rule_id,
+          CAST(CASE rule_id WHEN 'doc-license' THEN coalesce(k, 0) ELSE 0 END AS INTEGER) AS sightings,
+          CASE rule_id WHEN 'doc-token' THEN 0.5 WHEN 'doc-url' THEN CASE WHEN contains(m, '.') THEN 1.0 ELSE 0.6 END ELSE 1.0 END AS confidence, count(*) AS n
+        FROM hits h LEFT JOIN tok ON tok.doc_id = h.doc_id WHERE NOT (rule_id = 'doc-token' AND h.doc_id IN (SELECT doc_id FROM lic)) GROUP BY ALL""",
     "symbol_join": """SELECT DISTINCT source AS system, lang AS path, w AS symbol, upper(w) AS algorithm
         FROM (SELECT source, lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) WHERE w IN ('the', 'License', 'token', 'nicht', 'que', 'absent')""",
     "signature_hits": """SELECT doc_id, s AS name, octet_length(encode(left(text, instr(text, s) - 1))) AS "offset", CASE WHEN s = 'é' THEN 'É' ELSE upper(s) END AS algorithm

@@ -198,12 +198,10 @@ def openssl_findings(files: DataFrame) -> DataFrame:
 
 
 def config_findings(files: DataFrame) -> DataFrame:
-    """Every file by the format its name says."""
-    name = F.substring_index("path", "/", -1)
-    sshd = name.isin("sshd_config") | F.contains(F.col("path"), F.lit("sshd_config.d/"))
-    openssl = name.isin("openssl.cnf", "openssl.conf")
+    """Every configuration file by the format its name says; other files give no row."""
+    kind = T.config_kind(F.col("path"))
     return (
-        nginx_findings(files.filter(~sshd & ~openssl))
-        .unionByName(sshd_findings(files.filter(sshd)))
-        .unionByName(openssl_findings(files.filter(openssl)))
+        nginx_findings(files.filter(kind == "nginx"))
+        .unionByName(sshd_findings(files.filter(kind == "sshd")))
+        .unionByName(openssl_findings(files.filter(kind == "openssl")))
     )

@@ -213,40 +213,46 @@ def annotate(found: DataFrame) -> DataFrame:
     )
 
 
-IDENTITY = ("algorithm", "primitive", "usage", "asset_type")
-
-
 def fold_candidates(detections: DataFrame) -> DataFrame:
     """Fold each candidate into the confirmed detections with its holder.
 
     A candidate whose holder also has a confirmed detection in its file is not
-    an artefact of its own: its line becomes one more sighting of what the
-    confirmed detections found. A candidate nothing confirms stays as it is.
+    a finding of its own: its line becomes one more sighting (``also``) of every
+    confirmed detection of the holder, which keeps its own confidence and
+    configurability. A candidate nothing confirms stays as it is. ``also`` is
+    bounded by the candidate lines of one holder in one file.
     """
     key = ["scan_id", "system", "path", "holder"]
     is_candidate = F.coalesce(F.try_element_at("params", F.lit("candidate")) == "true", F.lit(False))
     marked = detections.withColumn("_candidate", is_candidate)
-    # Owners are distinct artefacts per holder, not detections: a holder used on
-    # many lines counts once.
-    owners = marked.filter(~F.col("_candidate") & F.col("holder").isNotNull()).select(
-        *key, *IDENTITY, F.array_sort(F.map_entries("params")).alias("entries")).distinct()
     candidates = marked.filter("_candidate").drop("_candidate")
-    unconfirmed = candidates.join(owners.select(*key).distinct(), key, "left_anti")
-    confirmed = (
-        candidates.drop(*IDENTITY, "params").join(owners, key)
-        .withColumn("params", F.map_from_entries("entries")).drop("entries")
-    )
-    kept = marked.filter("NOT _candidate").drop("_candidate")
-    return kept.unionByName(unconfirmed).unionByName(confirmed.select(*kept.columns))
+    confirmed = marked.filter("NOT _candidate").drop("_candidate")
+    named = confirmed.filter("holder IS NOT NULL").select(*key).distinct()
+    sighting = F.struct("line_no", "rule_id", "line", "redact")
+    lines = candidates.join(named, key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_set(sighting)).alias("also"))
+    kept = confirmed.join(lines, key, "left")
+    alone = candidates.join(named, key, "left_anti").withColumn("also", F.lit(None).cast(kept.schema["also"].dataType))
+    return kept.unionByName(alone.select(*kept.columns))
 
 
 def detection_findings(detections: DataFrame) -> DataFrame:
-    snippet = R.scrub_line(F.col("line"), F.col("redact"))
-    return detections.select(*T.finding(
+    """Findings of detections; folded candidates are further occurrences after the detection's own line."""
+    def place(number: Column, rule: Column, line: Column, redact: Column) -> Column:
+        snippet = R.scrub_line(line, redact)
+        return F.struct(
+            F.lit("declared").alias("view"), F.concat_ws(":", "path", number.cast("string")).alias("locator"), F.concat(F.lit("rule="), rule).alias("detail"),
+            F.when(snippet != "", snippet).alias("snippet"))
+
+    own = F.array(place(F.col("line_no"), F.col("rule_id"), F.col("line"), F.col("redact")))
+    rows = detections.withColumn("places", own)
+    if "also" in detections.columns:
+        more = F.transform("also", lambda a: place(a["line_no"], a["rule_id"], a["line"], a["redact"]))
+        rows = rows.withColumn("places", F.when(F.col("also").isNull(), own).otherwise(F.array_distinct(F.concat(own, more))))
+    shaped = T.finding(
         scanner_id=F.lit("source"), view=F.lit("declared"), asset_type=F.col("asset_type"), primitive=F.col("primitive"), algorithm=F.col("algorithm"),
         params=F.col("params"), usage=F.col("usage"), configurable=F.col("configurable"), confidence=F.col("confidence"),
-        locator=F.concat_ws(":", "path", F.col("line_no").cast("string")), detail=F.concat(F.lit("rule="), "rule_id"),
-        snippet=F.when(snippet != "", snippet)))
+        locator=F.lit(""), detail=F.lit(""))
+    return rows.select(*shaped, "places").withColumn("occurrences", F.col("places")).drop("places")
 
 
 def source_findings(files: DataFrame, rules: Sequence[DetectRule] | None = None) -> DataFrame:

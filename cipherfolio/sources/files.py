@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders never read, size limits, and executable magic numbers.
+# Folders never read, and executable magic numbers.
 SKIPPED_FOLDERS = (".git", ".venv", "node_modules", "vendor", "__pycache__")
 DEPENDENCY_FOLDERS = ("node_modules", "vendor", "site-packages", ".venv", "dist", "build")
-MAX_CONFIG_BYTES = 4 * 1024 * 1024
-MAX_BINARY_BYTES = 400 * 1024 * 1024
+#: The reader holds a file in one cell; a larger one is reported as a coverage gap, never dropped silently.
+READER_LIMIT = 2**31 - 1024
 EXECUTABLE_MAGIC = ("7F454C46", "4D5A", "CFFAEDFE", "CEFAEDFE", "CAFEBABE")
-CONFIG_NAMES = ("nginx.conf", "sshd_config", "openssl.cnf", "openssl.conf")
+# Names of configuration files, and the folders whose ``.conf`` files belong to nginx.
+SSHD_NAMES = ("sshd_config",)
+OPENSSL_NAMES = ("openssl.cnf", "openssl.conf")
+NGINX_NAMES = ("nginx.conf",)
+NGINX_FOLDERS = ("conf.d", "sites-available", "sites-enabled", "snippets")
 
 
 def outside(path: Column, folders: Sequence[str] = SKIPPED_FOLDERS) -> Column:
@@ -21,26 +25,55 @@ def outside(path: Column, folders: Sequence[str] = SKIPPED_FOLDERS) -> Column:
     return ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(f) for f in folders]))
 
 
-def read_files(spark: SparkSession, root: str, max_bytes: int, folders: Sequence[str] = SKIPPED_FOLDERS) -> DataFrame:
-    """Files under ``root`` as (path, length, content).
+def listed(spark: SparkSession, root: str, folders: Sequence[str] = SKIPPED_FOLDERS) -> DataFrame:
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return rows.filter(outside(F.col("path"), folders))
+
+
+def read_files(spark: SparkSession, root: str, max_bytes: int | None = None, folders: Sequence[str] = SKIPPED_FOLDERS) -> DataFrame:
+    """Files under ``root`` as (path, length, content), all of them unless ``max_bytes`` is given.
 
     Path and size are tested on the listing; only ``content`` of the files
-    that pass is read. Spark's own limit guards against larger files.
+    that pass is read. ``file_gaps`` has the rest.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return rows.filter((F.col("length") <= max_bytes) & outside(F.col("path"), folders)).select("path", "length", "content")
+    limit = READER_LIMIT if max_bytes is None else min(max_bytes, READER_LIMIT)
+    return listed(spark, root, folders).filter(F.col("length") <= limit).select("path", "length", "content")
+
+
+def file_gaps(spark: SparkSession, root: str, max_bytes: int | None = None, folders: Sequence[str] = SKIPPED_FOLDERS) -> DataFrame:
+    """(path, length, kind, reason) of the files that ``read_files`` with the same limits leaves out. Reads no content."""
+    limit = READER_LIMIT if max_bytes is None else min(max_bytes, READER_LIMIT)
+    larger = listed(spark, root, folders).filter(F.col("length") > limit)
+    return larger.select("path", "length", F.lit("unparsed").alias("kind"), F.concat(F.lit("larger than "), F.lit(limit), F.lit(" bytes")).alias("reason"))
+
+
+def text_gaps(files: DataFrame) -> DataFrame:
+    """(scan_id, scanner, path, kind, reason) of text files (scan_id, path, text) that their reader cannot take whole:
+    bytes that were no UTF-8, and documents named as JSON that are none."""
+    damaged = F.contains(F.col("text"), F.lit("\ufffd"))
+    broken = F.col("path").endswith(".json") & F.try_parse_json("text").isNull()
+    gap = F.when(broken, F.struct(F.lit("unparsed").alias("kind"), F.lit("not valid JSON").alias("reason"))).when(
+        damaged, F.struct(F.lit("partially-parsed").alias("kind"), F.lit("not valid UTF-8").alias("reason")))
+    scanner = F.when(config_kind(F.col("path")).isNotNull(), F.lit("config")).when(F.col("path").endswith(".json"), F.lit("deps")).otherwise(F.lit("source"))
+    return files.select("scan_id", scanner.alias("scanner"), "path", gap.alias("gap")).filter("gap IS NOT NULL").select("scan_id", "scanner", "path", "gap.kind", "gap.reason")
+
+
+def config_kind(path: Column) -> Column:
+    """The format a file's name says: sshd, openssl, nginx, or NULL for every other file."""
+    name = F.substring_index(path, "/", -1)
+    folders = F.array(*[F.lit(f) for f in NGINX_FOLDERS])
+    nginx = name.isin(*NGINX_NAMES) | (name.endswith(".conf") & F.arrays_overlap(F.split(path, "/"), folders))
+    return F.when(name.isin(*SSHD_NAMES), F.lit("sshd")).when(name.isin(*OPENSSL_NAMES), F.lit("openssl")).when(nginx, F.lit("nginx"))
 
 
-def config_files(spark: SparkSession, root: str, names: Sequence[str] = CONFIG_NAMES) -> DataFrame:
-    rows = read_files(spark, root, MAX_CONFIG_BYTES)
-    name = F.substring_index("path", "/", -1)
-    wanted = name.isin(*names) | name.endswith(".conf")
-    return rows.filter(wanted).select("path", F.decode("content", "UTF-8").alias("text"))
+def config_files(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_files(spark, root).filter(config_kind(F.col("path")).isNotNull())
+    return rows.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def executables(spark: SparkSession, root: str) -> DataFrame:
     """Files that start like an ELF, PE or Mach-O image."""
-    return read_files(spark, root, MAX_BINARY_BYTES).filter(has_magic(F.col("content")))
+    return read_files(spark, root).filter(has_magic(F.col("content")))
 
 
 def has_magic(content: Column) -> Column:

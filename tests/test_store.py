@@ -22,7 +22,7 @@ def parts(spark):
     scans = spark.createDataFrame([("s", "repo", "app", "scan", None, "bfsi", "internet", 11, ["source"])],
                                   "scan_id string, ref string, system string, kind string, parent_scan_id string, sector string, exposure string, z_years int, scanners_ran array<string>"
                                   ).withColumn("created_at", F.lit("2026-01-01").cast("timestamp"))
-    return components, drifts, scans, targets, inv.sightings(inv.identify(found))
+    return components, drifts, scans, targets, inv.sightings(inv.normalise(found))
 
 
 def test_save_twice_is_one_snapshot_and_rescore_leaves_the_parent(spark, parts, tmp_path):
