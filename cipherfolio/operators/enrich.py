@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-THREAD = ["pid", "tid"]
+THREAD = ["host", "pid", "tid"]
 READ = ("version", "cipher", "group")
 
 
 def enrich_handshakes(events: DataFrame, window_us: int) -> tuple[DataFrame, DataFrame]:
     """``(handshakes, accessor events with what became of them)``.
 
-    Events need event_id, pid, tid, ts_us, phase, retval and the three values
+    Events need event_id, host, pid, tid, ts_us, phase, retval and the three values
     (NULL where not read). Ties in time go by event_id.
     """
     completed = (F.col("phase") == "return") & (F.col("retval") == 1)

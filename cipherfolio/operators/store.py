@@ -1,14 +1,18 @@
 """Append-only snapshots: components, drifts, sightings and one summary row.
 
-Every scan owns its partition. Saving a scan again replaces only its own
-partition, so a retried job never doubles a snapshot and never touches another.
+Every save writes its rows under a version of its own and then publishes that
+version in the scan's summary row. Readers only see published versions, so
+saving a scan again replaces all of its rows, also those the new save no longer
+has, and a save that fails half-way changes nothing a reader sees. Superseded
+versions stay on disk; ``superseded`` lists them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherfolio import schema as S
@@ -29,18 +33,27 @@ BASE_COLUMNS = (
 )
 
 
-def _write(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy("scan_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+#: Directory columns: the scan as text that no reader takes for a number, and the save's version.
+PLACE = ("scan_key", "version")
+#: Tasks that share the rows of one scan while it is written, so that a large scan is no single task's work.
+SPLITS = 4
 
 
-PRUNED_SCANS = 1000
+def _key(scan_id: Column) -> Column:
+    return F.concat(F.lit("k_"), scan_id)
 
 
-def _only(rows: DataFrame, scans: DataFrame) -> DataFrame:
-    """The partitions of some scans: named in the filter while they are few."""
-    ids = scans.select("scan_id").distinct()
-    few = [row["scan_id"] for row in ids.limit(PRUNED_SCANS + 1).collect()]
-    return rows.filter(F.col("scan_id").isin(*few)) if len(few) <= PRUNED_SCANS else rows.join(ids, "scan_id", "left_semi")
+def _write(rows: DataFrame, path: str, version: str) -> None:
+    """Clustered by scan and a hash of the artefact: each scan is ``SPLITS`` files, however many tasks made its rows."""
+    part = F.pmod(F.xxhash64("bom_ref"), F.lit(SPLITS)) if "bom_ref" in rows.columns else F.lit(0)
+    placed = rows.withColumns({"scan_key": _key(F.col("scan_id")), "version": F.lit(version), "_part": part})
+    dealt = placed.repartition("scan_key", "_part").drop("_part")
+    dealt.write.partitionBy(*PLACE).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def _stored(spark: SparkSession, root: str, name: str) -> DataFrame:
+    reader = spark.read.schema(f"{DRIFTS}, scan_key string, version string") if name == "drifts" else spark.read
+    return reader.parquet(f"{root}/{name}")
 
 
 def summaries(components: DataFrame, drifts: DataFrame) -> DataFrame:
@@ -61,53 +74,117 @@ def save_scans(components: DataFrame, drifts: DataFrame, scans: DataFrame, root:
     The summary is computed from the rows as written, not from a recomputation.
     """
     spark = components.sparkSession
-    _write(components, f"{root}/components")
-    _write(drifts, f"{root}/drifts")
+    version = f"v_{uuid.uuid4().hex}"
+    _write(components, f"{root}/components", version)
+    _write(drifts, f"{root}/drifts", version)
     if occurrences is not None:
-        _write(occurrences, f"{root}/occurrences")
-    written = _only(spark.read.parquet(f"{root}/components"), scans)
-    found = _only(spark.read.schema(DRIFTS).parquet(f"{root}/drifts"), scans)
-    _write(scans.join(summaries(written, found), "scan_id", "left"), f"{root}/scans")
+        _write(occurrences, f"{root}/occurrences", version)
+    written, found = (_stored(spark, root, name).filter(F.col("version") == version) for name in ("components", "drifts"))
+    summary = scans.join(summaries(written, found), "scan_id", "left").withColumns({"scan_key": _key(F.col("scan_id")), "published": F.lit(version)})
+    summary.write.partitionBy("scan_key").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/scans")
 
 
 def read(spark: SparkSession, root: str, name: str, scan_ids: Sequence[str] | None = None) -> DataFrame:
-    """A stored table, pruned to the partitions of some scans."""
+    """The published rows of a stored table, pruned to the partitions of some scans.
+
+    The join with the published versions prunes directories when it runs.
+    """
     if name not in TABLES:
         raise ValueError(f"{name!r} is not one of {TABLES}")
-    reader = spark.read.schema(DRIFTS) if name == "drifts" else spark.read
-    rows = reader.parquet(f"{root}/{name}")
-    return rows if scan_ids is None else rows.filter(F.col("scan_id").isin(*scan_ids))
+    scans = spark.read.parquet(f"{root}/scans")
+    if scan_ids is not None:
+        scans = scans.filter(F.col("scan_key").isin(*[f"k_{s}" for s in scan_ids]))
+    if name == "scans":
+        return scans.drop("scan_key", "published")
+    rows = _stored(spark, root, name)
+    if scan_ids is not None:
+        rows = rows.filter(F.col("scan_key").isin(*[f"k_{s}" for s in scan_ids]))
+    published = scans.select("scan_key", F.col("published").alias("version"))
+    return rows.join(published, list(PLACE), "left_semi").drop(*PLACE)
+
+
+def superseded(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(scan_key, version) of stored rows that no summary publishes: what a clean-up may delete once no save is running."""
+    published = spark.read.parquet(f"{root}/scans").select("scan_key", F.col("published").alias("version"))
+    return _stored(spark, root, name).select(*PLACE).distinct().join(published, list(PLACE), "left_anti")
+
+
+#: What a derived scan inherits, and what holds where neither caller nor parent says.
+CONTEXT = {"sector": "other", "exposure": "unknown", "z_years": policy.DEFAULT_Z_YEARS}
 
 
 def resolve_context(parent: DataFrame, **explicit: object) -> DataFrame:
     """Score inputs of a derived scan: given values, else the parent's, else defaults."""
     rows = parent
-    defaults = {"sector": "other", "exposure": "unknown", "z_years": policy.DEFAULT_Z_YEARS}
-    for name, default in defaults.items():
+    for name, default in CONTEXT.items():
         inherited = F.col(name) if name in parent.columns else F.lit(None)
         rows = rows.withColumn(name, F.lit(explicit[name]) if explicit.get(name) is not None else F.coalesce(inherited, F.lit(default)))
     return rows
 
 
+def _targets_of(targets: DataFrame, origin: str, context: dict[str, object]) -> DataFrame:
+    """One target per system of the origin scan, with sector and exposure as the scan's context has them.
+
+    Targets of other scans are left out; of several rows for a system the least stands.
+    """
+    own = targets.filter(F.col("scan_id") == origin) if "scan_id" in targets.columns else targets
+    said = own.withColumns({name: F.lit(value) for name, value in context.items() if value is not None and name in own.columns})
+    columns = [c for c in said.columns if c not in ("scan_id", "system")]
+    single = said.groupBy("system").agg(F.min(F.struct(*columns)).alias("_one")) if columns else said.select("system").distinct()
+    return single.select(F.lit(origin).alias("scan_id"), "system", *([F.col(f"_one.{c}").alias(c) for c in columns]))
+
+
 def rescore(spark: SparkSession, root: str, scan_id: str, new_id: str, targets: DataFrame, created_at: object, z_years: int | None = None,
-            packs: Sequence[Pack] | None = None) -> None:
+            packs: Sequence[Pack] | None = None, sector: str | None = None, exposure: str | None = None) -> None:
     """Score a stored snapshot again and store the result as its child.
 
     Works from the base columns of the original scan, so a rescore of a
-    rescore never compounds; the parent is not touched.
+    rescore never compounds; the parent is not touched. Sector, exposure and
+    horizon are the given ones, else the parent's; where the parent has none
+    the targets' own stand.
     """
     parent = read(spark, root, "scans", [scan_id])
-    context = resolve_context(parent, z_years=z_years)
-    origin = context.select(F.coalesce(F.when(F.col("kind") == "rescore", F.col("parent_scan_id")), F.col("scan_id"))).first()[0]
-    horizon = context.select("z_years").first()[0]
+    context = resolve_context(parent, z_years=z_years, sector=sector, exposure=exposure)
+    kind, upper, horizon = context.select("kind", "parent_scan_id", "z_years").first()
+    origin = upper if kind == "rescore" and upper else scan_id
+    own = parent.select(*[F.col(c) if c in parent.columns else F.lit(None).cast("string").alias(c) for c in ("sector", "exposure")]).first()
     base = read(spark, root, "components", [origin]).select(*BASE_COLUMNS)
-    scored = policy.score_components(base, targets.withColumn("scan_id", F.lit(origin)), packs, horizon)
+    known = {"sector": sector or own["sector"], "exposure": exposure or own["exposure"]}
+    scored = policy.score_components(base, _targets_of(targets, origin, known), packs, horizon)
     rows, drifts = correlate.correlate(scored.withColumn("scan_id", F.lit(new_id)))
-    meta = context.select(
-        F.lit(new_id).alias("scan_id"), "ref", "system", F.lit("rescore").alias("kind"), F.lit(origin).alias("parent_scan_id"),
-        F.lit(created_at).cast("timestamp").alias("created_at"), "sector", "exposure", F.lit(horizon).alias("z_years"),
-        F.array().cast("array<string>").alias("scanners_ran"))
-    save_scans(rows, drifts, meta, root)
+    save_scans(rows, drifts, _child(context, new_id, origin, "rescore", created_at), root)
+
+
+def _child(context: DataFrame, new_id: str, parent_id: str, kind: str, created_at: object) -> DataFrame:
+    """The summary input of a derived scan; it ran no scanners."""
+    return context.select(
+        F.lit(new_id).alias("scan_id"), "ref", "system", F.lit(kind).alias("kind"), F.lit(parent_id).alias("parent_scan_id"),
+        F.lit(created_at).cast("timestamp").alias("created_at"), "sector", "exposure", "z_years", F.array().cast("array<string>").alias("scanners_ran"))
+
+
+def save_fix(spark: SparkSession, root: str, scan_id: str, new_id: str, components: DataFrame, drifts: DataFrame, created_at: object,
+             occurrences: DataFrame | None = None) -> None:
+    """Store what a scan finds after fixes as a child of the scan before them.
+
+    ``components`` and ``drifts`` are the scored rows of the patched files.
+    """
+    context = resolve_context(read(spark, root, "scans", [scan_id]))
+    named = [None if rows is None else rows.withColumn("scan_id", F.lit(new_id)) for rows in (components, drifts, occurrences)]
+    save_scans(named[0], named[1], _child(context, new_id, scan_id, "fix", created_at), root, named[2])
+
+
+def combined(spark: SparkSession, root: str, scan_ids: Sequence[str], new_id: str) -> tuple[DataFrame, DataFrame]:
+    """Scored components of several stored scans as one scan, correlated anew: ``(components, drifts)``.
+
+    An artefact that several scans hold is one component with the views of all of them; the first scan by id gives the rest.
+    """
+    stored = read(spark, root, "components", scan_ids)
+    key = ["system", "bom_ref"]
+    rest = [c for c in stored.columns if c not in (*key, "scan_id", "views", "n_findings", "drift_kinds")]
+    folded = stored.groupBy(*key).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("views")))).alias("views"), F.sum("n_findings").alias("n_findings"),
+        *[F.min_by(c, F.col("scan_id")).alias(c) for c in rest])
+    return correlate.correlate(folded.withColumn("scan_id", F.lit(new_id)))
 
 
 # --- exports ----------------------------------------------------------------
@@ -141,5 +218,5 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
-    """One object per line with sorted keys, published by the commit protocol."""
-    rows.select(*sorted(rows.columns)).write.mode("append").json(path)
+    """One object per line with sorted keys; ``path`` is this export's own, and a retried export replaces itself."""
+    rows.select(*sorted(rows.columns)).write.mode("overwrite").json(path)

@@ -47,7 +47,7 @@ def event_findings(spark, sf_dir):
 
 def enrich_window(spark, sf_dir):
     handshakes, _ = enrich.enrich_handshakes(B.handshake_events(spark, sf_dir), WINDOW_US)
-    return handshakes.select("event_id", "pid", "tid", "version", "cipher", "group", "reads", "status")
+    return handshakes.select("event_id", "host", "pid", "tid", "version", "cipher", "group", "reads", "status")
 
 
 def enrich_fates(spark, sf_dir):
@@ -179,10 +179,10 @@ j AS (SELECT *, CASE WHEN octet_length(encode(line)) > {B.MAX_EVENT_LINE} THEN '
     WHEN json_extract_string(line, '$.phase') = 'return' AND json_extract_string(line, '$.retval') = '1'
       AND coalesce(json_type(line, '$.observed_cipher'), 'VARCHAR') NOT IN ('VARCHAR', 'NULL') THEN 'event could not be mapped' END AS reject_reason FROM l)
 """
-_HELD = """e AS (SELECT event_id, 1000 + user_id AS pid, user_id AS tid, epoch_us(ts) AS ts_us, event_type = 'signup' AS ret, event_type = 'signup' AND event_id % 5 <> 0 AS done,
+_HELD = """e AS (SELECT event_id, 'h' || event_id % 2 AS host, 1000 + user_id AS pid, user_id AS tid, epoch_us(ts) AS ts_us, event_type = 'signup' AS ret, event_type = 'signup' AND event_id % 5 <> 0 AS done,
     CASE WHEN event_id % 3 = 0 THEN 'TLSv1.3' END AS version, CASE event_type WHEN 'click' THEN 'TLS_AES_256_GCM_SHA384' END AS cipher, CASE event_type WHEN 'view' THEN 'x25519' END AS kex
-  FROM events WHERE event_type <> 'error'),
-h AS (SELECT *, max(CASE WHEN done THEN (ts_us, event_id) END) OVER (PARTITION BY pid, tid ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
+  FROM events),
+h AS (SELECT *, max(CASE WHEN done THEN (ts_us, event_id) END) OVER (PARTITION BY host, pid, tid ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
 a AS (SELECT h.*, CASE WHEN prev IS NOT NULL AND ts_us - prev[1] < 21600000000 THEN prev[2] END AS holder FROM h),
 r AS (SELECT a.*, row_number() OVER w AS k,
     coalesce(max(CASE WHEN a.version IS NOT NULL THEN (a.ts_us, a.event_id, a.version) END) OVER p IS NOT NULL OR o.version IS NOT NULL, FALSE)
@@ -208,7 +208,7 @@ ORACLES = {
         SELECT path, line_no, CAST(json_extract_string(line, '$.pid') AS BIGINT) AS pid, CAST(json_extract_string(line, '$.tid') AS BIGINT) AS tid, json_extract_string(line, '$.comm') AS comm,
           json_extract_string(line, '$.phase') AS phase, CAST(json_extract_string(line, '$.retval') AS BIGINT) AS retval, json_extract_string(line, '$.observed_version') AS observed_version,
           json_extract_string(line, '$.observed_cipher') AS observed_cipher, json_extract_string(line, '$.observed_group') AS observed_group FROM j WHERE reject_reason IS NULL""",
-    "spool_rejects": "WITH " + _EVENTS + "SELECT path, line_no, reject_reason FROM j WHERE reject_reason IS NOT NULL",
+    "spool_rejects": "WITH " + _EVENTS + "SELECT path, line_no, reject_reason, line FROM j WHERE reject_reason IS NOT NULL",
     "spool_verdicts": "WITH " + _EVENTS + """
         SELECT path, count(*) FILTER (reject_reason IS NULL) AS valid, count(reject_reason) AS skipped, CASE WHEN count(*) FILTER (reject_reason IS NULL) > 0 THEN 'consumed' ELSE 'rejected' END AS verdict
         FROM j GROUP BY ALL""",
@@ -226,9 +226,9 @@ ORACLES = {
         SELECT * EXCLUDE (pid, comm), 'host:h1:pid' || pid AS locator, comm || ' via /usr/lib/libssl.so.3' AS snippet, count(*) AS n FROM u GROUP BY ALL""",
     "enrich_window": "WITH " + _HELD + """,
         heirs AS (SELECT DISTINCT holder FROM a WHERE done AND holder IS NOT NULL),
-        m AS (SELECT e.event_id, e.pid, e.tid, coalesce(v.version, e.version) AS version, coalesce(v.cipher, e.cipher) AS cipher, coalesce(v.kex, e.kex) AS kex, coalesce(v.reads, 0) AS reads
+        m AS (SELECT e.event_id, e.host, e.pid, e.tid, coalesce(v.version, e.version) AS version, coalesce(v.cipher, e.cipher) AS cipher, coalesce(v.kex, e.kex) AS kex, coalesce(v.reads, 0) AS reads
               FROM e LEFT JOIN v ON v.holder = e.event_id WHERE e.done)
-        SELECT event_id, pid, tid, version, cipher, kex AS "group", reads, CASE WHEN version IS NOT NULL AND cipher IS NOT NULL AND kex IS NOT NULL AND reads > 0 THEN 'complete'
+        SELECT event_id, host, pid, tid, version, cipher, kex AS "group", reads, CASE WHEN version IS NOT NULL AND cipher IS NOT NULL AND kex IS NOT NULL AND reads > 0 THEN 'complete'
           WHEN event_id IN (SELECT holder FROM heirs) THEN 'replaced' ELSE 'expired' END AS status FROM m""",
     "enrich_fates": "WITH " + _HELD + """
         SELECT event_id, CASE WHEN full_before AND k > 1 THEN 'orphan' ELSE 'attached' END AS fate FROM r

@@ -251,9 +251,9 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def handshake_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as one thread per user: signups complete, the rest read values."""
-    return table(spark, sf_dir, "events").where("event_type <> 'error'").selectExpr(
-        "event_id", "1000 + user_id as pid", "user_id as tid", "unix_micros(cast(ts as timestamp)) as ts_us",
+    """Events as a thread of each user on each of two hosts: signups complete, the rest read values."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id", "concat('h', event_id % 2) as host", "1000 + user_id as pid", "user_id as tid", "unix_micros(cast(ts as timestamp)) as ts_us",
         "case when event_type = 'signup' then 'return' else 'enrich' end as phase",
         "case when event_type = 'signup' and event_id % 5 = 0 then -1L else 1L end as retval",
         "case when event_id % 3 = 0 then 'TLSv1.3' end as version",

@@ -68,15 +68,15 @@ def component_json(components: DataFrame) -> DataFrame:
 
 
 def write_document(components: DataFrame, occurrences: DataFrame, path: str) -> None:
-    """``path/components`` and ``path/occurrences``, both by scan."""
+    """``path/components`` and ``path/occurrences``, both by scan; writing a scan again replaces its partition."""
     lines = component_json(components).repartitionByRange("scan_id", "bom_ref").sortWithinPartitions("scan_id", "bom_ref")
-    lines.select("scan_id", F.col("json").alias("value")).write.partitionBy("scan_id").mode("append").text(f"{path}/components")
+    lines.select("scan_id", F.col("json").alias("value")).write.partitionBy("scan_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(f"{path}/components")
     seen = inv.with_location(inv.number_occurrences(occurrences))
     body = F.struct(
         F.col("occurrence_ref").alias("bom-ref"), F.col("bom_ref").alias("component"), "view", F.col("locator"), F.array_join("scanners", ",").alias("scanner"),
         "detail", "location", "line", F.col("context").alias("additionalContext"))
     rows = seen.select("scan_id", "bom_ref", "n", F.to_json(body).alias("value")).repartitionByRange("scan_id", "bom_ref", "n").sortWithinPartitions("scan_id", "bom_ref", "n")
-    rows.select("scan_id", "value").write.partitionBy("scan_id").mode("append").text(f"{path}/occurrences")
+    rows.select("scan_id", "value").write.partitionBy("scan_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(f"{path}/occurrences")
 
 
 def document_serial(components: DataFrame, gaps: DataFrame | None = None) -> DataFrame:

@@ -5,16 +5,13 @@ The same functions run on a batch and on a stream of lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cipherfolio.functions import canonical as C
 from cipherfolio.sources import files as T
 
-# Limits of a line and of its fields, spool file names.
-MAX_LINE_BYTES = 64 * 1024
-MAX_FIELD = 128
-MAX_ENRICHMENT = 96
+# The range of process ids, spool file names.
 MAX_PID = 4_194_304
 SUFFIXES = (".jsonl", ".json")
 TEMPORARY = ".tmp-"
@@ -37,8 +34,21 @@ def _lines(files: DataFrame) -> DataFrame:
 
 
 def read_spool(spark: SparkSession, directory: str) -> DataFrame:
-    """(path, line_no, line) of every published file; not recursive, no blank lines."""
-    return _lines(spark.read.text(directory, wholetext=True))
+    """(path, line_no, line) of every published file; not recursive, no blank lines.
+
+    A large file is read in splits. Rows of a split are consecutive; how many
+    lines the splits before it hold is counted, so no line is shuffled to be
+    numbered.
+    """
+    rows = spark.read.option("lineSep", "\n").text(directory).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    published = rows.filter(complete_file(F.col("file")))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = published.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).select(
+        "path", "block", (F.col("first") - F.coalesce(F.sum("n").over(before), F.lit(0)) - 1).alias("offset"))
+    numbered = published.join(splits, ["path", "block"]).select("path", (F.col("at") - F.col("offset")).cast("int").alias("line_no"), "line")
+    return numbered.filter(F.trim("line") != "")
 
 
 def stream_spool(spark: SparkSession, directory: str, archive: str | None = None, max_files: int = 1000) -> DataFrame:
@@ -62,9 +72,12 @@ def _clean(path: str) -> Column:
     return F.trim(F.substring_index(_get(path, "string"), "\u0000", 1))
 
 
-def judge_lines(lines: DataFrame, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """Every line with its parsed event and why it was rejected, if it was."""
-    fits = F.octet_length("line") <= max_bytes
+def judge_lines(lines: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Every line with its parsed event and why it was rejected, if it was.
+
+    A longest line is only tested where ``max_bytes`` is given.
+    """
+    fits = F.lit(True) if max_bytes is None else F.octet_length("line") <= max_bytes
     # Generated, not projected: filters on the event then cannot be pushed
     # below the parser, where each test would parse the line again.
     parsed = lines.select("*", F.explode(F.array(F.when(fits, F.try_parse_json("line")))).alias("event"))
@@ -87,7 +100,7 @@ def judge_lines(lines: DataFrame, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
 
 def split_lines(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = judged.filter("reject_reason IS NULL").drop("reject_reason")
-    bad = judged.filter("reject_reason IS NOT NULL").select("path", "line_no", "reject_reason")
+    bad = judged.filter("reject_reason IS NOT NULL").select("path", "line_no", "reject_reason", "line")
     return good, bad
 
 
@@ -102,20 +115,25 @@ def parse_events(good: DataFrame) -> DataFrame:
     """Typed event columns of accepted lines, other columns kept."""
     keep = [c for c in good.columns if c not in ("event", "line")]
     return good.select(
-        *keep, _get("pid", "bigint").alias("pid"), _get("tid", "bigint").alias("tid"), F.substring(_clean("comm"), 1, MAX_FIELD).alias("comm"),
-        F.substring(_clean("libssl_path"), 1, MAX_FIELD).alias("libssl_path"), F.substring(_clean("phase"), 1, MAX_FIELD).alias("phase"),
+        *keep, _get("pid", "bigint").alias("pid"), _get("tid", "bigint").alias("tid"), _clean("comm").alias("comm"),
+        _clean("libssl_path").alias("libssl_path"), _clean("phase").alias("phase"),
         _get("retval", "bigint").alias("retval"), _get("timestamp", "bigint").alias("timestamp"),
-        *[_get(f, "string").alias(f) for f in FIELDS], F.substring(_clean("enrichment_reason"), 1, MAX_FIELD).alias("enrichment_reason"))
+        *[_get(f, "string").alias(f) for f in FIELDS], _clean("enrichment_reason").alias("enrichment_reason"))
 
 
-def grade_events(events: DataFrame) -> DataFrame:
+def grade_events(events: DataFrame, longest: int | None = None) -> DataFrame:
     """Clean the negotiated values and say how much of them was read.
 
     Nothing is negotiated before a handshake returns successfully, and a value
-    that cannot be a name is absent with a reason.
+    that cannot be a name is absent with a reason. A longest name is only
+    tested where ``longest`` is given.
     """
     negotiated = F.coalesce((F.col("phase") == "return") & (F.col("retval") == 1), F.lit(False))
     rows = events.withColumn("negotiated", negotiated)
+
+    def too_long(text: Column) -> Column:
+        return F.lit(False) if longest is None else F.length(text) > longest
+
     reasons = [
         F.when(F.col("enrichment_reason") != "", F.col("enrichment_reason")),
         F.when(~F.col("negotiated"), F.when(F.coalesce(F.col("phase"), F.lit("unknown")) != "return", F.lit("the handshake had not completed")).otherwise(
@@ -126,7 +144,7 @@ def grade_events(events: DataFrame) -> DataFrame:
         text = F.trim(F.substring_index(raw, "\u0000", 1))
         why = (
             F.when(text == "", F.lit(f"{field} was empty"))
-            .when(F.length(text) > MAX_ENRICHMENT, F.lit(f"{field} was too long to be a name"))
+            .when(too_long(text), F.lit(f"{field} was too long to be a name"))
             .when(~text.rlike(r"^[\x20-\x7e]+$"), F.lit(f"{field} was not printable"))
         )
         reasons.append(why)
@@ -144,12 +162,12 @@ def grade_events(events: DataFrame) -> DataFrame:
     )
 
 
-def event_findings(events: DataFrame, host: Column | None = None) -> DataFrame:
+def event_findings(events: DataFrame, host: Column | None = None, longest: int | None = None) -> DataFrame:
     """One to three observed findings per event: protocol, suite, group.
 
     Needs scan_id and system columns.
     """
-    rows = grade_events(events)
+    rows = grade_events(events, longest)
     host = F.lit("localhost") if host is None else host
     version, suite, group = F.col("version"), F.col("cipher"), F.col("group")
     shared = dict(enrichment=F.col("enrichment"), enrichment_reason=F.col("reason"),

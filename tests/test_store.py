@@ -44,6 +44,41 @@ def test_save_twice_is_one_snapshot_and_rescore_leaves_the_parent(spark, parts,
     assert store.read(spark, root, "components", ["s"]).count() == before
 
 
+def test_saving_again_replaces_rows_the_new_save_lacks(spark, parts, tmp_path):
+    components, drifts, scans, _, seen = parts
+    root = str(tmp_path / "again")
+    drift = spark.createDataFrame([("app", "tls", "r1", "kind", "a", "b", 1, 0.5, None, "s")], store.DRIFTS)
+    store.save_scans(components, drift, scans, root, seen)
+    assert store.read(spark, root, "drifts").count() == 1 and store.read(spark, root, "scans").first().drift_counts == {"kind": 1}
+    store.save_scans(components.filter("algorithm = 'AES'"), drifts.limit(0), scans, root, seen.limit(0))
+    assert store.read(spark, root, "drifts").count() == 0 and store.read(spark, root, "occurrences").count() == 0
+    assert store.read(spark, root, "components").count() == 1 and store.read(spark, root, "scans").first().drift_counts == {}
+    assert store.superseded(spark, root, "components").count() == 1
+
+
+def test_rescore_takes_one_target_of_its_own_scan_and_a_fix_is_a_child(spark, parts, tmp_path):
+    components, drifts, scans, targets, _ = parts
+    root = str(tmp_path / "targets")
+    store.save_scans(components, drifts, scans, root)
+    other = targets.withColumn("scan_id", F.lit("elsewhere")).withColumn("exposure", F.lit("internal"))
+    store.rescore(spark, root, "s", "s2", targets.unionByName(other).unionByName(targets), "2026-02-01", 30)
+    assert store.read(spark, root, "components", ["s2"]).count() == 4
+    scored = store.read(spark, root, "components", ["s"])
+    store.save_fix(spark, root, "s", "fixed", scored.filter("algorithm <> 'MD5'"), store.read(spark, root, "drifts", ["s"]), "2026-02-02")
+    row = store.read(spark, root, "scans", ["fixed"]).first()
+    assert (row.kind, row.parent_scan_id, row.component_count) == ("fix", "s", 3)
+    rows, _ = store.combined(spark, root, ["s", "fixed"], "both")
+    assert rows.count() == 4 and {r.scan_id for r in rows.collect()} == {"both"}
+
+
+def test_exports_can_be_retried(spark, parts, tmp_path):
+    components, _, _, _, seen = parts
+    for _ in range(2):
+        cbom.write_document(components, seen, str(tmp_path / "doc2"))
+        store.write_jsonl(components.select("bom_ref", "name"), str(tmp_path / "lines"))
+    assert spark.read.text(str(tmp_path / "doc2") + "/components").count() == 4 == spark.read.json(str(tmp_path / "lines")).count()
+
+
 def test_document_round_trip(spark, parts, tmp_path):
     components, _, _, _, seen = parts
     path = str(tmp_path / "doc")

@@ -41,7 +41,7 @@ def test_events_to_findings(spark, change, grade, claims):
     good, bad = spool.split_lines(spool.judge_lines(lines))
     assert bad.count() == 0
     events = spool.parse_events(good).withColumn("scan_id", F.lit("s")).withColumn("system", F.lit("app"))
-    rows = spool.event_findings(events, F.lit("h")).collect()
+    rows = spool.event_findings(events, F.lit("h"), longest=96).collect()
     assert len(rows) == claims and {r.params["enrichment"] for r in rows} == {grade}
     assert {r.occurrences[0].locator for r in rows} == {"host:h:pid5"}
     if change.get("observed_group", "").__class__ is str and "MLKEM" in change.get("observed_group", ""):
@@ -58,7 +58,7 @@ def hold(events, window):
     """The definition, one event at a time."""
     held, out, fate = {}, {}, {}
     for e in sorted(events, key=lambda e: (e["ts_us"], e["event_id"])):
-        key = (e["pid"], e["tid"])
+        key = (e["host"], e["pid"], e["tid"])
         if key in held and e["ts_us"] - held[key]["ts_us"] >= window:
             done = held.pop(key)
             out[done["event_id"]] = ("expired", done)
@@ -86,18 +86,18 @@ def make_events(n, seed):
     for i in range(n):
         pid = 1 if rng.random() < 0.6 else rng.randrange(2, 5)
         values = {name: rng.choice([None, None, "", "v1", "v2"]) for name in enrich.READ}
-        events.append({"event_id": i, "pid": pid, "tid": pid, "ts_us": rng.randrange(0, n * 60), "phase": rng.choice(["return", "enrich", "enrich", "enrich"]),
+        events.append({"event_id": i, "host": rng.choice(["h1", "h2"]), "pid": pid, "tid": pid, "ts_us": rng.randrange(0, n * 60), "phase": rng.choice(["return", "enrich", "enrich", "enrich"]),
                        "retval": rng.choice([1, 1, 1, -1]), **values})
     return events
 
 
-SHAPE = "event_id long, pid long, tid long, ts_us long, phase string, retval long, version string, cipher string, `group` string"
+SHAPE = "event_id long, host string, pid long, tid long, ts_us long, phase string, retval long, version string, cipher string, `group` string"
 
 
 def test_batch_enrichment_matches_the_definition(spark):
     events = make_events(1500, 11)
     want, fate = hold(events, 400)
-    rows = spark.createDataFrame([tuple(e[n] for n in ("event_id", "pid", "tid", "ts_us", "phase", "retval", *enrich.READ)) for e in events], SHAPE)
+    rows = spark.createDataFrame([tuple(e[n] for n in ("event_id", "host", "pid", "tid", "ts_us", "phase", "retval", *enrich.READ)) for e in events], SHAPE)
     done, fates = enrich.enrich_handshakes(rows, 400)
     assert {r.event_id: (r.status, r.version, r.cipher, r.group) for r in done.collect()} == want
     assert {r.event_id: r.fate for r in fates.collect()} == fate
@@ -110,11 +110,11 @@ def test_stream_holds_like_the_batch(spark, tmp_path):
         e["ts_us"] *= 1000
     want, _ = hold(events, window)
     order = sorted(events, key=lambda e: (e["ts_us"], e["event_id"]))
-    shape = SHAPE + ", host string, comm string, libssl_path string"
-    names = ("event_id", "pid", "tid", "ts_us", "phase", "retval", *enrich.READ)
+    shape = SHAPE + ", comm string, libssl_path string"
+    names = ("event_id", "host", "pid", "tid", "ts_us", "phase", "retval", *enrich.READ)
     last = {**order[-1], "event_id": 10**6, "pid": 99, "tid": 99, "ts_us": order[-1]["ts_us"] + 60_000_000, "phase": "entry"}
     for i, chunk in enumerate((order[:120], order[120:], [last], [{**last, "event_id": 10**6 + 1, "ts_us": last["ts_us"] + 60_000_000}])):
-        rows = spark.createDataFrame([(*[e[n] for n in names], "h", "c", "l") for e in chunk], shape)
+        rows = spark.createDataFrame([(*[e[n] for n in names], "c", "l") for e in chunk], shape)
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("ts_us"))
         query = handshakes.hold_handshakes(stream, window).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
