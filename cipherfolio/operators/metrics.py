@@ -304,16 +304,6 @@ def roadmap_clusters(components: DataFrame, today: str) -> DataFrame:
         F.count(F.lit(1)).alias("components"), F.max("score").alias("max_score"))
 
 
-# Which view the other side of each drift kind comes from.
-COMPARED_VIEW = {
-    "shipped-cannot-do-declared": "shipped",
-    "declared-pqc-observed-classical": "observed",
-    "declared-pqc-observed-unconfirmed": "observed",
-    "protocol-downgrade": "observed",
-    "cipher-outside-declared-set": "observed",
-}
-
-
 def drift_panels(drifts: DataFrame, components: DataFrame) -> DataFrame:
     """One panel per disagreement with the role each view plays in it."""
     collected = components.groupBy("scan_id").agg(*[
@@ -438,21 +428,23 @@ def count_scans(scans: DataFrame, kind: str | None = None) -> DataFrame:
 
 # --- report data ------------------------------------------------------------
 
-def coverage_statement(components: DataFrame, listed: int = 12) -> tuple[DataFrame, DataFrame]:
+def coverage_statement(components: DataFrame, listed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(views, incomplete)``: what was collected, and what lacks a view.
 
-    Every view has a row, collected or not. Of the components whose group
-    lacks a view the worst ``listed`` of each scan are named; ``remainder``
-    says how many more there are.
+    Every view has a row, collected or not. All components whose group lacks a
+    view are named, worst first; a report that shows the first ``listed`` of
+    each scan learns from ``remainder`` how many more there are.
     """
     views = view_coverage(components).withColumn("statement", F.when(F.col("collected"), F.lit("COLLECTED")).otherwise(F.lit("NOT COLLECTED")))
     lacking = components.filter(F.size("coverage_missing") > 0)
     totals = lacking.groupBy("scan_id").agg(F.count(F.lit(1)).alias("incomplete"))
     window = Window.partitionBy("scan_id").orderBy(*report_order())
-    worst = lacking.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= listed)
+    ranked = lacking.withColumn("position", F.row_number().over(window))
+    worst = ranked if listed is None else ranked.filter(F.col("position") <= listed)
+    beyond = F.lit(0) if listed is None else F.greatest(F.lit(0), F.col("incomplete") - listed)
     named = worst.join(totals, "scan_id").select(
         "scan_id", "position", "system", "bom_ref", "name", F.array_join("coverage_missing", ", ").alias("missing"),
-        F.greatest(F.lit(0), F.col("incomplete") - listed).alias("remainder"))
+        beyond.cast("bigint").alias("remainder"))
     return views, named
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cipherfolio.operators import correlate, enrich, kpi, remediate, store
+from cipherfolio.operators import inventory as inv
 from cipherfolio.operators.durable import durable
 from cipherfolio.plans import oracle_base as O
 from cipherfolio.plans import testbed as B
@@ -34,6 +35,31 @@ def spool_verdicts(spark, sf_dir):
     return spool.file_verdicts(_judged(spark, sf_dir))
 
 
+def reader_gaps(spark, sf_dir):
+    """Manifests of which some are cut short, and event files with damaged lines: what no reader could take."""
+    manifests = B.manifest_files(spark, sf_dir).withColumn("text", F.expr("case when path like '%package.json' and length(path) % 2 = 0 then left(text, 10) else text end"))
+    lines = spool.line_gaps(_judged(spark, sf_dir)).select(F.lit("base").alias("scan_id"), F.lit("runtime-spool").alias("scanner"), "path", "kind", "reason")
+    return files.text_gaps(manifests).unionByName(lines)
+
+
+def normalise_redacted(spark, sf_dir):
+    """Sightings of findings whose snippets hold planted key material."""
+    planted = """case doc_id % 3 when 0 then concat('-----BEGIN RSA PRIVATE KEY-----', chr(10), md5(text), chr(10), '-----END RSA PRIVATE KEY-----', chr(10), text)
+                 when 1 then concat('api_secret = "', md5(text), 'Zq"') else concat('line ', doc_id) end"""
+    found = B.table(spark, sf_dir, "documents").withColumn("planted", F.expr(planted)).selectExpr(
+        "'base' as scan_id", "source as system", "'source' as scanner_id", "'declared' as view", "'algorithm' as asset_type", "'pke' as primitive", "'RSA' as algorithm",
+        "map('note', planted) as params", "'sign' as usage", "true as configurable",
+        "array(named_struct('view', 'declared', 'locator', concat('doc/', doc_id, '.py:1'), 'detail', 'rule=planted', 'snippet', planted)) as occurrences", "1.0D as confidence")
+    return inv.sightings(inv.normalise(found)).select("system", "locator", "snippet")
+
+
+def kpi_gate(spark, sf_dir):
+    found = kpi.finding_scores(_emitted(spark, sf_dir), _planted(spark, sf_dir), ("svc/f2", "host:h2"))
+    drift = kpi.drift_scores(_emitted_drift(spark, sf_dir), *_drift_key(spark, sf_dir))
+    rows = kpi.passes(found, drift)
+    return rows.select(F.round("recall", 6).alias("recall"), "decoy_hits", F.round("drift_recall", 6).alias("drift_recall"), "invented", "passes")
+
+
 def event_findings(spark, sf_dir):
     good, _ = spool.split_lines(_judged(spark, sf_dir))
     events = spool.parse_events(good).withColumn("scan_id", F.lit("base")).withColumn("system", F.lit("sys"))
@@ -167,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         spool_batch, spool_rejects, spool_verdicts, event_findings, enrich_window, enrich_fates, kpi_findings, kpi_drift, fix_verify,
-        dependency_floor, diff_statistics, cbom_json_roundtrip, document_serial, export_csv, export_roadmap,
+        reader_gaps, normalise_redacted, kpi_gate, dependency_floor, diff_statistics, cbom_json_roundtrip, document_serial, export_csv, export_roadmap,
     )
 }
 
@@ -204,6 +230,14 @@ g AS (SELECT *, EXISTS (SELECT 1 FROM em WHERE em.view = pl.view AND em.algorith
 """
 
 ORACLES = {
+    "reader_gaps": "WITH " + _EVENTS + """,
+        m AS (SELECT concat('repo/p', p_partkey, '/package.json') AS path FROM part WHERE p_size % 5 < 3
+              UNION ALL SELECT concat('repo/p', p_partkey, '/node_modules/x/package.json') FROM part WHERE p_size % 5 = 0)
+        SELECT 'base' AS scan_id, 'deps' AS scanner, path, 'unparsed' AS kind, 'not valid JSON' AS reason FROM m WHERE length(path) % 2 = 0
+        UNION ALL SELECT DISTINCT 'base', 'runtime-spool', path, CASE WHEN valid > 0 THEN 'partially-parsed' ELSE 'unparsed' END, reject_reason
+        FROM (SELECT path, reject_reason, count(*) FILTER (reject_reason IS NULL) OVER (PARTITION BY path) AS valid FROM j) WHERE reject_reason IS NOT NULL""",
+    "normalise_redacted": """SELECT source AS system, concat('doc/', doc_id, '.py:1') AS locator,
+        CASE doc_id % 3 WHEN 0 THEN '<redacted key material>' WHEN 1 THEN 'api_secret = "<redacted>"' ELSE concat('line ', doc_id) END AS snippet FROM documents""",
     "spool_batch": "WITH " + _EVENTS + """
         SELECT path, line_no, CAST(json_extract_string(line, '$.pid') AS BIGINT) AS pid, CAST(json_extract_string(line, '$.tid') AS BIGINT) AS tid, json_extract_string(line, '$.comm') AS comm,
           json_extract_string(line, '$.phase') AS phase, CAST(json_extract_string(line, '$.retval') AS BIGINT) AS retval, json_extract_string(line, '$.observed_version') AS observed_version,
@@ -280,3 +314,5 @@ ORACLES = {
           'false' AS deadline_provisional, CASE WHEN q_sig THEN 'ML-DSA' WHEN q_kem THEN 'ML-KEM' WHEN q_any THEN 'ML-KEM or ML-DSA' END AS target,
           CASE WHEN hybrid IN ('true', 'false') THEN hybrid END AS hybrid FROM verdict WHERE deadline IS NOT NULL""",
 }
+ORACLES["kpi_gate"] = f"""SELECT f.recall, f.decoy_hits, d.recall AS drift_recall, d.invented, f.recall >= {kpi.RECALL_GATE} AND f.decoy_hits = 0 AND d.recall = 1 AND d.invented = 0 AS passes
+    FROM ({ORACLES["kpi_findings"]}) f, ({ORACLES["kpi_drift"]}) d WHERE f.view = 'OVERALL'"""

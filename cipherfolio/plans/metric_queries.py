@@ -171,7 +171,7 @@ ORACLES = {
     "count_scans": "WITH " + _SCANS + "SELECT count(*) AS scans FROM scans WHERE kind = 'scan'",
     "coverage_statement": "WITH " + CORRELATED + f""",
         l AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY {_REPORT}) AS position, count(*) OVER (PARTITION BY scan_id) AS n FROM art WHERE coverage_missing <> '')
-        SELECT scan_id, position, system, bom_ref, name, replace(coverage_missing, ',', ', ') AS missing, greatest(0, n - 12) AS remainder FROM l WHERE position <= 12""",
+        SELECT scan_id, position, system, bom_ref, name, replace(coverage_missing, ',', ', ') AS missing, 0 AS remainder FROM l""",
     "best_place": "WITH " + O.IDENTIFIED + """
         SELECT scan_id, system, bom_ref, coalesce(any_value(endpoint), arg_min(locator, (view, locator, detail, snippet))) AS place FROM ident GROUP BY scan_id, system, bom_ref""",
     "summary_by_scan": "WITH " + CORRELATED + f"""

@@ -8,7 +8,7 @@ src AS (
   SELECT l.*, p_name, p_size % 4 AS ps, s_nationkey,
          CAST(l_partkey % 16 AS INTEGER) AS i,
          CAST((l_partkey // 16) % 3 AS VARCHAR) AS place,
-         CASE (l_suppkey + l_linenumber) % 3 WHEN 0 THEN 'declared' WHEN 1 THEN 'shipped' ELSE 'observed' END AS view
+         CASE WHEN (l_suppkey + l_linenumber) % 3 = 0 OR ((l_suppkey + l_linenumber) % 3 = 2 AND s_nationkey = 24) OR ((l_suppkey + l_linenumber) % 3 = 1 AND s_nationkey = 23) THEN 'declared' WHEN (l_suppkey + l_linenumber) % 3 = 1 THEN 'shipped' ELSE 'observed' END AS view
   FROM lineitem l JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
 ),
 wide AS (
@@ -52,7 +52,6 @@ wide AS (
          ELSE p_name END AS snippet,
     1.0 - l_discount AS confidence
   FROM src
-  WHERE NOT (view = 'observed' AND s_nationkey = 24) AND NOT (view = 'shipped' AND s_nationkey = 23)
 )
 """
 

@@ -130,10 +130,10 @@ def version_banners(spark, sf_dir):
 
 
 def pem_blocks(spark, sf_dir):
-    """Documents wrapped as PEM: label by language, body the first line."""
+    """Whole documents followed by a PEM block: label by language."""
     docs = B.table(spark, sf_dir, "documents").selectExpr(
         "doc_id",
-        """concat(left(text, 20), chr(10), '-----BEGIN ', case lang when 'en' then 'RSA PRIVATE KEY' else 'CERTIFICATE' end, '-----', chr(10),
+        """concat(text, chr(10), '-----BEGIN ', case lang when 'en' then 'RSA PRIVATE KEY' else 'CERTIFICATE' end, '-----', chr(10),
            md5(text), chr(10), '-----END ', case lang when 'en' then 'RSA PRIVATE KEY' when 'fr' then 'OTHER' else 'CERTIFICATE' end, '-----', chr(10)) as text""")
     return bytescan.pem_hits(docs).select("doc_id", "label", "fingerprint", "offset", "is_private")
 
@@ -323,7 +323,7 @@ ORACLES = {
     "version_banners": """SELECT doc_id, l AS library, regexp_extract(text, p, 1) AS version, regexp_extract(text, p) AS banner,
           octet_length(encode(left(text, instr(text, regexp_extract(text, p)) - 1))) AS "offset"
         FROM documents, (SELECT * FROM (VALUES ('license', 'Version ([0-9]+\\.[0-9]+)'), ('creative', 'NC ([0-9]+\\.[0-9]+)'), ('address', '\\(([0-9]{3})\\) [0-9]{3}')) v(l, p)) WHERE regexp_matches(text, p)""",
-    "pem_blocks": """WITH d AS (SELECT doc_id, lang, length(left(text, 20)) + 1 AS o, CASE lang WHEN 'en' THEN 'RSA PRIVATE KEY' ELSE 'CERTIFICATE' END AS label, md5(text) AS body FROM documents WHERE lang <> 'fr')
+    "pem_blocks": """WITH d AS (SELECT doc_id, lang, length(text) + 1 AS o, CASE lang WHEN 'en' THEN 'RSA PRIVATE KEY' ELSE 'CERTIFICATE' END AS label, md5(text) AS body FROM documents WHERE lang <> 'fr')
         SELECT doc_id, label, left(sha256('-----BEGIN ' || label || '-----' || chr(10) || body || chr(10) || '-----END ' || label || '-----'), 32) AS fingerprint, o AS "offset", lang = 'en' AS is_private FROM d""",
     "redact_documents": _redact_oracle("documents", "doc_id", "text"),
     "redact_conversations": _redact_oracle("conversations", "conv_id, turn", "text"),

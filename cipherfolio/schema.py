@@ -50,15 +50,3 @@ FINDING = T.StructType([
 FINDING_COLUMNS = tuple(field.name for field in FINDING.fields)
 
 #: One handshake event line of the runtime spool.
-RUNTIME_EVENT = T.StructType([
-    T.StructField("pid", T.LongType()),
-    T.StructField("tid", T.LongType()),
-    T.StructField("comm", T.StringType()),
-    T.StructField("libssl_path", T.StringType()),
-    T.StructField("phase", T.StringType()),
-    T.StructField("retval", T.LongType()),
-    T.StructField("timestamp", T.LongType()),
-    T.StructField("observed_version", T.StringType()),
-    T.StructField("observed_cipher", T.StringType()),
-    T.StructField("observed_group", T.StringType()),
-])

@@ -111,6 +111,13 @@ def file_verdicts(judged: DataFrame) -> DataFrame:
     return counts.withColumn("verdict", F.when(F.col("valid") > 0, F.lit("consumed")).otherwise(F.lit("rejected")))
 
 
+def line_gaps(judged: DataFrame) -> DataFrame:
+    """(path, kind, reason): what of a file could not be taken; a file without any valid line is unparsed."""
+    kind = F.when(F.col("verdict") == "consumed", F.lit("partially-parsed")).otherwise(F.lit("unparsed"))
+    reasons = judged.filter("reject_reason IS NOT NULL").select("path", F.col("reject_reason").alias("reason")).distinct()
+    return reasons.join(file_verdicts(judged), "path").select("path", kind.alias("kind"), "reason")
+
+
 def parse_events(good: DataFrame) -> DataFrame:
     """Typed event columns of accepted lines, other columns kept."""
     keep = [c for c in good.columns if c not in ("event", "line")]
