@@ -182,8 +182,12 @@ def _value_drifts(declared: DataFrame, shown: DataFrame, sizes: DataFrame) -> Da
         F.sum(F.when(unplaced, F.col("n")).otherwise(F.lit(0))).alias("n_unplaced"),
     ).join(sizes, SCOPE)
 
-    here = declared.filter(~unplaced).join(placed, GROUP)
-    anywhere = declared.join(per_role, ROLE).withColumn(
+    # A declaration meets only values of a kind it claims something about: at most three claims, and the kind is in the key.
+    claimed = F.array_compact(F.array(
+        F.when(F.col("hybrid"), F.lit(SHIPPED_CANNOT)), F.when(C.tls_rank(F.col("minimum")).isNotNull(), F.lit(DOWNGRADE)), F.when(F.col("allowed").isNotNull(), F.lit(OUTSIDE_SET))))
+    claims = declared.withColumn("kind", F.explode(claimed))
+    here = claims.filter(~unplaced).join(placed, [*GROUP, "kind"])
+    anywhere = claims.join(per_role, [*ROLE, "kind"]).withColumn(
         "n", F.when(unplaced, F.col("n_placed") + F.col("n_groups") * F.col("n_unplaced")).otherwise(F.col("n_unplaced"))
     ).filter("n > 0")
     columns = [*ROLE, "bom_ref", "kind", _declared_text().alias("declared"), "observed", "n"]
