@@ -76,14 +76,18 @@ def word_buckets(word: str) -> list[int]:
 
 
 def text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = ROWS_PER_LANGUAGE) -> TextModel:
-    """Fitted on at most ``per_language`` whole documents of each labelled language, with the commonest languages first."""
+    """Fitted on at most ``per_language`` whole documents of each labelled language, of the commonest
+    languages. Documents without an id are not drawn."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     found = labelled.groupBy(F.lower(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(row[0] for row in found)
     counts = np.full((BUCKETS, max(len(languages), 1)), 0.05)
     for number, language in enumerate(languages):
-        rows = labelled.filter(F.lower(lang_col) == language).select(F.col(text_col).alias("text"), F.xxhash64(id_col).alias("_order")).orderBy("_order", "text").limit(per_language)
-        words = Counter(word for row in rows.collect() for word in row[0].lower().split())
+        own = labelled.filter((F.lower(lang_col) == language) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_key"), F.col(text_col).alias("text"))
+        # Ids are drawn first, so that no task sends texts which are then not taken.
+        drawn = own.select("_key").distinct().orderBy(F.xxhash64("_key"), "_key").limit(per_language)
+        rows = own.join(F.broadcast(drawn), "_key").orderBy(F.xxhash64("_key"), "_key", "text").limit(per_language)
+        words = Counter(word for row in rows.collect() for word in row["text"].lower().split())
         for word, times in words.items():
             np.add.at(counts[:, number], word_buckets(word), times)
     return TextModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
