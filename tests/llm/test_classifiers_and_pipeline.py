@@ -81,6 +81,24 @@ def test_pseudo_labels_teach_the_other_view():
     assert scores[0] < 0 < scores[1]
 
 
+def test_quality_scores_mean_the_same_when_classes_are_sampled(larger):
+    docs, labels = larger
+    whole, sampled = cotraining.train(docs, labels), cotraining.train(docs, labels, per_class=58)
+    assert whole.prior == sampled.prior > 1.5
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    scores = [{r.doc_id: r.score for r in cotraining.score_documents(docs, v).collect() if r.doc_id in truth} for v in (whole, sampled)]
+    assert all(np.mean([(s[i] >= 0.5) == bool(truth[i]) for i in s]) > 0.95 for s in scores)
+
+
+def test_class_weights_undo_a_sample_by_class():
+    chance = np.random.default_rng(3)
+    labels = (np.arange(4000) % 8 != 0).astype(int)
+    rows = (chance.standard_normal(4000) + labels)[:, None]
+    few = np.concatenate([np.nonzero(labels == 0)[0], np.nonzero(labels == 1)[0][:500]])
+    whole, sampled = cotraining.Logistic.fit(rows, labels), cotraining.Logistic.fit(rows[few], labels[few], (500, 3500))
+    assert abs(whole.logit(np.zeros((1, 1)))[0] - sampled.logit(np.zeros((1, 1)))[0]) < 0.3
+
+
 def test_quality_of_odd_rows(spark, odd_docs, empty_docs):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 1), (7, 0), (999, 1)], "doc_id long, quality int")
     views = cotraining.train(odd_docs, labels)
