@@ -89,13 +89,16 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.withColumn("shingles", distinct_shingles(F.col("sketch"), k))
 
 
-def next_in_descending_order(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, next id): the next smaller id, and for the least one the largest. Only ids move.
+def next_in_descending_order(rows: DataFrame, id_col: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
+    """The row's id and ``ties``, and those of its follower as ``next_*``: the next smaller one, and for the least one the
+    largest. Nulls come last. Only these columns move.
 
-    Ids must not repeat; null ids are left out.
+    Rows must differ in them; ``ties`` order rows of one id.
     """
-    ids = docs.select(F.col(id_col)).filter(F.col(id_col).isNotNull()).withColumn("_all", F.lit(0))
-    ranked = durable(number_within(ids, ["_all"], [id_col], "_rank").select(id_col, "_rank"))
+    columns = [id_col, *ties]
+    slim = rows.select(*columns).withColumn("_all", F.lit(0))
+    ranked = durable(number_within(slim, ["_all"], columns, "_rank").select(*columns, "_rank"))
     last = ranked.agg(F.max("_rank")).first()[0]
-    after = ranked.select(F.col(id_col).alias("next_id"), F.when(F.col("_rank") == F.lit(last), 0).otherwise(F.col("_rank") + 1).alias("_rank"))
+    named = [F.col(c).alias("next_id" if c == id_col else f"next_{c}") for c in columns]
+    after = ranked.select(*named, F.when(F.col("_rank") == F.lit(last), 0).otherwise(F.col("_rank") + 1).alias("_rank"))
     return ranked.join(after, "_rank").drop("_rank")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherfolio.llm import bag_minhash, cotraining, exact_dedup, fingerprints, language_id, packing, prefix_bpe, sharding, token_blocks, toxicity
-from cipherfolio.operators.durable import checkpoint_folder
+from cipherfolio.operators.durable import checkpoint_folder, durable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,20 +76,42 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document meets half of the next one's text, so the text is shuffled twice and never gathered."""
-    docs = table(spark, sf_dir, "documents")
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    follows = fingerprints.next_in_descending_order(docs)
-    sizes = base.select("doc_id", F.expr("char_length(text) div 2").cast("int").alias("taken"))
-    asked = follows.join(sizes, "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "taken")
-    lent = asked.join(base, "doc_id").select(F.col("asker").alias("doc_id"), F.expr("substring(text, 1, taken)").alias("lent"), fingerprints.sketch(F.col("text")).alias("next_sketch"))
+    return fingerprints_beside_next(table(spark, sf_dir, "documents"))
+
+
+def fingerprints_beside_next(docs: DataFrame) -> DataFrame:
+    """One row per input row, beside the row that follows in descending order of (id, text hash), nulls last.
+
+    Rows that repeat an id and its text stand side by side: each is followed by the next of them, and the last one by the
+    next text. So they meet other rows as one row with a count, and their slim results are repeated at the end.
+    """
+    key = ["_id", "_null", "_hash"]
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.xxhash64(text).alias("_hash"), text.alias("text"))
+    base = rows.groupBy(*key).agg(F.first("text").alias("text"))
+    slim = durable(rows.select(*key, F.expr("char_length(text) div 2").cast("int").alias("taken")).groupBy(*key).agg(F.max("taken").alias("taken"), F.count(F.lit(1)).alias("times")))
+    # As (id or null, hash): nulls sort first, and so come last in descending order.
+    ids = slim.select(F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "_null", "_hash")
+    follows = fingerprints.next_in_descending_order(ids, ties=("_null", "_hash")).select(
+        F.coalesce("doc_id", F.lit(0)).alias("_id"), "_null", "_hash", F.coalesce("next_id", F.lit(0)).alias("next_id"), "next__null", "next__hash")
+    asked = follows.join(slim, key).select(
+        *(F.col(c).alias(f"asker{c}") for c in key), F.col("next_id").alias("_id"), F.col("next__null").alias("_null"), F.col("next__hash").alias("_hash"), "taken", "times")
+    lent = asked.join(base, key).select(
+        *(F.col(f"asker{c}").alias(c) for c in key), "taken", "times", F.expr("substring(text, 1, taken)").alias("lent"), fingerprints.sketch(F.col("text")).alias("next_sketch"))
+    met = base.join(lent, key)
+    # A row followed by its own copy borrows from itself; its sketch is the next one's too.
+    beside_next = F.struct("lent", "next_sketch", F.lit(1).cast("long").alias("n"))
+    beside_copy = F.struct(F.expr("substring(text, 1, taken)").alias("lent"), F.lit(None).cast("array<bigint>").alias("next_sketch"), (F.col("times") - 1).alias("n"))
+    sides = met.select(*key, "text", F.explode(F.when(F.col("times") > 1, F.array(beside_next, beside_copy)).otherwise(F.array(beside_next))).alias("side"))
     n_chars = F.char_length("text").cast("long")
-    both = base.join(lent, "doc_id").select("doc_id", "text", "lent", "next_sketch", n_chars.alias("n_chars"))
+    both = sides.select(F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "text", "side.lent", "side.next_sketch", "side.n", n_chars.alias("n_chars"))
     edited = F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 2))"), F.col("lent"))
-    final = both.select("doc_id", "n_chars", "next_sketch", edited.alias("edited"), fingerprints.sketch(F.col("text")).alias("sketch")).withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
-    return final.select(
+    final = both.select("doc_id", "n", "n_chars", "next_sketch", edited.alias("edited"), fingerprints.sketch(F.col("text")).alias("sketch")).withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
+    answer = final.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+        fingerprints.resemblance(F.col("sketch"), F.coalesce("next_sketch", "sketch")).alias("near_next"), "n")
+    return answer.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("_copy", "n")
 
 
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cipherfolio.llm import bag_minhash, exact_dedup, fingerprints, sharding
+from cipherfolio.llm import bag_minhash, exact_dedup, fingerprints, queries, sharding
 
 
 def normal(text):
@@ -198,3 +198,20 @@ def test_sketches_with_odd_rows_and_groups(odd_docs):
     assert merged == sorted({*found[8].sketch, *found[9].sketch})[: fingerprints.SKETCH]
     empty = rows.filter("doc_id in (3)").select(fingerprints.resemblance(F.col("sketch"), F.col("sketch")).alias("x"), fingerprints.distinct_shingles(F.col("sketch")).alias("n")).first()
     assert (empty.x, empty.n) == (1.0, 0.0)
+
+
+def test_fingerprint_query_with_odd_and_repeated_rows(odd_docs, empty_docs):
+    docs = odd_docs.union(odd_docs.filter("doc_id in (6, 14)")).union(odd_docs.filter("doc_id = 6")).union(odd_docs.filter("doc_id = 2").withColumn("text", F.lit("other text")))
+    docs = docs.union(odd_docs.filter("doc_id is null")).union(odd_docs.filter("doc_id is null").withColumn("text", F.lit("q w e r t y")))
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    rows = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h), reverse=True)
+    want = Counter()
+    for r, after in zip(rows, [*rows[1:], rows[0]], strict=True):
+        n = len(r.text)
+        edited = r.text[: n - n // 2] + after.text[: n // 2]
+        want[r.doc_id, n, hashlib.sha256(edited.encode()).hexdigest()] += 1
+    got = queries.fingerprints_beside_next(docs).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    assert all(r.near_next is not None and r.near_edited is not None for r in got)
+    assert sorted(r.near_next for r in got if r.doc_id == 6)[1:] == [1.0, 1.0]
+    assert queries.fingerprints_beside_next(empty_docs).count() == 0
