@@ -34,21 +34,35 @@ def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return cotraining.score_documents(docs, views, keep=("text", "n_chars", "lang", "source")).filter("score >= 0.5").select(*COLUMNS)
 
 
-def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of the ids that stay. Rows that repeat an id stay or go together, and rows without an id stay together
-    if any of them is to stay."""
-    stay = decisions.filter("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with ``row_key``, 17 bytes in the order of the id (nulls last) and a hash of the whole row.
+
+    Only rows that are equal in all columns share a key, and of those at most one can stay.
+    """
+    high = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))
+    flag = F.when(F.col("doc_id").isNull(), "01").otherwise("00")
+    # Null columns do not change a hash, so their places are hashed too.
+    whole = F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
+    digits = [F.lpad(F.hex(x), 16, "0") for x in (high, whole)]
+    return docs.select(*COLUMNS, F.unhex(F.concat(flag, *digits)).alias("row_key"))
+
+
+def kept_rows(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows whose key stays, one of each key."""
+    stay = decisions.filter("kept").select("row_key")
+    return rows.dropDuplicates(["row_key"]).join(stay, "row_key", "left_semi").select(*COLUMNS)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
-    return kept_rows(docs, exact_dedup.exact_dedup(docs))
+    """Of equal texts the row of the smallest id stays, also where ids repeat or are null."""
+    rows = keyed(docs)
+    return kept_rows(rows, exact_dedup.exact_dedup(rows, id_col="row_key"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the smallest id stays."""
-    return kept_rows(docs, bag_minhash.near_duplicates(docs))
+    """Of each class of near copies the row of the smallest id stays, also where ids repeat or are null."""
+    rows = keyed(docs)
+    return kept_rows(rows, bag_minhash.near_duplicates(rows, id_col="row_key"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,5 +179,20 @@ def test_pipeline_stages_on_odd_and_empty_rows(spark, odd_docs, empty_docs):
     assert stage(spark, odd_docs, SF).select("doc_id").distinct().count() == odd_docs.count()
 
 
+def test_one_row_of_each_group_stays_when_ids_repeat(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, near), (2, near + " end"), (2, other), (2, other), (3, "a b c"), (3, "a b c"), (3, "a  b c"), (None, "a b c"), (None, "d e f"), (None, "d e f"), (None, "g h i"), (-4, "g h i")]
+    docs = spark.createDataFrame([(i, text, "en", None, len(text)) for i, text in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def found(frame):
+        return sorted(((r.doc_id, (r.text or "").replace("  ", " ")) for r in frame.collect()), key=str)
+
+    exact = corpus_pipeline.without_copies(spark, docs, SF)
+    assert found(exact) == sorted([(1, near), (2, near + " end"), (2, other), (3, "a b c"), (None, "d e f"), (-4, "g h i")], key=str)
+    want = sorted([(1, near), (2, other), (3, "a b c"), (None, "d e f"), (-4, "g h i")], key=str)
+    assert found(corpus_pipeline.without_near_copies(spark, docs, SF)) == found(corpus_pipeline.without_near_copies(spark, exact, SF)) == want
+
+
 def test_every_operator_is_registered():
     assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
