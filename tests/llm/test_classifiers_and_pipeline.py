@@ -99,6 +99,21 @@ def test_class_weights_undo_a_sample_by_class():
     assert abs(whole.logit(np.zeros((1, 1)))[0] - sampled.logit(np.zeros((1, 1)))[0]) < 0.3
 
 
+def test_rare_unlabelled_pages_teach_the_content_view(spark):
+    plain = [(i, f"alpha beta gamma x{i % 50}" if i % 2 else f"SPAM!! BUY%%% x{i % 50}", "en", "good.host" if i % 2 else "bad.host") for i in range(3000)]
+    order = spark.range(10_000, 20_000).orderBy(F.xxhash64("id").desc()).limit(3).collect()  # last in the order of the hash
+    rare = [(r.id, f"QUILLOP!! ZYX%%% x{n}", "en", "bad.host") for n, r in enumerate(order)]
+    docs = spark.createDataFrame(plain + rare, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    views = cotraining.train(docs, labels)
+    assert views.buckets[cotraining.grams("QUILLOP!!")].min() < 0 and views.buckets[cotraining.grams("QUILLOP!!")].max() <= 0
+
+
+def test_sources_have_buckets_of_their_own():
+    rows = cotraining.prepare([("a", "en", f"src{i}") for i in range(20)], cotraining.BUCKETS).meta
+    assert len(np.unique(rows, axis=0)) == 20
+
+
 def test_quality_of_odd_rows(spark, odd_docs, empty_docs):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 1), (7, 0), (999, 1)], "doc_id long, quality int")
     views = cotraining.train(odd_docs, labels)
