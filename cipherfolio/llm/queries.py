@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherfolio.llm import bag_minhash, cotraining, exact_dedup, fingerprints, language_id, packing, prefix_bpe, sharding, token_blocks, toxicity
+from cipherfolio.llm import (
+    bag_minhash, byte_transducer, cotraining, exact_dedup, fingerprints, hilbert_codes, language_id, packing, prefix_bpe, ranked_search, sharding, token_blocks, toxicity,
+)
 from cipherfolio.operators.durable import checkpoint_folder, durable
 
 
@@ -126,6 +128,67 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term, docs),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY item_id, term),
+m AS (SELECT doc_id, 100 - 75 + ((75 * n * docs) // terms) AS m FROM n, c),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op12_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = hilbert_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", hilbert_codes.code_text("code").alias("code"), "error", "label_error",
+                        F.lit(hilbert_codes.codebooks_sha256(codebooks)).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    """Two rounds of assignment and floored means, and the last assignment, as plain joins."""
+    def assigned(books: str) -> str:
+        return f"""(SELECT x.vec_id, x.p, x.v, min({{'d': list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': b.e}}) AS a
+            FROM parts x JOIN {books} b ON x.p = b.p GROUP BY x.vec_id, x.p, x.v)"""
+
+    def refined(books: str) -> str:
+        return f"""(WITH u AS (SELECT p, a.e AS e, unnest(v) AS x, unnest(range(len(v))) AS i FROM {assigned(books)}),
+            means AS (SELECT p, e, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM u GROUP BY p, e, i),
+            used AS (SELECT p, e, list(x ORDER BY i) AS v FROM means GROUP BY p, e)
+            SELECT b.p, b.e, coalesce(used.v, b.v) AS v FROM {books} b LEFT JOIN used ON used.p = b.p AND used.e = b.e)"""
+
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, embedding, len(embedding) // 16 AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, list_transform(embedding[p * w + 1 : (p + 1) * w], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM kept, range(16) r(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+b0 AS MATERIALIZED (SELECT p, e, v FROM first JOIN parts USING (vec_id)),
+b1 AS MATERIALIZED {refined('b0')},
+b2 AS MATERIALIZED {refined('b1')},
+final AS (SELECT vec_id, string_agg(printf('%02x', a.e), '' ORDER BY p) AS code, sum(a.d)::BIGINT AS error FROM {assigned('b2')} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM final JOIN kept USING (vec_id), h
+"""
+
+
+def op13_byte_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = byte_transducer.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    return rows.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_cotraining": op2_cotraining,
@@ -137,7 +200,12 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_token_blocks": op9_token_blocks,
     "op10_bag_minhash": op10_bag_minhash,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_hilbert_codes": op12_hilbert_codes,
+    "op13_byte_transducer": op13_byte_transducer,
 }
 ORACLES = {
     "op6_exact_dedup": OP6_SQL,
+    "op11_ranked_search": OP11_SQL,
+    "op12_hilbert_codes": _op12_sql(),
 }
