@@ -10,6 +10,7 @@ lookahead is bounded. States and moves are made when a text first needs them and
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Sizes of memories (states, moves, pieces): when one is full it starts anew, and no text is cut.
-MOST_STATES, MOST_PIECES, LONGEST_PIECE = 100_000, 300_000, 64
+MOST_STATES, MOST_PIECES, LONGEST_PIECE = 200_000, 300_000, 64
 NEVER = 1 << 60
 START = 0
 BATCH = 256
@@ -28,10 +29,11 @@ BATCH = 256
 Way = tuple[int, int, tuple[int, ...]]  # node of the partial token, last whole token (or -1), tokens not yet emitted
 
 
-class Transducer:
-    """Merges of a rank file, compiled; ``ids`` encodes one piece of text."""
+class Transducer(dict):
+    """Merges of a rank file, compiled. As a dictionary it remembers the ids of pieces it has met."""
 
     def __init__(self, path: str, pattern: str) -> None:
+        super().__init__()
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.pattern = regex.compile(pattern)
@@ -44,17 +46,19 @@ class Transducer:
                 reached.append(rank)
         self.child: dict[int, int] = {}
         self.token_at: list[int] = [-1]
-        self.inner: set[int] = set()
+        inner: set[int] = set()
         for rank in reached:
             node = 0
             for b in self.bytes_of[rank]:
-                self.inner.add(node)
+                inner.add(node)
                 node = self.child.setdefault(node << 8 | b, len(self.token_at))
                 if node == len(self.token_at):
                     self.token_at.append(-1)
             self.token_at[node] = rank
+        self.inner = bytearray(len(self.token_at))
+        for node in inner:
+            self.inner[node] = 1
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes] = {}
         self._forget()
 
     def _compile(self, token: bytes, rank: int) -> bool:
@@ -87,13 +91,10 @@ class Transducer:
         return False
 
     def fits(self, before: int, token: int) -> bool:
-        if before < 0:
-            return True
-        known = self.pairs.get((before, token))
-        if known is None:
-            if len(self.pairs) > MOST_PIECES:
-                self.pairs.clear()
-            known = self.pairs[before, token] = self._stays(before, token, NEVER)
+        """Whether the token may follow another; anything may come first."""
+        if len(self.pairs) > MOST_PIECES:
+            self.pairs.clear()
+        known = self.pairs[before, token] = before < 0 or self._stays(before, token, NEVER)
         return known
 
     def _forget(self) -> None:
@@ -110,53 +111,64 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after one more byte and the tokens that are certain now; made once, then remembered."""
-        open_ways, ended = [], None
+        child, token_at, inner, pairs = self.child.get, self.token_at, self.inner, self.pairs
+        ways, ended = [], None
         for node, before, waiting in self.states[state]:
-            node = self.child.get(node << 8 | byte, -1)
-            if node < 0:
+            node = child(node << 8 | byte)
+            if node is None:
                 continue
-            token = self.token_at[node]
-            if token >= 0 and ended is None and self.fits(before, token):
-                ended = (0, token, (*waiting, token))
-            if node in self.inner:
-                open_ways.append((node, before, waiting))
-        open_ways.append(ended)
-        shared = 0
-        shortest = min(len(way[2]) for way in open_ways)
-        while shared < shortest and all(way[2][shared] == ended[2][shared] for way in open_ways):
-            shared += 1
-        ways = tuple((node, before, waiting[shared:]) for node, before, waiting in open_ways)
+            token = token_at[node]
+            if token >= 0 and ended is None:
+                fits = pairs.get((before, token))
+                if self.fits(before, token) if fits is None else fits:
+                    ended = (0, token, (*waiting, token))
+            if inner[node]:
+                ways.append((node, before, waiting))
+        tokens = ended[2]
+        shared = len(tokens)
+        for _, _, waiting in ways:
+            shared = min(shared, len(waiting))
+            while waiting[:shared] != tokens[:shared]:
+                shared -= 1
+        ways.append(ended)
+        sure = tokens[:shared]
+        if sure:
+            ways = [(node, before, waiting[shared:]) for node, before, waiting in ways]
         if len(self.states) >= MOST_STATES or len(self.moves) >= 4 * MOST_STATES:
             self._forget()
-            return self._state(ways), ended[2][:shared]
-        move = self.moves[state << 8 | byte] = (self._state(ways), ended[2][:shared])
+            return self._state(tuple(ways)), sure
+        move = self.moves[state << 8 | byte] = (self._state(tuple(ways)), sure)
         return move
 
-    def run(self, content: bytes) -> Iterator[int]:
-        """Ids of one piece, each as soon as it is certain."""
-        state = START
+    def run(self, content: bytes) -> list[int]:
+        """Ids of one piece; each is written as soon as it is certain."""
+        state, out, known = START, [], self.moves.get
         for byte in content:
-            state, sure = self.moves.get(state << 8 | byte) or self._move(state, byte)
-            yield from sure
-        yield from self.states[state][-1][2]
-
-    def ids(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
-        if known is None:
-            content = piece.encode()
-            whole = self.ranks.get(content)
-            known = array("I", self.run(content) if whole is None else [whole]).tobytes()
-            if len(piece) <= LONGEST_PIECE:
-                self.pieces[piece] = known
-        return known
+            move = known(state << 8 | byte)
+            if move is None:
+                move = self._move(state, byte)
+                known = self.moves.get
+            state, sure = move
+            if sure:
+                out += sure
+        out += self.states[state][-1][2]
+        return out
+
+    def __missing__(self, piece: str) -> bytes:
+        content = piece.encode()
+        whole = self.ranks.get(content)
+        found = array("I", self.run(content) if whole is None else [whole]).tobytes()
+        if len(piece) <= LONGEST_PIECE:
+            self[piece] = found
+        return found
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, little-endian unsigned 32-bit; every match of the pattern by itself. Null is empty."""
         if not text:
             return b""
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
-        return b"".join(map(self.ids, self.pattern.findall(text)))
+        if len(self) > MOST_PIECES:
+            self.clear()
+        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
 
 class Utf8Stream:
@@ -235,7 +247,11 @@ class StreamDecoder:
 
 @lru_cache(maxsize=2)
 def transducer(path: str, pattern: str) -> Transducer:
-    """One transducer per worker process, kept with its states for later tasks."""
+    """One transducer per worker process, kept with its states for later tasks.
+
+    States are many small tuples without cycles, so the worker's collector of cycles is called less often.
+    """
+    gc.set_threshold(200_000, 50, 50)
     return Transducer(path, pattern)
 
 
