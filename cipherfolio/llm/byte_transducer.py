@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Sizes of memories (states, moves, pieces): when one is full it starts anew, and no text is cut.
-MOST_STATES, MOST_PIECES, LONGEST_PIECE = 200_000, 300_000, 64
+MOST_STATES, MOST_PIECES, LONGEST_PIECE = 300_000, 600_000, 64
 NEVER = 1 << 60
 START = 0
 BATCH = 256
