@@ -13,11 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out by a key, whatever their number: a given table may be one row group, which no reader can split.
+    """Rows dealt out by a key where the reader cannot split a table further: a given table may be one row group.
 
-    Only these adapters do so; operators take the splits of their input.
+    A table of as many splits as a shuffle has is left as it is. Only these adapters do so; operators take the splits of
+    their input.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts, key)
 
 
 _ALGORITHMS = (
@@ -32,9 +34,9 @@ _PRIMITIVES = (
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One finding per line item, shaped by its part and supplier."""
-    items = table(spark, sf_dir, "lineitem").select(
+    items = dealt(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_returnflag", "l_linestatus"
-    )
+    ), "l_orderkey")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_name")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     joined = items.join(parts, "l_partkey").join(suppliers, "l_suppkey")
