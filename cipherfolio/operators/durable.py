@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one; it belongs to one run."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(rows: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``rows``: replicated storage, lineage cut."""
     spark = rows.sparkSession

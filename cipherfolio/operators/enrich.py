@@ -68,6 +68,6 @@ def enrich_handshakes(events: DataFrame, window_us: int) -> tuple[DataFrame, Dat
         .otherwise(F.lit("expired"))
     )
     handshakes = finished.select("event_id", *THREAD, "ts_us", *READ, F.coalesce("reads", F.lit(0)).alias("reads"), status.alias("status"))
-    orphans = placed.filter("NOT completed AND holder IS NULL").select("event_id", F.lit("orphan").alias("fate"))
-    fates = judged.select("event_id", F.when(F.col("late"), F.lit("orphan")).otherwise(F.lit("attached")).alias("fate")).unionByName(orphans)
+    orphans = placed.filter("NOT completed AND holder IS NULL").select("event_id", "ts_us", F.lit("orphan").alias("fate"))
+    fates = judged.select("event_id", "ts_us", F.when(F.col("late"), F.lit("orphan")).otherwise(F.lit("attached")).alias("fate")).unionByName(orphans)
     return handshakes, fates

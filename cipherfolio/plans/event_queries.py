@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from cipherfolio.operators import correlate, enrich, kpi, remediate, store
 from cipherfolio.operators import inventory as inv
-from cipherfolio.operators.durable import durable
+from cipherfolio.operators.durable import durable, scratch
 from cipherfolio.plans import oracle_base as O
 from cipherfolio.plans import testbed as B
 from cipherfolio.plans.correlation_queries import CORRELATED, DRIFT
 from cipherfolio.plans.inventory_queries import components, joined, param, scored
 from cipherfolio.plans.metric_queries import TODAY, artefacts
 from cipherfolio.sources import cbom, config_text, detect, files, packages, spool
+from cipherfolio.streaming import handshakes
 
 WINDOW_US = 6 * 3600 * 1_000_000
+LINES_WINDOW_US = 400 * 1_000_000
+FIRST_DAY_US = 1_704_067_200_000_000
 
 
 def _judged(spark, sf_dir):
@@ -78,7 +81,58 @@ def enrich_window(spark, sf_dir):
 
 def enrich_fates(spark, sf_dir):
     _, fates = enrich.enrich_handshakes(B.handshake_events(spark, sf_dir), WINDOW_US)
-    return fates
+    return fates.select("event_id", "fate")
+
+
+def _enriched_stream(spark, sf_dir):
+    """The events as a stream that is stopped and resumed twice, then flushed: the folder of its results."""
+    folder = scratch(spark, "enrichment")
+    events = B.handshake_events(spark, sf_dir)
+    third = F.greatest(F.lit(0), F.least(F.lit(2), F.floor((F.col("ts_us") - F.lit(FIRST_DAY_US)) / F.lit(10 * 86_400_000_000))))
+    for part in range(3):
+        events.filter(third == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        handshakes.enrich_stream(stream, f"{folder}/out", f"{folder}/state", WINDOW_US).awaitTermination()
+    handshakes.flush(spark, f"{folder}/out", WINDOW_US)
+    return f"{folder}/out"
+
+
+def stream_window(spark, sf_dir):
+    rows = handshakes.emitted(spark, _enriched_stream(spark, sf_dir)).filter("status <> 'passed'")
+    return rows.select("event_id", "host", "pid", "tid", "version", "cipher", "group", "reads", "status")
+
+
+def stream_fates(spark, sf_dir):
+    return handshakes.fates(spark, _enriched_stream(spark, sf_dir)).select("event_id", "fate")
+
+
+def _spool_files(spark, sf_dir):
+    """Event lines as text files of 1,000 lines, ingested as a stream: ``(accepted, rejected, folder)``."""
+    folder = scratch(spark, "spool")
+    lines = B.table(spark, sf_dir, "events").selectExpr("concat('f', event_id div 1000) as path", "event_id", f"{B.EVENT_LINE} as line")
+    lines.repartition("path").sortWithinPartitions("path", "event_id").select("path", "line").write.partitionBy("path").text(f"{folder}/in")
+    stream = spool.stream_spool(spark, f"{folder}/in/path=*", suffixes=(".txt",))
+    handshakes.ingest(stream, f"{folder}/good", f"{folder}/bad", f"{folder}/state", max_bytes=B.MAX_EVENT_LINE).awaitTermination()
+    return f"{folder}/good", f"{folder}/bad", folder
+
+
+def stream_spool(spark, sf_dir):
+    """Accepted and rejected lines of the streamed files with their places."""
+    good, bad, _ = _spool_files(spark, sf_dir)
+    file = F.regexp_extract("path", "path=([^/]+)", 1).alias("file")
+    accepted = spark.read.parquet(good).select(file, "line_no", F.col("timestamp").alias("event_id"), F.lit(None).cast("string").alias("reject_reason"))
+    return accepted.unionByName(spark.read.parquet(bad).select(file, "line_no", F.lit(None).cast("bigint").alias("event_id"), "reject_reason"))
+
+
+def stream_counters(spark, sf_dir):
+    """What a run over the spooled lines reports, each line one second after the one before."""
+    good, bad, folder = _spool_files(spark, sf_dir)
+    named = {short: f"nullif(observed_{short}, '') as `{short}`" for short in ("version", "cipher", "group")}
+    events = spark.readStream.schema(spark.read.parquet(good).schema).parquet(good).selectExpr(
+        "timestamp as event_id", "'h' as host", "pid", "tid", "timestamp * 1000000 as ts_us", "phase", "retval", *named.values())
+    handshakes.enrich_stream(events, f"{folder}/out", f"{folder}/state2", LINES_WINDOW_US).awaitTermination()
+    handshakes.flush(spark, f"{folder}/out", LINES_WINDOW_US)
+    return handshakes.counters(spark, f"{folder}/out", good, bad)
 
 
 def _emitted(spark, sf_dir):
@@ -192,7 +246,7 @@ def export_roadmap(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        spool_batch, spool_rejects, spool_verdicts, event_findings, enrich_window, enrich_fates, kpi_findings, kpi_drift, fix_verify,
+        spool_batch, spool_rejects, spool_verdicts, event_findings, enrich_window, enrich_fates, stream_window, stream_fates, stream_spool, stream_counters, kpi_findings, kpi_drift, fix_verify,
         reader_gaps, normalise_redacted, kpi_gate, dependency_floor, diff_statistics, cbom_json_roundtrip, document_serial, export_csv, export_roadmap,
     )
 }
@@ -205,11 +259,18 @@ j AS (SELECT *, CASE WHEN octet_length(encode(line)) > {B.MAX_EVENT_LINE} THEN '
     WHEN json_extract_string(line, '$.phase') = 'return' AND json_extract_string(line, '$.retval') = '1'
       AND coalesce(json_type(line, '$.observed_cipher'), 'VARCHAR') NOT IN ('VARCHAR', 'NULL') THEN 'event could not be mapped' END AS reject_reason FROM l)
 """
-_HELD = """e AS (SELECT event_id, 'h' || event_id % 2 AS host, 1000 + user_id AS pid, user_id AS tid, epoch_us(ts) AS ts_us, event_type = 'signup' AS ret, event_type = 'signup' AND event_id % 5 <> 0 AS done,
+_EVENT_ROWS = """e AS (SELECT event_id, 'h' || event_id % 2 AS host, 1000 + user_id AS pid, user_id AS tid, epoch_us(ts) AS ts_us, event_type = 'signup' AS ret, event_type = 'signup' AND event_id % 5 <> 0 AS done,
     CASE WHEN event_id % 3 = 0 THEN 'TLSv1.3' END AS version, CASE event_type WHEN 'click' THEN 'TLS_AES_256_GCM_SHA384' END AS cipher, CASE event_type WHEN 'view' THEN 'x25519' END AS kex
   FROM events),
-h AS (SELECT *, max(CASE WHEN done THEN (ts_us, event_id) END) OVER (PARTITION BY host, pid, tid ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
-a AS (SELECT h.*, CASE WHEN prev IS NOT NULL AND ts_us - prev[1] < 21600000000 THEN prev[2] END AS holder FROM h),
+"""
+#: Accepted spool lines as the same kind of rows, one second apart.
+_LINE_ROWS = """e AS (SELECT event_id, 'h' AS host, 1000 + user_id AS pid, user_id AS tid, event_id * 1000000 AS ts_us, event_type = 'signup' AS ret, event_type = 'signup' AND event_id % 5 <> 0 AS done,
+    CASE WHEN event_id % 3 = 0 THEN 'TLSv1.3' END AS version, CASE event_id % 4 WHEN 0 THEN 'TLS_AES_256_GCM_SHA384' WHEN 1 THEN 'TLS_CHACHA20_POLY1305_SHA256' END AS cipher,
+    CASE WHEN event_id % 7 = 0 THEN 'X25519MLKEM768' WHEN event_id % 7 < 3 THEN 'x25519' END AS kex
+  FROM j WHERE reject_reason IS NULL),
+"""
+_HOLDERS = """h AS (SELECT *, max(CASE WHEN done THEN (ts_us, event_id) END) OVER (PARTITION BY host, pid, tid ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
+a AS (SELECT h.*, CASE WHEN prev IS NOT NULL AND ts_us - prev[1] < {window} THEN prev[2] END AS holder FROM h),
 r AS (SELECT a.*, row_number() OVER w AS k,
     coalesce(max(CASE WHEN a.version IS NOT NULL THEN (a.ts_us, a.event_id, a.version) END) OVER p IS NOT NULL OR o.version IS NOT NULL, FALSE)
       AND (max(CASE WHEN a.cipher IS NOT NULL THEN 1 END) OVER p IS NOT NULL OR o.cipher IS NOT NULL)
@@ -220,6 +281,8 @@ c AS (SELECT * FROM r WHERE NOT (full_before AND k > 1)),
 v AS (SELECT holder, count(*) AS reads, arg_max(version, (ts_us, event_id)) FILTER (version IS NOT NULL) AS version, arg_max(cipher, (ts_us, event_id)) FILTER (cipher IS NOT NULL) AS cipher,
     arg_max(kex, (ts_us, event_id)) FILTER (kex IS NOT NULL) AS kex FROM c GROUP BY ALL)
 """
+_HELD = _EVENT_ROWS + _HOLDERS.replace("{window}", str(WINDOW_US))
+_HELD_LINES = _LINE_ROWS + _HOLDERS.replace("{window}", str(LINES_WINDOW_US))
 _KPI = """, em AS (SELECT view, algorithm, asset_type, endpoint, locator FROM wide),
 pl AS (SELECT *, view || '/' || algorithm || '/' || lc AS id, CASE algorithm WHEN 'RSA' THEN 'algorithm' WHEN 'AES' THEN 'key' END AS wt,
     CASE WHEN algorithm = 'ECDSA' AND view = 'declared' THEN 'ep1:443' END AS we
@@ -316,3 +379,14 @@ ORACLES = {
 }
 ORACLES["kpi_gate"] = f"""SELECT f.recall, f.decoy_hits, d.recall AS drift_recall, d.invented, f.recall >= {kpi.RECALL_GATE} AND f.decoy_hits = 0 AND d.recall = 1 AND d.invented = 0 AS passes
     FROM ({ORACLES["kpi_findings"]}) f, ({ORACLES["kpi_drift"]}) d WHERE f.view = 'OVERALL'"""
+ORACLES["stream_window"], ORACLES["stream_fates"] = ORACLES["enrich_window"], ORACLES["enrich_fates"]
+ORACLES["stream_spool"] = "WITH " + _EVENTS + """
+    SELECT 'f' || (event_id // 1000) AS file, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id)::INTEGER AS line_no, CASE WHEN reject_reason IS NULL THEN event_id END AS event_id, reject_reason FROM j"""
+ORACLES["stream_counters"] = f"""WITH {_EVENTS}, {_HELD_LINES},
+    heirs AS (SELECT DISTINCT holder FROM a WHERE done AND holder IS NOT NULL),
+    f AS (SELECT event_id, CASE WHEN full_before AND k > 1 THEN 'orphan' ELSE 'attached' END AS fate FROM r UNION ALL SELECT event_id, 'orphan' FROM a WHERE NOT ret AND holder IS NULL),
+    m AS (SELECT e.*, coalesce(v.version, e.version) IS NOT NULL AND coalesce(v.cipher, e.cipher) IS NOT NULL AND coalesce(v.kex, e.kex) IS NOT NULL AND coalesce(v.reads, 0) > 0 AS complete
+          FROM e LEFT JOIN v ON v.holder = e.event_id WHERE e.done)
+    SELECT (SELECT count(*) FROM j) AS seen, (SELECT count(*) FROM j WHERE reject_reason IS NOT NULL) AS decode_errors, (SELECT count(*) FROM f WHERE fate = 'attached') AS enriched,
+      (SELECT count(*) FROM f WHERE fate = 'orphan') AS enrich_orphan, 0::BIGINT AS late,
+      (SELECT count(*) FROM m WHERE complete OR event_id NOT IN (SELECT holder FROM heirs)) + (SELECT count(*) FROM e WHERE ret AND NOT done) AS spooled"""

@@ -5,6 +5,8 @@ The same functions run on a batch and on a stream of lines.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,44 +21,49 @@ PROBE = "SSL_do_handshake"
 FIELDS = ("observed_version", "observed_cipher", "observed_group")
 
 
-def complete_file(name: Column) -> Column:
+def complete_file(name: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     """Published files only; a file still being written has a temporary name."""
     suffixed = F.lit(False)
-    for suffix in SUFFIXES:
+    for suffix in suffixes:
         suffixed = suffixed | name.endswith(suffix)
     return suffixed & ~name.startswith(TEMPORARY) & ~name.startswith(".")
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value").filter(complete_file(F.col("file")))
-    rows = named.select("path", F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    return rows.select("path", (F.col("at") + 1).alias("line_no"), "line").filter(F.trim("line") != "")
+def _split_rows(rows: DataFrame, suffixes: Sequence[str]) -> DataFrame:
+    """(path, block, line): every line with its file and where the split that holds it begins."""
+    named = rows.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return named.filter(complete_file(F.col("file"), suffixes)).drop("file")
 
 
-def read_spool(spark: SparkSession, directory: str) -> DataFrame:
-    """(path, line_no, line) of every published file; not recursive, no blank lines.
+def number_lines(rows: DataFrame) -> DataFrame:
+    """(path, line_no, line) of split rows, without blank lines.
 
-    A large file is read in splits. Rows of a split are consecutive; how many
-    lines the splits before it hold is counted, so no line is shuffled to be
-    numbered.
+    Rows of a split are consecutive in their task. How many lines the splits before it hold is counted, so no line is
+    shuffled to be numbered, and a file is never one cell. Works on a batch and inside a micro-batch, which holds whole files.
     """
-    rows = spark.read.option("lineSep", "\n").text(directory).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    published = rows.filter(complete_file(F.col("file")))
+    placed = rows.withColumn("at", F.monotonically_increasing_id())
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = published.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).select(
+    splits = placed.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).select(
         "path", "block", (F.col("first") - F.coalesce(F.sum("n").over(before), F.lit(0)) - 1).alias("offset"))
-    numbered = published.join(splits, ["path", "block"]).select("path", (F.col("at") - F.col("offset")).cast("int").alias("line_no"), "line")
+    numbered = placed.join(splits, ["path", "block"]).select("path", (F.col("at") - F.col("offset")).cast("int").alias("line_no"), "line")
     return numbered.filter(F.trim("line") != "")
 
 
-def stream_spool(spark: SparkSession, directory: str, archive: str | None = None, max_files: int = 1000) -> DataFrame:
-    """The spool as a stream: each file once, kept in ``archive`` afterwards."""
-    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+def read_spool(spark: SparkSession, directory: str, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """(path, line_no, line) of every published file; not recursive, no blank lines. Large files are read in splits."""
+    return number_lines(_split_rows(spark.read.option("lineSep", "\n").text(directory), suffixes))
+
+
+def stream_spool(spark: SparkSession, directory: str, archive: str | None = None, max_files: int = 1000, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """The spool as a stream of split rows: each file once and in splits, kept in ``archive`` afterwards.
+
+    A stream cannot number rows across splits; ``number_lines`` does so in each micro-batch.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files).option("lineSep", "\n")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return _lines(reader.text(directory, wholetext=True))
+    return _split_rows(reader.text(directory), suffixes)
 
 
 def _get(path: str, kind: str) -> Column:

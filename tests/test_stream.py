@@ -103,22 +103,114 @@ def test_batch_enrichment_matches_the_definition(spark):
     assert {r.event_id: r.fate for r in fates.collect()} == fate
 
 
-def test_stream_holds_like_the_batch(spark, tmp_path):
-    window = 400_000
-    events = make_events(300, 4)
-    for e in events:
-        e["ts_us"] *= 1000
-    want, _ = hold(events, window)
-    order = sorted(events, key=lambda e: (e["ts_us"], e["event_id"]))
-    shape = SHAPE + ", comm string, libssl_path string"
+def run_enrichment(spark, folder, chunks, window, late_us=0):
+    """Each chunk of events is a file of the stream and one run of the query."""
+    shape = SHAPE
     names = ("event_id", "host", "pid", "tid", "ts_us", "phase", "retval", *enrich.READ)
-    last = {**order[-1], "event_id": 10**6, "pid": 99, "tid": 99, "ts_us": order[-1]["ts_us"] + 60_000_000, "phase": "entry"}
-    for i, chunk in enumerate((order[:120], order[120:], [last], [{**last, "event_id": 10**6 + 1, "ts_us": last["ts_us"] + 60_000_000}])):
-        rows = spark.createDataFrame([(*[e[n] for n in names], "c", "l") for e in chunk], shape)
-        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("ts_us"))
-        query = handshakes.hold_handshakes(stream, window).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
-            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        assert query.awaitTermination(90)
-    got = {r.event_id: (r.status, r.version, r.cipher, r.group) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.status in ("complete", "replaced", "expired")}
-    assert got == want
+    for chunk in chunks:
+        spark.createDataFrame([tuple(e[n] for n in names) for e in chunk], shape).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(shape).parquet(f"{folder}/in")
+        assert handshakes.enrich_stream(stream, f"{folder}/out", f"{folder}/state", window, late_us).awaitTermination(120)
+
+
+def streamed(spark, folder):
+    rows = handshakes.emitted(spark, f"{folder}/out").collect()
+    done = {r.event_id: (r.status, r.version, r.cipher, r.group) for r in rows if r.status != "passed"}
+    fate = {r.event_id: r.fate for r in handshakes.fates(spark, f"{folder}/out").collect()}
+    assert len(rows) == len({r.event_id for r in rows})
+    return done, fate, {r.event_id for r in rows if r.status == "passed"}
+
+
+def test_stream_enriches_like_the_batch(spark, tmp_path):
+    window = 400
+    events = make_events(1200, 4)
+    want, fate = hold(events, window)
+    order = sorted(events, key=lambda e: (e["ts_us"], e["event_id"]))
+    rng = random.Random(1)
+    chunks = [order[i : i + 300] for i in range(0, 1200, 300)]
+    for a, b in zip(chunks, chunks[1:]):  # the last events of a chunk trade places with the first of the next
+        a[-20:], b[:20] = b[:20], a[-20:]
+    for chunk in chunks:
+        rng.shuffle(chunk)
+    late_us = 40 * 60
+    run_enrichment(spark, tmp_path, chunks[:2], window, late_us)
+    early = streamed(spark, tmp_path)
+    assert early[0] and early[0].items() <= want.items() and early[1].items() <= fate.items() and len(early[1]) < len(fate)
+    handshakes.flush(spark, f"{tmp_path}/out", window)  # and taken back, as the stream goes on
+    run_enrichment(spark, tmp_path, chunks[2:], window, late_us)
+    handshakes.flush(spark, f"{tmp_path}/out", window)
+    handshakes.flush(spark, f"{tmp_path}/out", window)
+    done, fates, passed = streamed(spark, tmp_path)
+    assert done == want and fates == fate
+    assert passed == {e["event_id"] for e in events if e["phase"] == "return" and e["retval"] != 1}
+    kept = [p.name for p in (tmp_path / "out" / "open").iterdir()]
+    assert len(kept) <= 2, "older state is cleaned up"
+
+
+def test_events_of_closed_slices_are_late(spark, tmp_path):
+    base = {"host": "h", "pid": 1, "tid": 1, "retval": 1, "version": None, "cipher": None, "group": None}
+    first = [{**base, "event_id": i, "ts_us": t, "phase": "return"} for i, t in enumerate((0, 5000, 9000))]
+    late = [{**base, "event_id": 10, "ts_us": 100, "phase": "enrich"}, {**base, "event_id": 11, "ts_us": None, "phase": "enrich"}, {**base, "event_id": 12, "ts_us": 9100, "phase": "enrich"}]
+    run_enrichment(spark, tmp_path, [first, late], 400)
+    handshakes.flush(spark, f"{tmp_path}/out", 400)
+    done, fates, _ = streamed(spark, tmp_path)
+    assert fates == {10: "late", 11: "late", 12: "attached"} and {k: v[0] for k, v in done.items()} == {0: "expired", 1: "expired", 2: "expired"}
+
+
+def test_nothing_streamed(spark, tmp_path):
+    handshakes.flush(spark, str(tmp_path / "out"), 400)
+    assert handshakes.emitted(spark, str(tmp_path / "out")).count() == 0 and handshakes.fates(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_a_file_of_many_splits_is_numbered_like_the_batch(spark, tmp_path):
+    (tmp_path / "spool").mkdir()
+    lines = {name: ["" if i % 50 == 0 else json.dumps({**EVENT, "timestamp": i, "comm": "c" * (i % 90 + 1)}) for i in range(n)] for name, n in (("a", 3000), ("b", 1), ("c", 700))}
+    for name, rows in lines.items():
+        (tmp_path / "spool" / f"{name}.jsonl").write_text("\n".join(rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        want = {(name, i + 1, i) for name, rows in lines.items() for i, line in enumerate(rows) if line}
+        batch = spool.read_spool(spark, str(tmp_path / "spool"))
+        assert spark.read.text(str(tmp_path / "spool")).rdd.getNumPartitions() > 5
+        assert {(r.path.rsplit("/", 1)[1][0], r.line_no, json.loads(r.line)["timestamp"]) for r in batch.collect()} == want
+        stream = spool.stream_spool(spark, str(tmp_path / "spool"))
+        watch = handshakes.Observed()
+        spark.streams.addListener(watch)
+        good, bad, state = (str(tmp_path / n) for n in ("good", "bad", "state"))
+        handshakes.ingest(stream, good, bad, state).awaitTermination(120)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        spark.streams.removeListener(watch)
+        rows = spark.read.parquet(good)
+        assert {(r.path.rsplit("/", 1)[1][0], r.line_no, r.timestamp) for r in rows.collect()} == want and rows.count() == len(want)
+        assert watch.totals["ingest"]["seen"] == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_run_counts_what_became_of_its_events(spark, tmp_path):
+    (tmp_path / "spool").mkdir()
+    name = str(tmp_path / "spool" / "a.jsonl")
+    threads = [(5, 1, "return"), (5, 2, "enrich"), (6, 3, "enrich"), (5, 4, "return"), (7, 5, "entry"), (5, 900, "enrich")]
+    lines = [json.dumps({**EVENT, "pid": p, "tid": p, "timestamp": t, "phase": phase, "observed_group": None}) for p, t, phase in threads]
+    open(name, "w").write("\n".join([*lines, "broken", "[]"]))
+    good, bad, state, out = (str(tmp_path / n) for n in ("good", "bad", "state", "out"))
+    handshakes.ingest(spool.stream_spool(spark, str(tmp_path / "spool")), good, bad, state).awaitTermination(120)
+    shape = spark.read.parquet(good).schema
+    events = spark.readStream.schema(shape).parquet(good).selectExpr(
+        "timestamp as event_id", "'h' as host", "pid", "tid", "timestamp as ts_us", "phase", "retval", "observed_version as version", "observed_cipher as cipher", "observed_group as `group`")
+    assert handshakes.enrich_stream(events, out, state + "2", 100).awaitTermination(120)
+    handshakes.flush(spark, out, 100)
+    row = handshakes.counters(spark, out, good, bad).first().asDict()
+    assert row == {"seen": 8, "decode_errors": 2, "enriched": 1, "enrich_orphan": 2, "late": 0, "spooled": 2}
+
+
+def test_findings_are_appended_once(spark, tmp_path):
+    lines = spark.createDataFrame([("p", 1, json.dumps(EVENT)), ("p", 2, json.dumps({**EVENT, "pid": 9, "observed_group": None}))], "path string, line_no int, line string")
+    spool.parse_events(spool.split_lines(spool.judge_lines(lines))[0]).write.parquet(str(tmp_path / "good"))
+    shape = spark.read.parquet(str(tmp_path / "good")).schema
+    for _ in range(2):
+        events = spark.readStream.schema(shape).parquet(str(tmp_path / "good")).withColumn("scan_id", F.lit("s")).withColumn("system", F.lit("app"))
+        assert handshakes.append_findings(events, str(tmp_path / "found"), str(tmp_path / "state"), host="h").awaitTermination(60)
+    found = spark.read.parquet(str(tmp_path / "found")).collect()
+    assert sorted(r.occurrences[0].locator for r in found) == ["host:h:pid5"] * 3 + ["host:h:pid9"] * 2
