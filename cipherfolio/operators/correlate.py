@@ -299,7 +299,8 @@ def apply_drift(scored: DataFrame, drifts: DataFrame, covered: DataFrame) -> Dat
     )
     base = F.col("base_score") if "base_score" in scored.columns else F.col("score")
     clean = scored.withColumn("base_score", base).drop("drift_records", "drift_kinds", "coverage_views", "coverage_missing")
-    joined = clean.join(counts, key, "left").join(covered, key, "left")
+    # A component may be there once per scan that was combined; what is known of it is the same for all its rows.
+    joined = clean.join(counts, key, "left").join(covered.dropDuplicates(key), key, "left")
     drifted = F.col("drift_records").isNotNull()
     score = F.when(drifted, raised_score(F.col("base_score"))).otherwise(F.col("base_score"))
     return (

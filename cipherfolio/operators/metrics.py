@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherfolio import schema as S
+from cipherfolio.operators.inventory import number_within
 from cipherfolio.operators.policy import band_rank
 
 BAND_COLUMNS = {band: band.lower() for band in S.BANDS}
@@ -438,9 +439,13 @@ def coverage_statement(components: DataFrame, listed: int | None = None) -> tupl
     views = view_coverage(components).withColumn("statement", F.when(F.col("collected"), F.lit("COLLECTED")).otherwise(F.lit("NOT COLLECTED")))
     lacking = components.filter(F.size("coverage_missing") > 0)
     totals = lacking.groupBy("scan_id").agg(F.count(F.lit(1)).alias("incomplete"))
-    window = Window.partitionBy("scan_id").orderBy(*report_order())
-    ranked = lacking.withColumn("position", F.row_number().over(window))
-    worst = ranked if listed is None else ranked.filter(F.col("position") <= listed)
+    if listed is None:
+        # All of a scan: ranked over range slices of the report order, so that no task sorts a whole scan.
+        keyed = lacking.withColumn("_band", -band_rank(F.col("band"))).withColumn("_score", -F.col("score"))
+        worst = number_within(keyed, ["scan_id"], ["_band", "_score", "name", "system", "bom_ref"], "position").withColumn("position", (F.col("position") + 1).cast("int"))
+    else:
+        window = Window.partitionBy("scan_id").orderBy(*report_order())
+        worst = lacking.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= listed)
     beyond = F.lit(0) if listed is None else F.greatest(F.lit(0), F.col("incomplete") - listed)
     named = worst.join(totals, "scan_id").select(
         "scan_id", "position", "system", "bom_ref", "name", F.array_join("coverage_missing", ", ").alias("missing"),

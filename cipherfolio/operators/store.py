@@ -176,15 +176,9 @@ def save_fix(spark: SparkSession, root: str, scan_id: str, new_id: str, componen
 def combined(spark: SparkSession, root: str, scan_ids: Sequence[str], new_id: str) -> tuple[DataFrame, DataFrame]:
     """Scored components of several stored scans as one scan, correlated anew: ``(components, drifts)``.
 
-    An artefact that several scans hold is one component with the views of all of them; the first scan by id gives the rest.
+    Nothing is folded: an artefact that several scans hold is a row for each of them, with the verdict that scan gave it.
     """
-    stored = read(spark, root, "components", scan_ids)
-    key = ["system", "bom_ref"]
-    rest = [c for c in stored.columns if c not in (*key, "scan_id", "views", "n_findings", "drift_kinds")]
-    folded = stored.groupBy(*key).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("views")))).alias("views"), F.sum("n_findings").alias("n_findings"),
-        *[F.min_by(c, F.col("scan_id")).alias(c) for c in rest])
-    return correlate.correlate(folded.withColumn("scan_id", F.lit(new_id)))
+    return correlate.correlate(read(spark, root, "components", scan_ids).withColumn("scan_id", F.lit(new_id)))
 
 
 # --- exports ----------------------------------------------------------------

@@ -6,11 +6,12 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from cipherfolio.operators import compare, correlate, metrics
+from cipherfolio.operators import compare, correlate, metrics, policy
 from cipherfolio.operators import inventory as inv
+from cipherfolio.operators.durable import durable
 from cipherfolio.plans import oracle_base as O
 from cipherfolio.plans import testbed
-from cipherfolio.plans.inventory_queries import components, joined, scored
+from cipherfolio.plans.inventory_queries import components, joined, scored, settled
 
 
 def correlate_groups(spark, sf_dir):
@@ -30,7 +31,7 @@ def _drift(spark, sf_dir, kinds):
 
 
 def drift_evidence(spark, sf_dir):
-    findings = inv.normalise(testbed.findings(spark, sf_dir))
+    findings = settled(spark, sf_dir)
     rows = correlate.members(inv.with_structure(inv.fold_components(findings)))
     return correlate.drift_witnesses(rows, inv.sightings(findings))
 
@@ -56,10 +57,10 @@ def _sides(rows):
 
 
 def compare_snapshots(spark, sf_dir):
-    base, head = _sides(scored(spark, sf_dir))
-    seen = inv.sightings(inv.normalise(testbed.findings(spark, sf_dir)))
-    changes = compare.evidence_changes(*_sides(seen))
-    rows = compare.compare_components(base, head, changes)
+    findings = settled(spark, sf_dir)
+    verdicts = policy.score_components(inv.with_structure(inv.fold_components(findings)), testbed.targets(spark, sf_dir))
+    changes = compare.evidence_changes(*_sides(inv.sightings(findings)))
+    rows = compare.compare_components(*_sides(durable(verdicts)), changes)
     return rows.select(
         "system", "bom_ref", "name", "bucket", joined("fields"), "before_band", "after_band",
         F.col("before_score").cast("bigint").alias("before_score"), F.col("after_score").cast("bigint").alias("after_score"),
@@ -67,8 +68,7 @@ def compare_snapshots(spark, sf_dir):
 
 
 def compare_evidence(spark, sf_dir):
-    seen = inv.sightings(inv.normalise(testbed.findings(spark, sf_dir)))
-    return compare.evidence_changes(*_sides(seen)).select("system", "bom_ref", "view", "locator", "detail", "scanners", "change")
+    return compare.evidence_changes(*_sides(inv.sightings(settled(spark, sf_dir)))).select("system", "bom_ref", "view", "locator", "detail", "scanners", "change")
 
 
 def compare_drift(spark, sf_dir):

@@ -45,15 +45,32 @@ def reader_gaps(spark, sf_dir):
     return files.text_gaps(manifests).unionByName(lines)
 
 
+#: First bytes of private and public keys; the rest comes from the document. Kinds of planting by id.
+_PRIVATE_HEAD, _PUBLIC_HEAD = "302e020100300506032b657004220420", "302a300506032b6570032100"
+_HEAD64 = "md5(text) || md5(lang || text)"
+_KEY_HEX, _PUB_HEX = f"'{_PRIVATE_HEAD}' || {_HEAD64}", f"'{_PUBLIC_HEAD}' || {_HEAD64}"
+PLANTED_BY_KIND = {
+    0: "'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || md5(text) || chr(10) || '-----END RSA PRIVATE KEY-----' || chr(10) || text",
+    1: """text || chr(10) || 'api_secret = "' || md5(text) || 'Zq"'""",
+    2: f"text || chr(10) || 'x ' || {_KEY_HEX} || ' y'",
+    3: f"text || chr(10) || 'blob(' || base64(unhex({_KEY_HEX})) || ')'",
+    4: f"text || chr(10) || regexp_replace({_KEY_HEX}, '(..)', '\\\\\\\\x$1') || ' end'",
+    5: f"text || chr(10) || 'pairs = ' || trim(regexp_replace({_KEY_HEX}, '(..)', '$1 ')) || ';'",
+    6: "text || chr(10) || 'DB_PASSWORD=' || md5(text) || 'qZ'",
+    7: f"text || chr(10) || 'pub = ' || base64(unhex({_PUB_HEX}))",
+    8: """'k = "Zq' || left(md5(text), 10) || '" end'""",
+}
+
+
 def normalise_redacted(spark, sf_dir):
-    """Sightings of findings whose snippets hold planted key material."""
-    planted = """case doc_id % 3 when 0 then concat('-----BEGIN RSA PRIVATE KEY-----', chr(10), md5(text), chr(10), '-----END RSA PRIVATE KEY-----', chr(10), text)
-                 when 1 then concat('api_secret = "', md5(text), 'Zq"') else concat('line ', doc_id) end"""
-    found = B.table(spark, sf_dir, "documents").withColumn("planted", F.expr(planted)).selectExpr(
-        "'base' as scan_id", "source as system", "'source' as scanner_id", "'declared' as view", "'algorithm' as asset_type", "'pke' as primitive", "'RSA' as algorithm",
+    """Sightings of findings whose snippets are whole documents with planted key material, one row in nine a key's."""
+    docs = B.dealt(B.table(spark, sf_dir, "documents").filter("text is not null"), "doc_id")
+    planted = "case cast(doc_id % 9 as int) " + " ".join(f"when {kind} then {text}" for kind, text in PLANTED_BY_KIND.items()) + " end"
+    found = docs.withColumn("planted", F.expr(planted)).selectExpr(
+        "'base' as scan_id", "source as system", "'source' as scanner_id", "'declared' as view", "case when doc_id % 9 = 8 then 'key' else 'algorithm' end as asset_type", "'pke' as primitive", "'RSA' as algorithm",
         "map('note', planted) as params", "'sign' as usage", "true as configurable",
         "array(named_struct('view', 'declared', 'locator', concat('doc/', doc_id, '.py:1'), 'detail', 'rule=planted', 'snippet', planted)) as occurrences", "1.0D as confidence")
-    return inv.sightings(inv.normalise(found)).select("system", "locator", "snippet")
+    return inv.sightings(inv.normalise(found)).select("system", "locator", F.md5("snippet").alias("snippet"), F.length("snippet").cast("bigint").alias("length"))
 
 
 def kpi_gate(spark, sf_dir):
@@ -209,6 +226,18 @@ def fix_verify(spark, sf_dir):
     return out.groupBy("path", "template", "verified", "new_line", "new_findings").agg(F.count(F.lit(1)).alias("n"))
 
 
+def combined_scans(spark, sf_dir):
+    """Two stored scans as one: a shared artefact keeps a row and a verdict of each."""
+    root = scratch(spark, "store")
+    rows, drifts = correlate.correlate(scored(spark, sf_dir))
+    scans = B.table(spark, sf_dir, "region").selectExpr("explode(array('base', 'head')) as scan_id").distinct().selectExpr(
+        "scan_id", "'repo' as ref", "cast(null as string) as system", "'scan' as kind", "cast(null as string) as parent_scan_id", "'other' as sector", "'unknown' as exposure",
+        "11 as z_years", "array('source') as scanners_ran", "timestamp'2026-01-01' as created_at")
+    store.save_scans(rows, drifts, scans, root)
+    both, _ = store.combined(spark, root, ["base", "head"], "both")
+    return both.select("scan_id", "system", "bom_ref", "name", F.col("base_score").cast("bigint").alias("base_score"))
+
+
 def dependency_floor(spark, sf_dir):
     rows = B.table(spark, sf_dir, "part").selectExpr(
         "p_partkey", "case when p_size % 2 = 0 then 'distro' else 'pypi' end as ecosystem", "case when p_size % 2 = 0 then 'openssl' else 'pyjwt' end as package",
@@ -247,7 +276,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         spool_batch, spool_rejects, spool_verdicts, event_findings, enrich_window, enrich_fates, stream_window, stream_fates, stream_spool, stream_counters, kpi_findings, kpi_drift, fix_verify,
-        reader_gaps, normalise_redacted, kpi_gate, dependency_floor, diff_statistics, cbom_json_roundtrip, document_serial, export_csv, export_roadmap,
+        reader_gaps, normalise_redacted, combined_scans, kpi_gate, dependency_floor, diff_statistics, cbom_json_roundtrip, document_serial, export_csv, export_roadmap,
     )
 }
 
@@ -299,8 +328,6 @@ ORACLES = {
         SELECT 'base' AS scan_id, 'deps' AS scanner, path, 'unparsed' AS kind, 'not valid JSON' AS reason FROM m WHERE length(path) % 2 = 0
         UNION ALL SELECT DISTINCT 'base', 'runtime-spool', path, CASE WHEN valid > 0 THEN 'partially-parsed' ELSE 'unparsed' END, reject_reason
         FROM (SELECT path, reject_reason, count(*) FILTER (reject_reason IS NULL) OVER (PARTITION BY path) AS valid FROM j) WHERE reject_reason IS NOT NULL""",
-    "normalise_redacted": """SELECT source AS system, concat('doc/', doc_id, '.py:1') AS locator,
-        CASE doc_id % 3 WHEN 0 THEN '<redacted key material>' WHEN 1 THEN 'api_secret = "<redacted>"' ELSE concat('line ', doc_id) END AS snippet FROM documents""",
     "spool_batch": "WITH " + _EVENTS + """
         SELECT path, line_no, CAST(json_extract_string(line, '$.pid') AS BIGINT) AS pid, CAST(json_extract_string(line, '$.tid') AS BIGINT) AS tid, json_extract_string(line, '$.comm') AS comm,
           json_extract_string(line, '$.phase') AS phase, CAST(json_extract_string(line, '$.retval') AS BIGINT) AS retval, json_extract_string(line, '$.observed_version') AS observed_version,
@@ -379,6 +406,7 @@ ORACLES = {
 }
 ORACLES["kpi_gate"] = f"""SELECT f.recall, f.decoy_hits, d.recall AS drift_recall, d.invented, f.recall >= {kpi.RECALL_GATE} AND f.decoy_hits = 0 AND d.recall = 1 AND d.invented = 0 AS passes
     FROM ({ORACLES["kpi_findings"]}) f, ({ORACLES["kpi_drift"]}) d WHERE f.view = 'OVERALL'"""
+ORACLES["combined_scans"] = "WITH " + O.VERDICT + "SELECT 'both' AS scan_id, system, bom_ref, name, CAST(score AS BIGINT) AS base_score FROM verdict"
 ORACLES["stream_window"], ORACLES["stream_fates"] = ORACLES["enrich_window"], ORACLES["enrich_fates"]
 ORACLES["stream_spool"] = "WITH " + _EVENTS + """
     SELECT 'f' || (event_id // 1000) AS file, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id)::INTEGER AS line_no, CASE WHEN reject_reason IS NULL THEN event_id END AS event_id, reject_reason FROM j"""
@@ -390,3 +418,11 @@ ORACLES["stream_counters"] = f"""WITH {_EVENTS}, {_HELD_LINES},
     SELECT (SELECT count(*) FROM j) AS seen, (SELECT count(*) FROM j WHERE reject_reason IS NOT NULL) AS decode_errors, (SELECT count(*) FROM f WHERE fate = 'attached') AS enriched,
       (SELECT count(*) FROM f WHERE fate = 'orphan') AS enrich_orphan, 0::BIGINT AS late,
       (SELECT count(*) FROM m WHERE complete OR event_id NOT IN (SELECT holder FROM heirs)) + (SELECT count(*) FROM e WHERE ret AND NOT done) AS spooled"""
+
+#: What is left of each kind; a text that names a secret also loses the tokens it quotes.
+_LEFT = r"""CASE doc_id % 9 WHEN 0 THEN '<redacted key material>' WHEN 1 THEN quiet || chr(10) || 'api_secret = "<redacted>"' WHEN 2 THEN text || chr(10) || 'x <redacted> y'
+    WHEN 3 THEN text || chr(10) || 'blob(<redacted>)' WHEN 4 THEN text || chr(10) || '<redacted> end' WHEN 5 THEN text || chr(10) || 'pairs = <redacted>;'
+    WHEN 6 THEN quiet || chr(10) || 'DB_PASSWORD=<redacted>' WHEN 7 THEN text || chr(10) || 'pub = ' || to_base64(from_hex({pub})) ELSE 'k = "<redacted>" end' END"""
+ORACLES["normalise_redacted"] = r"""WITH d AS (SELECT doc_id, source, lang, text, regexp_replace(text, '(["''`])[0-9a-f]{40}(["''`])', '\1<redacted>\2', 'g') AS quiet FROM documents WHERE text IS NOT NULL),
+    x AS (SELECT source AS system, concat('doc/', doc_id, '.py:1') AS locator, """ + _LEFT.replace("{pub}", _PUB_HEX) + r""" AS left_over FROM d)
+    SELECT system, locator, md5(left_over) AS snippet, length(left_over) AS length FROM x"""

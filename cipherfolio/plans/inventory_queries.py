@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cipherfolio.functions import canonical as C
 from cipherfolio.operators import inventory as inv
 from cipherfolio.operators import policy
+from cipherfolio.operators.durable import durable
 from cipherfolio.plans import oracle_base as O
 from cipherfolio.plans import testbed
 
@@ -22,6 +23,11 @@ def joined(name: str):
     return F.array_join(F.col(name), ",").alias(name)
 
 
+def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised findings, written once: for queries that fold them to components and to sightings."""
+    return durable(inv.normalise(testbed.findings(spark, sf_dir)))
+
+
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.build_components(testbed.findings(spark, sf_dir))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cipherfolio.operators import correlate, metrics
+from cipherfolio.operators import correlate, metrics, policy
 from cipherfolio.operators import inventory as inv
 from cipherfolio.plans import oracle_base as O
 from cipherfolio.plans import testbed
 from cipherfolio.plans.correlation_queries import CORRELATED
-from cipherfolio.plans.inventory_queries import joined, scored
+from cipherfolio.plans.inventory_queries import joined, scored, settled
 
 TODAY = "2027-06-30"
 
@@ -85,8 +85,10 @@ def worst_by_band(spark, sf_dir):
 
 
 def inventory_filter_sort(spark, sf_dir):
+    findings = settled(spark, sf_dir)
+    verdicts = policy.score_components(inv.with_structure(inv.fold_components(findings)), testbed.targets(spark, sf_dir))
     rows = metrics.inventory_filter(
-        artefacts(spark, sf_dir), sightings(spark, sf_dir), bands=("Critical", "High"), drift_only=True,
+        correlate.correlate(verdicts)[0], inv.sightings(findings), bands=("Critical", "High"), drift_only=True,
         certainty_class="confirmed", text=" F1.py ")
     return metrics.inventory_sort(rows, "deadline", False).select("scan_id", "system", "bom_ref", "name", "band")
 
