@@ -149,6 +149,10 @@ class PrefixBpe(dict):
             return self.plain(text)
         return b"".join(array("I", [self.special[x]]).tobytes() if x in self.special else self.plain(x) for x in self.between.split(text))
 
+    def decimal(self, ids: bytes) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.names.__getitem__, array("I", ids)))
+
     def text(self, ids: bytes) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids))).decode("utf-8", "replace")
@@ -160,23 +164,32 @@ def prefix_bpe(path: str) -> PrefixBpe:
     return PrefixBpe(path)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """Id and ``ids`` (little-endian unsigned 32-bit) of every whole text, encoded where it is read.
 
+    With ``decode`` also ``names`` (decimal ids joined by commas) and ``decoded`` (the text of the ids), made in the same
+    worker: a task then holds one vocabulary and one set of memories.
+
     Defined cases: a null or empty text has no ids. Null and repeated ids are kept row by row. An empty table gives no
     rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_key"].dataType.simpleString()
+    columns = ["doc_key", "ids", *(["names", "decoded"] if decode else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = prefix_bpe(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.ids(x.as_py()) for x in part.column(1)], pa.binary())], ["doc_key", "ids"])
+                ids = [bpe.ids(x.as_py()) for x in part.column(1)]
+                made = [pa.array(ids, pa.binary())]
+                if decode:
+                    made += [pa.array([bpe.decimal(x) for x in ids], pa.string()), pa.array([bpe.text(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], columns)
 
-    return rows.mapInArrow(encode, f"doc_key {kind}, ids binary").withColumnRenamed("doc_key", id_col)
+    shape = f"doc_key {kind}, ids binary" + (", names string, decoded string" if decode else "")
+    return rows.mapInArrow(encode, shape).withColumnRenamed("doc_key", id_col)
 
 
 def decoded(ids: str, vocabulary: str) -> Column:
@@ -188,14 +201,3 @@ def decoded(ids: str, vocabulary: str) -> Column:
         return column.map(lambda x: None if x is None else bpe.text(x))
 
     return decode(ids)
-
-
-def decimal_ids(ids: str, vocabulary: str) -> Column:
-    """Decimal ids joined by commas; null ids give null."""
-
-    @F.pandas_udf("string")
-    def spell(column: pd.Series) -> pd.Series:
-        names = prefix_bpe(vocabulary).names
-        return column.map(lambda x: None if x is None else ",".join(map(names.__getitem__, array("I", x))))
-
-    return spell(ids)

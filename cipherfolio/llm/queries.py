@@ -56,11 +56,8 @@ def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("byte_bpe_50k.json")
-    encoded = prefix_bpe.encode_documents(table(spark, sf_dir, "documents"), path)
-    return encoded.select(
-        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
-        F.sha2(prefix_bpe.decimal_ids("ids", path), 256).alias("ids_sha256"), F.sha2(prefix_bpe.decoded("ids", path), 256).alias("decoded_sha256"))
+    rows = prefix_bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), decode=True)
+    return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("names", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +69,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
-    slim = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    # Written once: numbering reads the slim pieces several times, and none of that should tokenize again.
+    slim = durable(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
     return packing.number_sequences(slim).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "bucket_slot")
 
 

@@ -22,8 +22,8 @@ from cipherfolio.llm.word_tokens import END_ID, word_ids
 BLOCK = 512
 PERCENTILE = 0.9
 CHUNK_IDS = 1 << 18
-MAGIC = b"PFR1"
-HEAD = struct.Struct("<4sIQII")  # magic, documents, ids, block size, blocks
+MAGIC = b"PFR2"
+HEAD = struct.Struct("<4sIQIII")  # magic, documents, ids, block size, blocks, documents without id (they come first)
 BLOCK_HEAD = struct.Struct("<IHBx")  # least id, exceptions, width
 
 
@@ -90,10 +90,10 @@ def write_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]
     ]
 
 
-def write_chunk(doc_ids: list[int], lengths: list[int], ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
+def write_chunk(doc_ids: list[int], lengths: list[int], ids: np.ndarray, percentile: float = PERCENTILE, nulls: int = 0) -> bytes:
     blocks = write_blocks(ids, percentile)
     starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks], dtype=np.uint64)]).astype(np.uint64)
-    head = HEAD.pack(MAGIC, len(doc_ids), len(ids), BLOCK, len(blocks))
+    head = HEAD.pack(MAGIC, len(doc_ids), len(ids), BLOCK, len(blocks), nulls)
     return b"".join([head, np.asarray(doc_ids, np.int64).tobytes(), np.asarray(lengths, np.uint64).tobytes(), starts.tobytes(), *blocks])
 
 
@@ -101,7 +101,7 @@ class Chunk:
     """A payload opened for reading: all ids, or those from one position on through the index."""
 
     def __init__(self, payload: bytes) -> None:
-        magic, documents, self.size, self.block, self.blocks = HEAD.unpack_from(payload)
+        magic, documents, self.size, self.block, self.blocks, self.nulls = HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a chunk of token blocks")
         at = HEAD.size
@@ -145,32 +145,35 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, id_col: str =
     Documents are range-partitioned and sorted by id, so (part, chunk) is their ascending order. A chunk ends with the
     document that fills it; a longer document is a chunk of its own.
 
-    Defined cases: a null or empty text is the end id alone. A null id is written as the least 64-bit integer. Rows that
-    repeat an id follow each other in no fixed order. An empty table writes no chunk. Other columns are not read.
+    Defined cases: a null or empty text is the end id alone. Null ids come first and are read back as null. Rows that repeat
+    an id follow each other by a hash of their texts, and equal rows, whose order no reader can see, may be split between
+    parts, so a repeated id is no single task's work. An empty table writes no chunk. Other columns are not read.
     """
-    least = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("doc_key"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_key").sortWithinPartitions("doc_key")
+    key = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(key, F.lit(0)).alias("doc_key"), key.isNotNull().alias("known"), F.col(text_col).alias("text"))
+    order = ["known", "doc_key", "_hash", "_row"]
+    ordered = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_key", "known", "text")
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, part = word_ids(vocabulary), END_ID.to_bytes(4, "little"), TaskContext.get().partitionId()
-        number, held = 0, 0
+        number, held, nulls = 0, 0, 0
         doc_ids, lengths, texts = [], [], []
 
         def flush() -> pa.RecordBatch:
-            payload = write_chunk(doc_ids, lengths, np.frombuffer(b"".join(texts), np.uint32))
+            payload = write_chunk(doc_ids, lengths, np.frombuffer(b"".join(texts), np.uint32), nulls=nulls)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())],
                 ["part", "chunk", "documents", "tokens", "payload"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, known, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids = encoder.ids(text.as_py()) + end
                 if held and held + len(ids) // 4 > chunk_ids:
                     yield flush()
-                    number, held = number + 1, 0
+                    number, held, nulls = number + 1, 0, 0
                     doc_ids, lengths, texts = [], [], []
                 doc_ids.append(key)
+                nulls += not known
                 lengths.append(len(ids) // 4)
                 texts.append(ids)
                 held += len(ids) // 4
@@ -196,7 +199,7 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
                 ids, stops = chunk.ids(), np.cumsum(chunk.lengths)
                 starts, n = stops - chunk.lengths, len(stops)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, number.as_py(), np.int64)), pa.array(chunk.doc_ids), pa.array(starts), pa.array(chunk.lengths),
+                    [pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, number.as_py(), np.int64)), pa.array(chunk.doc_ids, mask=np.arange(n) < chunk.nulls), pa.array(starts), pa.array(chunk.lengths),
                      pa.array([ids[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary())],
                     ["part", "chunk", id_col, "local_start", "n_tokens", "ids"])
 

@@ -47,12 +47,12 @@ def test_broken_utf8_decodes_as_the_library_does(libraries):
 
 def test_documents_encode_and_decode(libraries, odd_docs, documents, empty_docs):
     for docs in (odd_docs, documents):
-        rows = prefix_bpe.encode_documents(docs, BYTES).withColumn("back", prefix_bpe.decoded("ids", BYTES)).withColumn("names", prefix_bpe.decimal_ids("ids", BYTES)).collect()
+        rows = prefix_bpe.encode_documents(docs, BYTES, decode=True).withColumn("back", prefix_bpe.decoded("ids", BYTES)).collect()
         texts = {r.doc_id: r.text for r in docs.collect()}
         assert len(rows) == docs.count()
         for r in rows:
             ids = by_library(libraries[BYTES], texts[r.doc_id])
-            assert list(array("I", r.ids)) == ids and r.back == (texts[r.doc_id] or "") and r.names == ",".join(map(str, ids))
+            assert list(array("I", r.ids)) == ids and r.back == r.decoded == (texts[r.doc_id] or "") and r.names == ",".join(map(str, ids))
     assert prefix_bpe.encode_documents(empty_docs, BYTES).count() == 0
 
 
@@ -94,14 +94,20 @@ def test_blocks_are_smaller_than_plain_ids():
 
 def test_token_files_read_back(spark, libraries, odd_docs, empty_docs, tmp_path):
     path = str(tmp_path / "tokens")
-    token_blocks.write_token_files(odd_docs, path, WORDS, chunk_ids=1000)
-    rows = token_blocks.with_starts(*token_blocks.read_token_files(spark, path)).collect()
-    texts = {-(1 << 63) if r.doc_id is None else r.doc_id: r.text for r in odd_docs.collect()}
-    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    # Null ids, one id with several texts, and equal rows.
+    docs = odd_docs.unionByName(odd_docs.filter("doc_id IN (1, 9)").withColumn("doc_id", F.lit(2).cast("long"))).unionByName(odd_docs.filter("doc_id IN (2, 6) OR doc_id IS NULL"))
+    want = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()), key=lambda r: r[:2])
+    for run in ("1", "2"):
+        token_blocks.write_token_files(docs.repartition(int(run) * 3), path + run, WORDS, chunk_ids=1000)
+    runs = [token_blocks.with_starts(*token_blocks.read_token_files(spark, path + run)).collect() for run in ("1", "2")]
+    found = [sorted(((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in rows), key=lambda r: r[0]) for rows in runs]
+    assert found[0] == found[1], "the order of repeated ids does not depend on the run"
+    assert [(i is not None, i or 0) for _, i, _, _ in found[0]] == [r[:2] for r in want]
+    ids_of = {text: [*by_library(libraries[WORDS], text), word_tokens.END_ID] for _, _, text in want}
+    assert sorted((i is not None, i or 0, ids) for _, i, _, ids in found[0]) == sorted((known, i, array("I", ids_of[text]).tobytes()) for known, i, text in want)
     at = 0
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        ids = [*by_library(libraries[WORDS], texts[r.doc_id]), word_tokens.END_ID]
-        assert (r.start, r.n_tokens, list(array("I", r.ids))) == (at, len(ids), ids)
-        at += len(ids)
-    token_blocks.write_token_files(empty_docs, path + "2", WORDS)
-    assert token_blocks.with_starts(*token_blocks.read_token_files(spark, path + "2")).count() == 0
+    for start, _, n, _ in found[0]:
+        assert start == at
+        at += n
+    token_blocks.write_token_files(empty_docs, path + "3", WORDS)
+    assert token_blocks.with_starts(*token_blocks.read_token_files(spark, path + "3")).count() == 0
