@@ -13,15 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cipherfolio.llm import sharding
 from cipherfolio.llm.word_tokens import END_ID, word_ids
 
 BLOCK = 512
 PERCENTILE = 0.9
 CHUNK_IDS = 1 << 18
+#: Bytes of text that one range aims at; there are never more ranges than ``sharding.RANGES``.
+PART_BYTES = 1 << 24
 MAGIC = b"PFR2"
 HEAD = struct.Struct("<4sIQIII")  # magic, documents, ids, block size, blocks, documents without id (they come first)
 BLOCK_HEAD = struct.Struct("<IHBx")  # least id, exceptions, width
@@ -139,44 +141,82 @@ class Chunk:
         return self.read_blocks(first, -(-stop // self.block))[start - first * self.block : stop - first * self.block] if stop > start else np.empty(0, np.uint32)
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", chunk_ids: int = CHUNK_IDS) -> None:
+def placed_documents(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
+    """Documents with the range they go to: ranges of about equal bytes in the order of (no id, id, hash of the text).
+
+    Boundaries come from a size-weighted sample of slim keys. The lowest bits of a key are the row's own, so that one id,
+    and even one row repeated, is cut like any other stretch.
+    """
+    least, key, text = -(1 << 63), F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    hashed = F.xxhash64(text).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(0xFFFF)))
+    rows = docs.select(
+        key.isNotNull().alias("known"), F.coalesce(key, F.lit(0)).alias("doc_key"), F.coalesce(F.greatest(key, F.lit(least + 1)), F.lit(least)).alias("_group"),
+        F.when(key == least, F.lit(least)).otherwise(hashed).alias("_tie"), (F.octet_length(text).cast("long") + 1).alias("size"), text.alias("text"))
+    keys = rows.select("_group", "_tie", "size")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    ranges = max(1, min(sharding.RANGES, -(-total // part_bytes)))
+    cuts = sharding.splitters(sharding.weighted_sample(keys, total, sharding.SAMPLE_ROWS), ranges)
+    return sharding.with_range(rows, cuts).select(F.col("_range").cast("int").alias("part"), "known", "doc_key", "_tie", "text")
+
+
+def narrow(ids: bytes) -> bytes:
+    """Ids as 16-bit integers where all fit, led by their width; the form in which they are shuffled."""
+    wide = np.frombuffer(ids, np.uint32)
+    fits = not len(wide) or int(wide.max()) < 1 << 16
+    return b"\x02" + wide.astype(np.uint16).tobytes() if fits else b"\x04" + ids
+
+
+def widened(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids[1:], np.uint16 if ids[0] == 2 else np.uint32).astype(np.uint32)
+
+
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", chunk_ids: int = CHUNK_IDS, part_bytes: int = PART_BYTES) -> None:
     """Token files of all documents under ``path``: rows (part, chunk, documents, tokens, payload).
 
-    Documents are range-partitioned and sorted by id, so (part, chunk) is their ascending order. A chunk ends with the
-    document that fills it; a longer document is a chunk of its own.
+    Texts are encoded where they are read; what is shuffled are ids, to ranges that ascend in the document id, so
+    (part, chunk) is the order of the ids. A chunk ends with the document that fills it; a longer document is a chunk of
+    its own.
 
     Defined cases: a null or empty text is the end id alone. Null ids come first and are read back as null. Rows that repeat
-    an id follow each other by a hash of their texts, and equal rows, whose order no reader can see, may be split between
-    parts, so a repeated id is no single task's work. An empty table writes no chunk. Other columns are not read.
+    an id follow each other by a hash of their texts; equal rows, whose order no reader can see, may lie in several parts,
+    so a repeated id is no single task's work. An empty table writes no chunk. Other columns are not read.
     """
-    key = F.col(id_col).cast("long")
-    rows = docs.select(F.coalesce(key, F.lit(0)).alias("doc_key"), key.isNotNull().alias("known"), F.col(text_col).alias("text"))
-    order = ["known", "doc_key", "_hash", "_row"]
-    ordered = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_key", "known", "text")
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = word_ids(vocabulary), END_ID.to_bytes(4, "little")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                ids = [narrow(encoder.ids(text.as_py()) + end) for text in some.column(4)]
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), pa.array(ids, pa.binary())], ["part", "known", "doc_key", "_tie", "ids"])
+
+    shape = "part int, known boolean, doc_key long, _tie long, ids binary"
+    encoded = placed_documents(docs, id_col, text_col, part_bytes).mapInArrow(encode, shape)
+    ordered = encoded.repartition("part").sortWithinPartitions("part", "known", "doc_key", "_tie")
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, part = word_ids(vocabulary), END_ID.to_bytes(4, "little"), TaskContext.get().partitionId()
-        number, held, nulls = 0, 0, 0
+        here, number, held, nulls = None, 0, 0, 0
         doc_ids, lengths, texts = [], [], []
 
         def flush() -> pa.RecordBatch:
-            payload = write_chunk(doc_ids, lengths, np.frombuffer(b"".join(texts), np.uint32), nulls=nulls)
+            payload = write_chunk(doc_ids, lengths, np.concatenate(texts), nulls=nulls)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())],
+                [pa.array([here], pa.int32()), pa.array([number], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())],
                 ["part", "chunk", "documents", "tokens", "payload"])
 
         for batch in batches:
-            for key, known, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = encoder.ids(text.as_py()) + end
-                if held and held + len(ids) // 4 > chunk_ids:
+            for part, known, key, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), batch.column(4), strict=True):
+                ids = widened(packed.as_py())
+                if held and (part != here or held + len(ids) > chunk_ids):
                     yield flush()
-                    number, held, nulls = number + 1, 0, 0
+                    number = number + 1 if part == here else 0
+                    held, nulls = 0, 0
                     doc_ids, lengths, texts = [], [], []
+                here = part
                 doc_ids.append(key)
                 nulls += not known
-                lengths.append(len(ids) // 4)
+                lengths.append(len(ids))
                 texts.append(ids)
-                held += len(ids) // 4
+                held += len(ids)
         if held:
             yield flush()
 

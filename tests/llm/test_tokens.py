@@ -87,6 +87,12 @@ def test_blocks_round_trip(ids, percentile):
         assert (chunk.slice(start, stop) == ids[start:stop]).all()
 
 
+def test_ids_are_narrowed_where_they_fit():
+    for ids in ([], [1], [65535, 0], [65536, 1], [2**32 - 1]):
+        packed = token_blocks.narrow(np.array(ids, np.uint32).tobytes())
+        assert token_blocks.widened(packed).tolist() == ids and len(packed) == 1 + len(ids) * (2 if max(ids, default=0) < 65536 else 4)
+
+
 def test_blocks_are_smaller_than_plain_ids():
     ids = np.minimum(np.random.default_rng(1).zipf(1.3, 50_000), 49_000).astype(np.uint32)
     assert len(token_blocks.write_chunk([1], [len(ids)], ids)) < 0.7 * 4 * len(ids)
@@ -98,9 +104,10 @@ def test_token_files_read_back(spark, libraries, odd_docs, empty_docs, tmp_path)
     docs = odd_docs.unionByName(odd_docs.filter("doc_id IN (1, 9)").withColumn("doc_id", F.lit(2).cast("long"))).unionByName(odd_docs.filter("doc_id IN (2, 6) OR doc_id IS NULL"))
     want = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()), key=lambda r: r[:2])
     for run in ("1", "2"):
-        token_blocks.write_token_files(docs.repartition(int(run) * 3), path + run, WORDS, chunk_ids=1000)
+        token_blocks.write_token_files(docs.repartition(int(run) * 3), path + run, WORDS, chunk_ids=1000, part_bytes=50_000)
     runs = [token_blocks.with_starts(*token_blocks.read_token_files(spark, path + run)).collect() for run in ("1", "2")]
     found = [sorted(((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in rows), key=lambda r: r[0]) for rows in runs]
+    assert spark.read.parquet(path + "1").select("part").distinct().count() > 3
     assert found[0] == found[1], "the order of repeated ids does not depend on the run"
     assert [(i is not None, i or 0) for _, i, _, _ in found[0]] == [r[:2] for r in want]
     ids_of = {text: [*by_library(libraries[WORDS], text), word_tokens.END_ID] for _, _, text in want}
