@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from cipherfolio.operators.durable import durable
 
-#: Documented bound of the fitted sample: documents of each language, by a hash of the id; and of the languages.
+#: Documented bound of the fitted sample: documents of each language, by a hash of the id.
 ROWS_PER_LANGUAGE = 400
-MOST_LANGUAGES = 64
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
 #: A page's n-grams overlap and repeat; their joint evidence counts as that of so many independent ones at most.
@@ -76,11 +75,9 @@ def word_buckets(word: str) -> list[int]:
 
 
 def text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = ROWS_PER_LANGUAGE) -> TextModel:
-    """Fitted on at most ``per_language`` whole documents of each labelled language, of the commonest
-    languages. Documents without an id are not drawn."""
+    """Fitted on at most ``per_language`` whole documents of each labelled language. Documents without an id are not drawn."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = labelled.groupBy(F.lower(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(row[0] for row in found)
+    languages = sorted(row[0] for row in labelled.select(F.lower(lang_col)).distinct().collect())
     counts = np.full((BUCKETS, max(len(languages), 1)), 0.05)
     for number, language in enumerate(languages):
         own = labelled.filter((F.lower(lang_col) == language) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_key"), F.col(text_col).alias("text"))

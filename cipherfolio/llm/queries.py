@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherfolio.llm import (
     bag_minhash, byte_transducer, cotraining, exact_dedup, fingerprints, hilbert_codes, language_id, packing, prefix_bpe, ranked_search, sharding, token_blocks, toxicity,
 )
-from cipherfolio.operators.durable import checkpoint_folder, durable
+from cipherfolio.operators.durable import durable, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,15 +42,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one; it belongs to this session's run."""
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    views = cotraining.train(docs, table(spark, sf_dir, "labels"))
-    return cotraining.score_documents(docs, views).withColumn("kept", F.col("score") >= 0.5)
+    slim = cotraining.slim_texts(docs, "doc_id", "text", "lang", "source")
+    views = cotraining.train(docs, table(spark, sf_dir, "labels"), slim=slim)
+    return cotraining.score_slim(slim, views).withColumn("kept", F.col("score") >= 0.5)
 
 
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Character n-grams of words as hashed buckets, and linear scores of words remembered per worker."""
+"""Character n-grams of words as hashed buckets, made for many words at once, and dictionaries of small batches of texts."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from zlib import crc32
 
 import numpy as np
@@ -10,53 +12,91 @@ import numpy as np
 LEAST_GRAM, MOST_GRAM = 3, 5
 BUCKETS = 1 << 18
 LONGEST_WORD = 40
-MOST_REMEMBERED = 800_000
+#: Odd multipliers that spread the code points of an n-gram over 64 bits.
+STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def grams_of(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """``(number of the word, bucket)`` of each word itself, in brackets, and of all its n-grams of 3 to 5 characters."""
+    marked = [f"<{word}>" for word in words]
+    mask = np.uint64(buckets - 1)
+    numbers, found = [np.arange(len(words))], [np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in marked], np.uint64) & mask]
+    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    word_of = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(letters))  # letters from here to the word's end
+    rolled = letters.copy()
+    for size in range(2, MOST_GRAM + 1):
+        rolled = rolled[: len(letters) - size + 1] * STEP + letters[size - 1 :] if len(letters) >= size else rolled[:0]
+        if size >= LEAST_GRAM:
+            whole = left[: len(rolled)] >= size
+            mixed = rolled[whole] * SPREAD
+            numbers.append(word_of[: len(rolled)][whole])
+            found.append((mixed ^ (mixed >> np.uint64(29))) & mask)
+    return np.concatenate(numbers), np.concatenate(found).astype(np.int64)
 
 
 def grams(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word: itself in brackets, and all its n-grams of 3 to 5 bytes' worth of letters."""
-    marked = f"<{word}>"
-    mask = buckets - 1
-    found = [crc32(marked.encode()) & mask]
-    for size in range(LEAST_GRAM, MOST_GRAM + 1):
-        found += [crc32(marked[i : i + size].encode()) & mask for i in range(len(marked) - size + 1)]
-    return found
+    """Buckets of one word."""
+    return grams_of([word], buckets)[1].tolist()
+
+
+def cut_long(words: list[str]) -> list[str]:
+    """A run longer than 40 letters is cut, so a text without spaces is many words and none of it is lost."""
+    return [part for word in words for part in ((word,) if len(word) <= LONGEST_WORD else (word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)))]
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words at white space, without punctuation at their ends. A longer run is cut into words of 40 letters,
-    so a text without spaces is many words and none of it is lost."""
-    if not text:
-        return []
-    found = text.lower().split()
-    return [part for word in found for part in ((word,) if len(word) <= LONGEST_WORD else (word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)))]
+    """Lower-cased words at white space."""
+    return cut_long(text.lower().split()) if text else []
+
+
+def words_as_written(text: str | None) -> list[str]:
+    return cut_long(text.split()) if text else []
 
 
 def bare(word: str) -> str:
+    """A word without punctuation at its ends."""
     return word.strip(".,;:!?\"'()[]{}<>|%$&*#") or word
 
 
-class WordScores(dict):
-    """Word -> its number; row n of ``table`` has the sum of its buckets' scores and how many they are."""
-
-    def __init__(self, weights: np.ndarray) -> None:
-        super().__init__()
-        self.weights = weights
-        self.table = np.zeros((1 << 16, 2), np.float64)
+class Numbers(dict):
+    """Word -> its number in order of appearance."""
 
     def __missing__(self, word: str) -> int:
-        number = len(self)
-        if number == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        found = grams(bare(word), len(self.weights))
-        self.table[number] = self.weights[found].sum(), len(found)
-        self[word] = number
+        number = self[word] = len(self)
         return number
 
-    def sums(self, words: list[str]) -> tuple[float, float]:
-        """Sum of scores and number of buckets over all words."""
-        if len(self) > MOST_REMEMBERED:
-            self.clear()
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        scores, counts = self.table[numbers].sum(axis=0)
-        return float(scores), float(counts)
+
+class WordCounts:
+    """Texts as counts over one dictionary of their distinct words: what is said of a word is worked out once for all texts."""
+
+    def __init__(self, words: list[str], ends: np.ndarray, at: np.ndarray, counts: np.ndarray) -> None:
+        self.words, self.ends, self.at, self.counts = words, ends, at, counts
+        self.text_of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+
+    @classmethod
+    def of(cls, texts: Iterable[list[str]]) -> WordCounts:
+        numbers, at, counts, ends, total = Numbers(), [], [], [], 0
+        for words in texts:
+            found = Counter(words)
+            at.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+            counts.append(np.fromiter(found.values(), np.int64, len(found)))
+            total += len(found)
+            ends.append(total)
+        nothing = [np.zeros(0, np.int64)]
+        return cls(list(numbers), np.array(ends, np.int64), np.concatenate(at or nothing), np.concatenate(counts or nothing))
+
+    def sums(self, of_words: np.ndarray) -> np.ndarray:
+        """Per text the sum of a number per word (words, or words x columns), repeats included."""
+        columns = (of_words if of_words.ndim > 1 else of_words[:, None]).T
+        found = [np.bincount(self.text_of, column[self.at] * self.counts, len(self.ends)) for column in columns]
+        return np.stack(found, axis=1).reshape(len(self.ends), *of_words.shape[1:])
+
+    def mean_weights(self, models: np.ndarray, spelled: list[str] | None = None) -> np.ndarray:
+        """Per text and model (models x buckets) the mean weight of all n-grams of all words; 0 where there is none."""
+        word_of, bucket = grams_of(self.words if spelled is None else spelled, models.shape[1])
+        n = len(self.words)
+        per_word = np.stack([np.bincount(word_of, model[bucket], n) for model in models] + [np.bincount(word_of, minlength=n)], axis=1)
+        sums = self.sums(per_word)
+        return sums[:, :-1] / np.maximum(sums[:, -1:], 1)

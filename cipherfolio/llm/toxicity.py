@@ -8,7 +8,7 @@ Adam on a bounded sample of labelled rows. Scores are linear in the n-grams, so
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cipherfolio.llm.subwords import BUCKETS, WordScores, bare, grams, words_of
+from cipherfolio.llm.subwords import BUCKETS, WordCounts, bare, grams_of, words_of
 
 #: Documented bound of the training sample: rows of each class, drawn by a hash of the id.
-ROWS_PER_CLASS = 1200
-DIMENSIONS = 2
-EPOCHS = 50
+ROWS_PER_CLASS = 1500
+DIMENSIONS = 4
+EPOCHS = 70
 RATE = 0.02
 #: An n-gram seen in fewer sample documents has a zero vector: it would only learn its documents by heart.
 LEAST_DOCUMENTS = 8
@@ -29,6 +29,8 @@ LEAST_DOCUMENTS = 8
 TOXIC_WEIGHT = 0.2
 SPREAD = 10.0
 SEED = 20
+#: Texts whose words share one dictionary while they are scored.
+TOGETHER = 1024
 
 
 @dataclass(frozen=True)
@@ -51,25 +53,25 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     for label in (0, 1):
         part = usable.filter(F.col("_label") == label).orderBy(F.xxhash64("_key"), "_key").limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), "_key").orderBy("_key").select("_text", "_label").collect()
-    return [(row[0] or "", row[1]) for row in rows]
+    # One row of each drawn id reaches the driver, however often the id repeats.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    met = docs.select(F.col(id_col).alias("_key"), F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("_row")).join(F.broadcast(drawn), "_key")
+    rows = met.groupBy("_key", "_label").agg(F.min("_row").alias("_row")).orderBy("_key").select("_row.text", "_label").collect()
+    return [(row[0], row[1]) for row in rows]
 
 
 def bags(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries (document, bucket, share of the document's n-grams), one per distinct pair, built document by document."""
-    known: dict[str, np.ndarray] = {}
     documents, found, shares = [], [], []
     for i, text in enumerate(texts):
         counts = Counter(map(bare, words_of(text)))
         if not counts:
             continue
-        for word in counts.keys() - known.keys():
-            known[word] = np.array(grams(word, buckets), np.int32)
-        each = [known[word] for word in counts]
-        times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), [len(x) for x in each])
-        bucket, where = np.unique(np.concatenate(each), return_inverse=True)
+        word_of, grams = grams_of(list(counts), buckets)
+        times = np.fromiter(counts.values(), np.float64, len(counts))[word_of]
+        bucket, where = np.unique(grams, return_inverse=True)
         documents.append(np.full(len(bucket), i, np.int32))
-        found.append(bucket)
+        found.append(bucket.astype(np.int32))
         shares.append((np.bincount(where, times) / times.sum()).astype(np.float32))
     if not found:
         return np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32)
@@ -88,12 +90,14 @@ def fit(sample: list[tuple[str, int]], buckets: int = BUCKETS, dimensions: int =
     if not toxic or not clean:
         return flat
     doc_at, bucket_at, share = bags([text for text, _ in sample], buckets)
-    least = min(LEAST_DOCUMENTS, max(1, min(toxic, clean) // 8))
-    common = np.bincount(bucket_at, minlength=buckets)[bucket_at] >= least
-    doc_at, share = doc_at[common], share[common]
-    used, gram_at = np.unique(bucket_at[common], return_inverse=True)
+    enough = np.bincount(bucket_at, minlength=buckets) >= LEAST_DOCUMENTS
+    used = np.nonzero(enough)[0]
     if not len(used):
         return flat
+    common = enough[bucket_at]
+    doc_at, share = doc_at[common], share[common]
+    gram_at = (np.cumsum(enough, dtype=np.int32) - 1)[bucket_at[common]]
+    del bucket_at, common
     in_toxic = np.bincount(gram_at, labels[doc_at], len(used))
     in_clean = np.bincount(gram_at, 1 - labels[doc_at], len(used))
     chance = np.random.default_rng(SEED)
@@ -132,6 +136,12 @@ def fit(sample: list[tuple[str, int]], buckets: int = BUCKETS, dimensions: int =
     return Model(weights, float(bias[1] - bias[0]))
 
 
+def mean_scores(texts: Iterable[str | None], weights: np.ndarray) -> np.ndarray:
+    """The mean weight of all n-grams of each text."""
+    counts = WordCounts.of(map(words_of, texts))
+    return counts.mean_weights(weights[None], list(map(bare, counts.words)))[:, 0]
+
+
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Id, the columns of ``keep``, and ``score``: the softmax probability of label 1 for every whole text.
 
@@ -147,13 +157,11 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        scores = WordScores(weights)
         for batch in batches:
-            out = []
-            for text in batch.column(0):
-                total, count = scores.sums(words_of(text.as_py()))
-                out.append(1 / (1 + np.exp(-np.clip(bias + total / max(count, 1), -50, 50))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], [*batch.schema.names[1:], "score"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                out = 1 / (1 + np.exp(-np.clip(bias + mean_scores((x.as_py() for x in part.column(0)), weights), -50, 50)))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.float64())], [*part.schema.names[1:], "score"])
 
     scored = rows.mapInArrow(score, f"{kinds}, score double")
     return scored.select(F.col("doc_key").alias(id_col), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "score")
