@@ -151,8 +151,8 @@ def placed_documents(docs: DataFrame, id_col: str, text_col: str, part_bytes: in
     hashed = F.xxhash64(text).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(0xFFFF)))
     rows = docs.select(
         key.isNotNull().alias("known"), F.coalesce(key, F.lit(0)).alias("doc_key"), F.coalesce(F.greatest(key, F.lit(least + 1)), F.lit(least)).alias("_group"),
-        F.when(key == least, F.lit(least)).otherwise(hashed).alias("_tie"), (F.octet_length(text).cast("long") + 1).alias("size"), text.alias("text"))
-    keys = rows.select("_group", "_tie", "size")
+        F.when(key == least, F.lit(least)).otherwise(hashed).alias("_tie"), F.lit(0).cast("long").alias("_row"), (F.octet_length(text).cast("long") + 1).alias("size"), text.alias("text"))
+    keys = rows.select("_group", "_tie", "_row", "size")
     total = keys.agg(F.sum("size")).first()[0] or 0
     ranges = max(1, min(sharding.RANGES, -(-total // part_bytes)))
     cuts = sharding.splitters(sharding.weighted_sample(keys, total, sharding.SAMPLE_ROWS), ranges)

@@ -86,6 +86,23 @@ def test_shards_with_odd_rows_and_a_hot_group(spark, odd_docs):
     assert gapless(rows) and len(sizes) == 8 and max(sizes.values()) < 1.1 * min(sizes.values())  # the hot group is subdivided
 
 
+def test_rows_that_repeat_id_and_text_are_cut(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("the same text " * 20)).otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    found = sharding.shard_by_bytes(rows.repartition(5), shards=16).collect()
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r.size
+    assert len(found) == 3000 and gapless(found) and len(sizes) == 16 and max(sizes.values()) < 1.1 * min(sizes.values())
+
+
+def test_ranges_that_a_sample_leaves_overfull_are_subdivided(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("_group"), F.col("id").alias("_tie"), F.col("id").alias("_row"), F.lit(10).cast("long").alias("size"))
+    cuts = sharding.counted_cuts(keys, 200_000, 64, 40)  # far too few sample rows for 64 ranges
+    few = sharding.splitters(sharding.weighted_sample(keys, 200_000, 40), 64)
+    heaviest = [sharding.with_range(keys, c).groupBy("_range").count().agg(F.max("count")).first()[0] for c in (few, cuts)]
+    assert set(few) <= set(cuts) and heaviest[1] < heaviest[0]
+
+
 def test_written_shards_hold_every_row(spark, documents, tmp_path):
     placed = sharding.shard_by_bytes(documents, shards=4)
     sharding.write_shards(documents, placed, str(tmp_path / "shards"))
@@ -164,6 +181,15 @@ def test_near_copies_with_odd_rows(odd_docs):
     assert [(r.class_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_near_copies_of_ids_with_several_texts(spark):
+    a, b = ("one two three four five six seven", "quite another text with words of its own here")
+    rows = [(5, a), (5, b), (7, a), (9, b), (5, a), (-3, "alone"), (None, a)]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame([(None if i is None else i if kind == "long" else str(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        got = Counter((None if r.doc_id is None else int(r.doc_id), None if r.class_id is None else int(r.class_id), r.class_size, r.kept) for r in bag_minhash.near_duplicates(docs).collect())
+        assert got == Counter({(5, 5, 3, True): 1, (5, 5, 3, False): 1, (7, 5, 3, False): 1, (5, 5, 2, True): 1, (9, 5, 2, False): 1, (-3, -3, 1, True): 1, (None, None, 1, True): 1})
+
+
 def shingle_set(text):
     words = (text or "").split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
