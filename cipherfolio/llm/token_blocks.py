@@ -22,8 +22,8 @@ from cipherfolio.llm.word_tokens import END_ID, word_ids
 BLOCK = 512
 PERCENTILE = 0.9
 CHUNK_IDS = 1 << 18
-#: Bytes of text that one range aims at; there are never more ranges than ``sharding.RANGES``.
-PART_BYTES = 1 << 24
+#: Bytes of text that one range aims at, the most ranges there are, and sample rows for each.
+PART_BYTES, MOST_PARTS, SAMPLED = 1 << 22, 1 << 13, 8
 MAGIC = b"PFR2"
 HEAD = struct.Struct("<4sIQIII")  # magic, documents, ids, block size, blocks, documents without id (they come first)
 BLOCK_HEAD = struct.Struct("<IHBx")  # least id, exceptions, width
@@ -154,8 +154,8 @@ def placed_documents(docs: DataFrame, id_col: str, text_col: str, part_bytes: in
         F.when(key == least, F.lit(least)).otherwise(hashed).alias("_tie"), F.lit(0).cast("long").alias("_row"), (F.octet_length(text).cast("long") + 1).alias("size"), text.alias("text"))
     keys = rows.select("_group", "_tie", "_row", "size")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    ranges = max(1, min(sharding.RANGES, -(-total // part_bytes)))
-    cuts = sharding.splitters(sharding.weighted_sample(keys, total, sharding.SAMPLE_ROWS), ranges)
+    ranges = max(1, min(MOST_PARTS, -(-total // part_bytes)))
+    cuts = sharding.splitters(sharding.weighted_sample(keys, total, max(sharding.SAMPLE_ROWS, SAMPLED * ranges)), ranges)
     return sharding.with_range(rows, cuts).select(F.col("_range").cast("int").alias("part"), "known", "doc_key", "_tie", "text")
 
 
