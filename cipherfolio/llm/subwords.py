@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -16,24 +16,28 @@ LONGEST_WORD = 40
 STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def grams_of(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """``(number of the word, bucket)`` of each word itself, in brackets, and of all its n-grams of 3 to 5 characters."""
+def grams_by_size(words: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(number of the word, bucket)`` of the words themselves, in brackets, and then of their n-grams, one length after the other."""
     marked = [f"<{word}>" for word in words]
     mask = np.uint64(buckets - 1)
-    numbers, found = [np.arange(len(words))], [np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in marked], np.uint64) & mask]
+    yield np.arange(len(words)), (np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in marked], np.uint64) & mask).astype(np.int64)
     letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     word_of = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(letters))  # letters from here to the word's end
-    rolled = letters.copy()
+    rolled = letters
     for size in range(2, MOST_GRAM + 1):
         rolled = rolled[: len(letters) - size + 1] * STEP + letters[size - 1 :] if len(letters) >= size else rolled[:0]
         if size >= LEAST_GRAM:
             whole = left[: len(rolled)] >= size
             mixed = rolled[whole] * SPREAD
-            numbers.append(word_of[: len(rolled)][whole])
-            found.append((mixed ^ (mixed >> np.uint64(29))) & mask)
-    return np.concatenate(numbers), np.concatenate(found).astype(np.int64)
+            yield word_of[: len(rolled)][whole], ((mixed ^ (mixed >> np.uint64(29))) & mask).astype(np.int64)
+
+
+def grams_of(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """``(number of the word, bucket)`` of each word itself and of all its n-grams of 3 to 5 characters."""
+    numbers, found = zip(*grams_by_size(words, buckets), strict=True)
+    return np.concatenate(numbers), np.concatenate(found)
 
 
 def grams(word: str, buckets: int = BUCKETS) -> list[int]:
@@ -95,8 +99,11 @@ class WordCounts:
 
     def mean_weights(self, models: np.ndarray, spelled: list[str] | None = None) -> np.ndarray:
         """Per text and model (models x buckets) the mean weight of all n-grams of all words; 0 where there is none."""
-        word_of, bucket = grams_of(self.words if spelled is None else spelled, models.shape[1])
         n = len(self.words)
-        per_word = np.stack([np.bincount(word_of, model[bucket], n) for model in models] + [np.bincount(word_of, minlength=n)], axis=1)
-        sums = self.sums(per_word)
+        per_word = np.zeros((len(models) + 1, n))
+        for word_of, bucket in grams_by_size(self.words if spelled is None else spelled, models.shape[1]):
+            for number, model in enumerate(models):
+                per_word[number] += np.bincount(word_of, model[bucket], n)
+            per_word[-1] += np.bincount(word_of, minlength=n)
+        sums = self.sums(per_word.T)
         return sums[:, :-1] / np.maximum(sums[:, -1:], 1)
