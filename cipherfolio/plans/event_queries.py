@@ -210,14 +210,11 @@ def _fix_files(spark, sf_dir):
     return nginx.unionByName(openssl), code
 
 
-_HASH_RULES = tuple(r for r in detect.load_rules() if r.id.startswith("py-hashlib"))
-
-
 def fix_verify(spark, sf_dir):
     config, code = _fix_files(spark, sf_dir)
     context = B.targets(spark, sf_dir).withColumn("exposure", F.lit("internal"))
     out = None
-    for rows, detector in ((config, config_text.config_findings), (code, lambda f: detect.source_findings(f, _HASH_RULES))):
+    for rows, detector in ((config, config_text.config_findings), (code, detect.source_findings)):
         found = durable(detector(rows))
         proposals = remediate.propose(found, files.lines(rows))
         patched = remediate.patch_files(rows, proposals)
