@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherfolio.llm.subwords import BUCKETS, WordCounts, bare, grams_of, words_of
+from cipherfolio.llm.worker_memory import giving_back
 
 #: Documented bound of the training sample: rows of each class, drawn by a hash of the id.
 ROWS_PER_CLASS = 1500
@@ -155,6 +156,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     rows = docs.select(F.col(text_col).alias("scored_text"), F.col(id_col).alias("doc_key"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
 
+    @giving_back
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
