@@ -147,38 +147,105 @@ def propose(findings: DataFrame, lines: DataFrame, templates: Sequence[Template]
     return durable(proposed.withColumn("refusal", final).drop("context"))
 
 
+FILE = ["scan_id", "system", "path"]
+
+
+def coloured(proposals: DataFrame, alone: bool = False) -> DataFrame:
+    """Proposals with ``colour``: those of one file and colour share a patched copy.
+
+    Lines of one colour lie further apart than a context reaches, and proposals
+    for one line differ in colour, so no line belongs to the contexts of two.
+    ``alone`` gives every proposal a colour of its own. Proposals without a new
+    line have no colour.
+    """
+    rank = F.row_number().over(Window.partitionBy(*FILE, "line_no").orderBy("fingerprint", "template", "new_line"))
+    apart = F.col("line_no") if alone else F.pmod(F.col("line_no"), F.lit(BEFORE + AFTER + 1))
+    changing = proposals.filter("new_line IS NOT NULL").withColumn("colour", F.concat_ws(".", apart.cast("string"), rank.cast("string")))
+    return changing.unionByName(proposals.filter("new_line IS NULL").withColumn("colour", F.lit(None).cast("string")))
+
+
 def patch_files(files: DataFrame, proposals: DataFrame) -> DataFrame:
-    """One patched copy of a file per proposal: each fix is verified alone."""
-    key = ["scan_id", "system", "path"]
-    edits = proposals.filter("new_line IS NOT NULL").select(*key, "fingerprint", "line_no", "new_line")
-    joined = files.join(edits, key)
+    """One patched copy of a file per colour of its proposals."""
+    edit = F.struct("line_no", "new_line")
+    edits = proposals.filter("colour IS NOT NULL").groupBy(*FILE, "colour").agg(F.map_from_entries(F.collect_list(edit)).alias("edits"))
+    joined = files.join(edits, FILE)
     parts = F.split("text", "\n")
-    text = F.array_join(F.transform(parts, lambda line, i: F.when(i + 1 == F.col("line_no"), F.col("new_line")).otherwise(line)), "\n")
+    text = F.array_join(F.transform(parts, lambda line, i: F.coalesce(F.try_element_at("edits", (i + 1).cast("bigint")), line)), "\n")
     # The copy is told apart by its scan, so every detector runs on it unchanged.
-    copy = F.concat_ws("\u001f", "scan_id", "fingerprint", F.col("line_no").cast("string"))
+    copy = F.concat_ws("\u001f", "scan_id", "colour")
     return joined.select(copy.alias("scan_id"), "system", "path", text.alias("text"))
 
 
-def verify(proposals: DataFrame, before: DataFrame, patched: DataFrame, detector: Callable[[DataFrame], DataFrame],
-           critical: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Proposals with ``verified`` and ``reason``.
+def _placed(findings: DataFrame) -> DataFrame:
+    """Findings with their fingerprint and the file and line they cite first."""
+    seen = F.get("occurrences", F.lit(0))
+    location, number = C.split_locator(seen["view"], seen["locator"])
+    return _fingerprint(findings).withColumn("path", location).withColumn("at", number)
+
+
+def _judge(proposals: DataFrame, before: DataFrame, files: DataFrame, detector: Callable[[DataFrame], DataFrame],
+           critical: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Coloured proposals with ``_still``, ``new_findings``, ``new_criticals`` and ``_beyond``.
+
+    What a copy shows in the context of a site belongs to that site, what it
+    shows outside all contexts to each of its sites. In the contexts of other
+    sites the untouched file is asked instead. ``_beyond`` says that the copy
+    shows something new outside all contexts, so one of several sites did it.
+    """
+    group = [*FILE, "colour"]
+    sites = proposals.filter("colour IS NOT NULL").select(*group, F.col("line_no").alias("site"))
+    near = sites.select(*group, "site", F.explode(F.sequence(F.col("site") - BEFORE, F.col("site") + AFTER)).alias("at"))
+    copy = F.split("scan_id", "\u001f")
+    found = _placed(detector(patch_files(files, proposals))).withColumn("colour", F.get(copy, F.lit(1))).withColumn("scan_id", F.get(copy, F.lit(0)))
+    after = durable(found.join(near, [*group, "at"], "left"))
+    known = durable(_placed(before).select(*FILE, "at", "fingerprint").distinct())
+    shown = after.groupBy(*group, "fingerprint", "site").agg(F.lit(True).alias("_shown"))
+    own = shown.filter("site IS NOT NULL").withColumnRenamed("_shown", "_own")
+    outside = shown.filter("site IS NULL").drop("site").withColumnRenamed("_shown", "_outside")
+    untouched = known.join(near, [*FILE, "at"]).select(*group, "fingerprint", "site").distinct()
+    every = untouched.groupBy(*group, "fingerprint").agg(F.count(F.lit(1)).alias("_every"))
+    here = untouched.withColumn("_here", F.lit(1))
+
+    arrived = compare.arrivals(known, after, ["scan_id", "fingerprint"])
+    # Each arrival counts for its site, those outside all contexts for every site of the copy.
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        flat = rows.select(*group, "site", "fingerprint")
+        spread = flat.filter("site IS NULL").drop("site").join(sites, group).select(*group, "site", "fingerprint")
+        return flat.filter("site IS NOT NULL").unionByName(spread).groupBy(*group, "site").agg(F.count_distinct("fingerprint").alias(name))
+
+    beyond = arrived.filter("site IS NULL").select(*group).distinct().join(sites.groupBy(*group).agg(F.count(F.lit(1)).alias("_sites")).filter("_sites > 1"), group)
+    keyed = proposals.withColumn("site", F.col("line_no"))
+    joined = (
+        keyed.join(own, [*group, "fingerprint", "site"], "left").join(outside, [*group, "fingerprint"], "left")
+        .join(every, [*group, "fingerprint"], "left").join(here, [*group, "fingerprint", "site"], "left")
+        .join(counted(arrived, "new_findings"), [*group, "site"], "left").join(beyond.select(*group, F.lit(True).alias("_beyond")), group, "left")
+    )
+    if critical is None:
+        joined = joined.withColumn("new_criticals", F.lit(0).cast("bigint"))
+    else:
+        joined = joined.join(counted(critical(arrived), "new_criticals"), [*group, "site"], "left")
+    elsewhere = F.coalesce("_every", F.lit(0)) > F.coalesce("_here", F.lit(0))
+    still = F.coalesce("_own", F.lit(False)) | F.coalesce("_outside", F.lit(False)) | elsewhere
+    return joined.withColumn("_still", still).withColumn("_beyond", F.coalesce("_beyond", F.lit(False))).drop("_own", "_outside", "_every", "_here", "site")
+
+
+def verify(proposals: DataFrame, before: DataFrame, files: DataFrame, detector: Callable[[DataFrame], DataFrame],
+           critical: Callable[[DataFrame], DataFrame] | None = None, alone: bool = False) -> DataFrame:
+    """Proposals with ``verified`` and ``reason``, as if each had been applied by itself.
 
     ``before`` are the findings on the untouched files. ``critical`` maps
     findings to the subset that counts as Critical; new ones block the fix.
+    Detection reads a file once per colour, not once per proposal; only where a
+    shared copy shows something new outside all contexts are its proposals
+    tried alone. ``alone`` tries all of them alone.
     """
-    after = _fingerprint(detector(patched)).withColumn("copy", F.split("scan_id", "\u001f"))
-    after = durable(after.select(
-        F.get("copy", F.lit(0)).alias("scan_id"), F.get("copy", F.lit(1)).alias("fixed"), F.get("copy", F.lit(2)).cast("bigint").alias("fixed_line"),
-        *[c for c in after.columns if c not in ("scan_id", "copy")]))
-    site = ["scan_id", "fixed", "fixed_line"]
-    still = after.filter(F.col("fingerprint") == F.col("fixed")).select(*site).distinct().withColumn("_still", F.lit(True))
-    arrived = compare.arrivals(_fingerprint(before), after, ["scan_id", "fingerprint"])
-    worse = arrived if critical is None else critical(arrived)
-    blocked = worse.groupBy(*site).agg(F.count(F.lit(1)).alias("new_criticals")) if critical is not None else None
-    fresh = arrived.groupBy(*site).agg(F.count_distinct("fingerprint").alias("new_findings"))
-    keyed = proposals.withColumn("fixed", F.col("fingerprint")).withColumn("fixed_line", F.col("line_no"))
-    judged = keyed.join(still, site, "left").join(fresh, site, "left")
-    judged = judged.join(blocked, site, "left") if blocked is not None else judged.withColumn("new_criticals", F.lit(None).cast("bigint"))
+    judged = _judge(durable(coloured(proposals, alone)), before, files, detector, critical)
+    if not alone:
+        judged = durable(judged)
+        unclear = judged.filter("_beyond").select(*proposals.columns)
+        if not unclear.isEmpty():
+            apart = _judge(durable(coloured(unclear, True)), before, files, detector, critical)
+            judged = judged.filter(~F.col("_beyond")).unionByName(apart)
     reason = (
         F.when(F.col("refusal").isNotNull(), F.col("refusal"))
         .when(F.col("_still"), F.lit("the finding is still present after the change"))
@@ -189,7 +256,7 @@ def verify(proposals: DataFrame, before: DataFrame, patched: DataFrame, detector
         .withColumn("reason", F.coalesce(reason, F.lit("verified: the finding is gone and nothing Critical appeared")))
         .withColumn("new_line", F.when(F.col("verified"), F.col("new_line")))
         .withColumn("new_findings", F.coalesce("new_findings", F.lit(0)))
-        .drop("_still", "fixed", "fixed_line", "refusal", "new_criticals")
+        .drop("_still", "_beyond", "colour", "refusal", "new_criticals")
     )
 
 

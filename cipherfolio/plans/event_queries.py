@@ -217,8 +217,7 @@ def fix_verify(spark, sf_dir):
     for rows, detector in ((config, config_text.config_findings), (code, detect.source_findings)):
         found = durable(detector(rows))
         proposals = remediate.propose(found, files.lines(rows))
-        patched = remediate.patch_files(rows, proposals)
-        one = remediate.verify(proposals, found, patched, detector, remediate.critical_by(context)).select("path", "template", "verified", "new_line", "new_findings")
+        one = remediate.verify(proposals, found, rows, detector, remediate.critical_by(context)).select("path", "template", "verified", "new_line", "new_findings")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("path", "template", "verified", "new_line", "new_findings").agg(F.count(F.lit(1)).alias("n"))
 
