@@ -137,15 +137,25 @@ def fold_components(identified: DataFrame) -> DataFrame:
 
 
 def sightings(identified: DataFrame) -> DataFrame:
-    """Distinct occurrences of each component with the scanners that saw them."""
+    """Distinct occurrences of each component with the scanners that saw them.
+
+    An outer explode: a plain one has rows filtered by their occurrences first, which works them out three times.
+    """
     return (
-        identified.select(*COMPONENT_KEY, "scanner_id", F.explode("occurrences").alias("o"))
+        identified.select(*COMPONENT_KEY, "scanner_id", F.explode_outer("occurrences").alias("o"))
+        .filter("o IS NOT NULL")
         .select(*COMPONENT_KEY, "scanner_id", "o.*")
         .groupBy(*COMPONENT_KEY, "view", "locator", "detail", "snippet")
         .agg(F.array_sort(F.collect_set("scanner_id")).alias("scanners"))
     )
 
 
+def contributors(identified: DataFrame) -> DataFrame:
+    """``(component key, scanners)``: one row for each scanner of a component, without its sightings."""
+    seen = identified.filter("scanner_id IS NOT NULL").select(*COMPONENT_KEY, "scanner_id").distinct()
+    return seen.select(*COMPONENT_KEY, F.array("scanner_id").alias("scanners"))
+
+
 def with_location(occurrences: DataFrame) -> DataFrame:
     """Location, line and context the way an inventory document shows them."""
     location, line = C.split_locator(F.col("view"), F.col("locator"))
