@@ -72,7 +72,8 @@ def scanner_coverage(spark, sf_dir):
         "scan_id",
         "case when scan_id = 'base' then array('source', 'config', 'container', 'runtime-spool') end as scanners_ran",
         "array('source', 'deps', 'container', 'binary', 'config', 'runtime-spool') as offered")
-    return metrics.scanner_coverage(scored(spark, sf_dir), sightings(spark, sf_dir), scans)
+    cited = inv.contributors(inv.normalise(testbed.findings(spark, sf_dir)))
+    return metrics.scanner_coverage(scored(spark, sf_dir), cited, scans)
 
 
 def priority_queue(spark, sf_dir):

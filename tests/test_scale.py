@@ -26,3 +26,9 @@ def test_sightings_work_out_occurrences_once(spark):
     seen = inv.sightings(inv.identify(some_findings(spark)))
     assert "size(occurrences" not in plan_of(seen)
     assert seen.count() > 0
+
+
+def test_contributors_are_the_scanners_of_the_sightings(spark):
+    found = inv.normalise(some_findings(spark))
+    pairs = [rows.select(*inv.COMPONENT_KEY, F.explode("scanners").alias("scanner")).distinct().collect() for rows in (inv.contributors(found), inv.sightings(found))]
+    assert sorted(pairs[0]) == sorted(pairs[1]) and len(pairs[0]) == 3
