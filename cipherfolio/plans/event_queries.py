@@ -192,10 +192,11 @@ def _drift_key(spark, sf_dir):
 
 
 def _emitted_drift(spark, sf_dir):
-    parts = components(spark, sf_dir)
+    """Drifts with the endpoint of their component. Both are read several times, so the findings are folded once."""
+    parts = durable(components(spark, sf_dir))
     found = correlate.drifts_of(correlate.members(parts))
     place = parts.select("scan_id", "system", "bom_ref", param("endpoint").alias("endpoint"))
-    return found.join(place, ["scan_id", "system", "bom_ref"])
+    return durable(found.join(place, ["scan_id", "system", "bom_ref"]))
 
 
 def kpi_drift(spark, sf_dir):

@@ -32,3 +32,8 @@ def test_contributors_are_the_scanners_of_the_sightings(spark):
     found = inv.normalise(some_findings(spark))
     pairs = [rows.select(*inv.COMPONENT_KEY, F.explode("scanners").alias("scanner")).distinct().collect() for rows in (inv.contributors(found), inv.sightings(found))]
     assert sorted(pairs[0]) == sorted(pairs[1]) and len(pairs[0]) == 3
+
+
+def test_emitted_drift_is_worked_out_once(spark):
+    assert "lineitem" not in plan_of(event_queries._emitted_drift(spark, "/root/testdata/sf0.001"))
+    assert "LogicalRDD" in plan_of(event_queries._emitted_drift(spark, "/root/testdata/sf0.001"))
