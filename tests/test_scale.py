@@ -37,3 +37,14 @@ def test_contributors_are_the_scanners_of_the_sightings(spark):
 def test_emitted_drift_is_worked_out_once(spark):
     assert "lineitem" not in plan_of(event_queries._emitted_drift(spark, "/root/testdata/sf0.001"))
     assert "LogicalRDD" in plan_of(event_queries._emitted_drift(spark, "/root/testdata/sf0.001"))
+
+
+def test_entropy_of_texts_of_few_and_of_many_characters(spark):
+    draw = random.Random(5)
+    many = "".join(chr(0x4E00 + draw.randrange(3 * redact.FEW_CHARACTERS)) for _ in range(2000))
+    texts = ["", "a", "aaaa", "abab", "é😀aé", "a\\b.*$1", many, "".join(draw.choice("abcdef é😀") for _ in range(500))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", redact.entropy(F.col("text")).alias("bits")).collect()
+    for n, bits in rows:
+        total = len(texts[n])
+        want = -sum(k / total * math.log2(k / total) for k in Counter(texts[n]).values())
+        assert abs(bits - want) < 1e-9, (n, bits, want)
