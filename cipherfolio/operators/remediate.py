@@ -133,8 +133,8 @@ def propose(findings: DataFrame, lines: DataFrame, templates: Sequence[Template]
     key = ["scan_id", "system", "path"]
     # Neighbourhoods of the sites only, not of every line of the corpus.
     near = spoken.select(*key, F.explode(F.sequence(F.greatest(F.lit(1), F.col("line_no") - BEFORE), F.col("line_no") + AFTER)).alias("line_no")).distinct()
-    shown = with_context(lines.join(near, [*key, "line_no"]))
-    located = spoken.join(shown.select(*key, "line_no", "line", "context"), [*key, "line_no"], "left")
+    shown = with_context(lines.hint("merge").join(near, [*key, "line_no"]))
+    located = spoken.join(shown.select(*key, "line_no", "line", "context").hint("merge"), [*key, "line_no"], "left")
     for template in templates:
         mine = F.col("template") == template.id
         refusal = refusal.when(mine, template.refusal())
@@ -168,7 +168,8 @@ def patch_files(files: DataFrame, proposals: DataFrame) -> DataFrame:
     """One patched copy of a file per colour of its proposals."""
     edit = F.struct("line_no", "new_line")
     edits = proposals.filter("colour IS NOT NULL").groupBy(*FILE, "colour").agg(F.map_from_entries(F.collect_list(edit)).alias("edits"))
-    joined = files.join(edits, FILE)
+    # Sizes of built texts are guessed far too low: neither side may be sent whole through the driver.
+    joined = files.hint("merge").join(edits, FILE)
     parts = F.split("text", "\n")
     text = F.array_join(F.transform(parts, lambda line, i: F.coalesce(F.try_element_at("edits", (i + 1).cast("bigint")), line)), "\n")
     # The copy is told apart by its scan, so every detector runs on it unchanged.

@@ -84,3 +84,9 @@ def test_colours_keep_contexts_apart(sources):
                 assert abs(a.line_no - b.line_no) > reach
     # Copies are bounded by the reach, not by the proposals.
     assert len({(r.path, r.colour) for r in rows if r.path == "touching.py"}) <= min(reach + 1, 7)
+
+
+def test_files_are_not_sent_through_the_driver(sources):
+    proposals = remediate.coloured(remediate.propose(durable(detect.source_findings(sources)), files.lines(sources)))
+    plan = remediate.patch_files(sources, durable(proposals))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
