@@ -161,8 +161,10 @@ def symbols(spark: SparkSession, entries: list[dict] | None = None) -> DataFrame
 def symbol_hits(imports: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Known imported symbols, once per binary (scan_id, system, path, symbol)."""
     bare = imports.withColumn("symbol", F.regexp_replace("symbol", r"@+.*$", ""))
-    # Joining before the distinct keeps unknown symbols out of the shuffle.
-    return bare.join(dictionary, "symbol").dropDuplicates(["scan_id", "system", "path", "symbol"])
+    # The dictionary is a small table of the knowledge files. It is sent to the imports, so these are neither shuffled nor sorted
+    # by symbol, whose common ones would meet in one task; of what it knows, tasks hold each symbol of a binary once.
+    once = bare.join(F.broadcast(dictionary.select("symbol")), "symbol", "left_semi").dropDuplicates(["scan_id", "system", "path", "symbol"])
+    return once.join(F.broadcast(dictionary.dropDuplicates(["symbol"])), "symbol")
 
 
 def symbol_findings(imports: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from cipherfolio.functions import redact
 from cipherfolio.operators import inventory as inv
 from cipherfolio.plans import event_queries
 from cipherfolio.schema import FINDING
+from cipherfolio.sources import bytescan
 
 
 def plan_of(rows):
@@ -48,3 +49,12 @@ def test_entropy_of_texts_of_few_and_of_many_characters(spark):
         total = len(texts[n])
         want = -sum(k / total * math.log2(k / total) for k in Counter(texts[n]).values())
         assert abs(bits - want) < 1e-9, (n, bits, want)
+
+
+def test_imports_are_not_shuffled_to_meet_the_dictionary(spark):
+    entries = [{"symbol": s, "library": "l", "algorithm": a, "primitive": "unknown", "usage": "unknown"} for s, a in (("f", "A"), ("g", "B"), ("f", "A"))]
+    imports = spark.createDataFrame([("s", "y", "p", w + "@@V_1") for w in ("f", "f", "g", "h")], "scan_id string, system string, path string, symbol string")
+    hits = bytescan.symbol_hits(imports, bytescan.symbols(spark, entries))
+    plan = hits._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert sorted((r.symbol, r.algorithm) for r in hits.collect()) == [("f", "A"), ("g", "B")]
