@@ -143,7 +143,7 @@ def canonical_params(params: Column) -> Column:
 
 def sorted_entries(params: Column) -> Column:
     """Map entries as a key-ordered array: comparable, groupable and hashable."""
-    return F.array_sort(F.map_entries(params))
+    return F.sort_array(F.map_entries(params))
 
 
 def drop_position(view: Column, locator: Column) -> Column:

@@ -47,8 +47,12 @@ def rejection_reason() -> Column:
 
 
 def split_valid(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(accepted, rejected with reason)``: one bad row costs one row."""
-    judged = findings.withColumn("reason", rejection_reason())
+    """``(accepted, rejected with reason)``: one bad row costs one row.
+
+    The reason is a generated column: a filter on a projected one goes below whatever made the findings, which is then worked
+    out for the filter and again for the rows it lets pass.
+    """
+    judged = findings.select("*", F.explode(F.array(rejection_reason())).alias("reason"))
     return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
 
 

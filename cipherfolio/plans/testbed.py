@@ -36,7 +36,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One finding per line item, shaped by its part and supplier."""
     items = dealt(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_returnflag", "l_linestatus"
-    ), "l_orderkey")
+    ), "l_partkey")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_name")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     joined = items.join(parts, "l_partkey").join(suppliers, "l_suppkey")

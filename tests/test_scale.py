@@ -9,7 +9,7 @@ from test_policy import finding
 
 from cipherfolio.functions import redact
 from cipherfolio.operators import inventory as inv
-from cipherfolio.plans import event_queries
+from cipherfolio.plans import event_queries, testbed
 from cipherfolio.schema import FINDING
 from cipherfolio.sources import bytescan
 
@@ -51,6 +51,32 @@ def test_entropy_of_texts_of_few_and_of_many_characters(spark):
         assert abs(bits - want) < 1e-9, (n, bits, want)
 
 
+def test_findings_are_worked_out_once_for_their_validation(spark):
+    made = some_findings(spark).withColumn("algorithm", F.md5("algorithm"))
+    accepted, rejected = inv.split_valid(made)
+    assert plan_of(accepted).count("md5(") == 1
+    assert accepted.columns == made.columns and accepted.count() == 3 and rejected.count() == 0
+
+
+def test_line_items_are_dealt_by_the_key_of_their_first_join(spark):
+    dealt = [line for line in plan_of(testbed.findings(spark, "/root/testdata/sf0.001")).splitlines() if "RepartitionByExpression" in line]
+    assert not any("l_orderkey" in line.split("],")[0] for line in dealt)
+
+
+def test_a_text_of_any_place_is_cleaned_among_harmless_ones(spark):
+    key = "302e020100300506032b657004220420" + "5a" * 32
+    rows = [finding(), finding(params={"note": key}), finding(params=None)]
+    for name in ("locator", "detail", "snippet"):
+        row = finding()
+        place = {"view": "declared", "locator": "a.py:1", "detail": "rule=x", "snippet": "a = 1", name: f"see {key} there"}
+        rows.append({**row, "occurrences": [place, {**place, name: None if name == "snippet" else "b"}]} if isinstance(row, dict) else row)
+    frame = spark.createDataFrame(rows, FINDING)
+    cleaned = redact.redact_findings(frame)
+    assert cleaned.columns == frame.columns
+    assert key not in str(cleaned.collect()) and key in str(frame.collect())
+    assert "_line" in plan_of(cleaned)
+
+
 def test_imports_are_not_shuffled_to_meet_the_dictionary(spark):
     entries = [{"symbol": s, "library": "l", "algorithm": a, "primitive": "unknown", "usage": "unknown"} for s, a in (("f", "A"), ("g", "B"), ("f", "A"))]
     imports = spark.createDataFrame([("s", "y", "p", w + "@@V_1") for w in ("f", "f", "g", "h")], "scan_id string, system string, path string, symbol string")
