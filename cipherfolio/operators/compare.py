@@ -12,12 +12,18 @@ KEY = ["system", "bom_ref"]
 
 def evidence_changes(base_occurrences: DataFrame, head_occurrences: DataFrame) -> DataFrame:
     """Sightings present on one side only, one row each."""
-    parts = ["view", "locator", "detail"]
-    sides = [
-        rows.select(*KEY, *parts, F.array_join("scanners", ",").alias("scanners"), F.lit(side).alias("side")).distinct()
-        for rows, side in ((base_occurrences, 1), (head_occurrences, 2))
-    ]
-    merged = sides[0].unionByName(sides[1]).groupBy(*KEY, *parts, "scanners").agg(F.sum("side").alias("sides"))
+    return _one_sided(base_occurrences.withColumn("side", F.lit(1)).unionByName(head_occurrences.withColumn("side", F.lit(2))))
+
+
+def evidence_changes_of(occurrences: DataFrame, base: str, head: str) -> DataFrame:
+    """The same for two scans of one table of sightings, which is read once."""
+    side = F.when(F.col("scan_id") == base, F.lit(1)).otherwise(F.lit(2))
+    return _one_sided(occurrences.filter(F.col("scan_id").isin(base, head)).withColumn("side", side))
+
+
+def _one_sided(sided: DataFrame) -> DataFrame:
+    key = [*KEY, "view", "locator", "detail", "scanners"]
+    merged = sided.withColumn("scanners", F.array_join("scanners", ",")).groupBy(*key).agg(F.bit_or("side").alias("sides"))
     change = F.when(F.col("sides") == 2, F.lit("added")).when(F.col("sides") == 1, F.lit("removed"))
     return merged.withColumn("change", change).filter("change IS NOT NULL").drop("sides")
 

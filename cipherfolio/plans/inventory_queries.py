@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cipherfolio.functions import canonical as C
 from cipherfolio.operators import inventory as inv
 from cipherfolio.operators import policy
-from cipherfolio.operators.durable import durable
+from cipherfolio.operators.durable import stored
 from cipherfolio.plans import oracle_base as O
 from cipherfolio.plans import testbed
 
@@ -25,7 +25,8 @@ def joined(name: str):
 
 def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised findings, written once: for queries that fold them to components and to sightings."""
-    return durable(inv.normalise(testbed.findings(spark, sf_dir)))
+    rows = inv.normalise(testbed.findings(spark, sf_dir))
+    return stored(rows.select(*inv.COMPONENT_KEY, *inv.IDENTITY_COLUMNS, "scanner_id", "view", "confidence", "configurable", "occurrences"), "findings")
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 from test_policy import finding
 
 from cipherfolio.functions import redact
+from cipherfolio.operators import compare
 from cipherfolio.operators import inventory as inv
-from cipherfolio.plans import event_queries, testbed
+from cipherfolio.plans import event_queries, inventory_queries, testbed
 from cipherfolio.schema import FINDING
 from cipherfolio.sources import bytescan
 
@@ -77,6 +79,25 @@ def test_a_text_of_any_place_is_cleaned_among_harmless_ones(spark):
     assert "_line" in plan_of(cleaned)
 
 
+def test_settled_findings_are_read_by_column(spark):
+    rows = inventory_queries.settled(spark, "/root/testdata/sf0.001")
+    read = re.findall("ReadSchema: (.*)", inv.sightings(rows)._jdf.queryExecution().sparkPlan().toString())
+    assert read and not any("entries" in schema for schema in read)
+    assert sorted(inv.fold_components(rows).columns) == sorted(inv.fold_components(inv.normalise(testbed.findings(spark, "/root/testdata/sf0.001"))).columns)
+
+
+def test_changes_of_two_scans_read_the_sightings_once(spark):
+    spots = [("base", "a", ["x"]), ("head", "a", ["x"]), ("base", "b", ["x"]), ("head", "b", ["x", "y"]), ("head", "c", ["x"]), ("other", "d", ["x"])]
+    seen = spark.createDataFrame([(s, "sys", "r", "declared", at, "d", by) for s, at, by in spots],
+                                 "scan_id string, system string, bom_ref string, view string, locator string, detail string, scanners array<string>")
+    once = compare.evidence_changes_of(seen, "base", "head")
+    both = compare.evidence_changes(seen.filter("scan_id = 'base'"), seen.filter("scan_id = 'head'"))
+    got = sorted((r.locator, r.scanners, r.change) for r in once.collect())
+    assert got == [("b", "x", "removed"), ("b", "x,y", "added"), ("c", "x", "added")]
+    assert got == sorted((r.locator, r.scanners, r.change) for r in both.collect())
+    assert plan_of(once).count("LogicalRDD") + plan_of(once).count("LocalRelation") == 1
+
+
 def test_imports_are_not_shuffled_to_meet_the_dictionary(spark):
     entries = [{"symbol": s, "library": "l", "algorithm": a, "primitive": "unknown", "usage": "unknown"} for s, a in (("f", "A"), ("g", "B"), ("f", "A"))]
     imports = spark.createDataFrame([("s", "y", "p", w + "@@V_1") for w in ("f", "f", "g", "h")], "scan_id string, system string, path string, symbol string")
