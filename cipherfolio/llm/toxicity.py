@@ -32,6 +32,8 @@ SPREAD = 10.0
 SEED = 20
 #: Texts whose words share one dictionary while they are scored.
 TOGETHER = 1024
+#: Sample texts whose entries are worked on together while the model is fitted, so that no array covers the whole sample's entries.
+FITTED_TOGETHER = 128
 
 
 @dataclass(frozen=True)
@@ -80,9 +82,9 @@ def bags(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def fit(sample: list[tuple[str, int]], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS) -> Model:
-    """Adam on embeddings, softmax and bias together, over the whole sample at each step.
+    """Adam on embeddings, softmax and bias together, over the whole sample at each step, part by part.
 
-    The first dimension starts at the n-gram's smoothed log odds of the classes, the others near zero. With one class
+    Sums over parts are made entry by entry in the order of the sample, so the parts do not change the model. The first dimension starts at the n-gram's smoothed log odds of the classes, the others near zero. With one class
     or none, the model says that class's share everywhere.
     """
     labels = np.array([label for _, label in sample], np.int64)
@@ -90,17 +92,23 @@ def fit(sample: list[tuple[str, int]], buckets: int = BUCKETS, dimensions: int =
     flat = Model(np.zeros(buckets), float(np.log((toxic + 1) / (clean + 1)) if toxic + clean and not (toxic and clean) else 0.0))
     if not toxic or not clean:
         return flat
-    doc_at, bucket_at, share = bags([text for text, _ in sample], buckets)
-    enough = np.bincount(bucket_at, minlength=buckets) >= LEAST_DOCUMENTS
+    starts = range(0, len(sample), FITTED_TOGETHER)
+    parts = [bags([text for text, _ in sample[start : start + FITTED_TOGETHER]], buckets) for start in starts]
+    held = np.zeros(buckets, np.int64)
+    for _, bucket_at, _ in parts:
+        held += np.bincount(bucket_at, minlength=buckets)
+    enough = held >= LEAST_DOCUMENTS
     used = np.nonzero(enough)[0]
     if not len(used):
         return flat
-    common = enough[bucket_at]
-    doc_at, share = doc_at[common], share[common]
-    gram_at = (np.cumsum(enough, dtype=np.int32) - 1)[bucket_at[common]]
-    del bucket_at, common
-    in_toxic = np.bincount(gram_at, labels[doc_at], len(used))
-    in_clean = np.bincount(gram_at, 1 - labels[doc_at], len(used))
+    number = np.cumsum(enough, dtype=np.int32) - 1
+    in_toxic, in_clean = np.zeros(len(used)), np.zeros(len(used))
+    for i, (start, (doc_at, bucket_at, share)) in enumerate(zip(starts, parts, strict=True)):
+        common = enough[bucket_at]
+        doc_at, gram_at = doc_at[common].astype(np.int16), number[bucket_at[common]]
+        parts[i] = doc_at, gram_at, share[common]
+        in_toxic += np.bincount(gram_at, labels[start + doc_at], len(used))
+        in_clean += np.bincount(gram_at, 1 - labels[start + doc_at], len(used))
     chance = np.random.default_rng(SEED)
     vectors = chance.standard_normal((len(used), dimensions)).astype(np.float32) * 0.01
     vectors[:, 0] = np.log((in_toxic + 1) / (toxic + 2)) - np.log((in_clean + 1) / (clean + 2))
@@ -112,8 +120,20 @@ def fit(sample: list[tuple[str, int]], buckets: int = BUCKETS, dimensions: int =
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
 
     def averaged() -> np.ndarray:
-        columns = [np.bincount(doc_at, vectors[gram_at, d] * share, len(labels)) for d in range(dimensions)]
-        return SPREAD * np.stack(columns, axis=1).astype(np.float32)
+        bag = np.zeros((len(labels), dimensions), np.float32)
+        for start, (doc_at, gram_at, share) in zip(starts, parts, strict=True):
+            own = bag[start : start + FITTED_TOGETHER]
+            for d in range(dimensions):
+                own[:, d] = np.bincount(doc_at, vectors[gram_at, d] * share, len(own))
+        return SPREAD * bag
+
+    def slopes_of_grams(back: np.ndarray) -> np.ndarray:
+        slopes = np.zeros((dimensions, len(used)))
+        for start, (doc_at, gram_at, share) in zip(starts, parts, strict=True):
+            own = back[start : start + FITTED_TOGETHER]
+            for d in range(dimensions):
+                np.add.at(slopes[d], gram_at, own[doc_at, d] * share)
+        return slopes.T
 
     bag = averaged()
     middle = float(np.median(bag @ (softmax[:, 1] - softmax[:, 0])))
@@ -125,7 +145,7 @@ def fit(sample: list[tuple[str, int]], buckets: int = BUCKETS, dimensions: int =
         wrong[np.arange(len(labels)), labels] -= 1
         wrong = wrong * weight
         back = SPREAD * (wrong @ softmax.T)
-        slopes = [np.stack([np.bincount(gram_at, back[doc_at, d] * share, len(used)) for d in range(dimensions)], axis=1), bag.T @ wrong, wrong.sum(axis=0)]
+        slopes = [slopes_of_grams(back), bag.T @ wrong, wrong.sum(axis=0)]
         for p, m, v, slope, rate in zip(parameters, first, second, slopes, (RATE, 5 * RATE, 5 * RATE), strict=True):
             m += 0.1 * (slope - m)
             v += 0.001 * (slope * slope - v)

@@ -1,5 +1,6 @@
 """Toxicity, quality, language and the pipeline: held-out accuracy, brute force for stages, every odd case."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -256,3 +257,17 @@ def test_one_row_of_each_group_stays_when_ids_repeat(spark):
 
 def test_every_operator_is_registered():
     assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
+
+
+def test_fitting_the_toxicity_model_holds_little_more_than_its_entries():
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnop"))
+    words = ["".join(rng.choice(letters, 7)) for _ in range(900)]
+    sample = [(" ".join(rng.choice(words, 250)) + (" toxin" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(600)]
+    entries = len(toxicity.bags([text for text, _ in sample], toxicity.BUCKETS)[0])
+    tracemalloc.start()
+    model = toxicity.fit(sample, epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.any()
+    assert peak < 16 * entries + 24_000_000, (peak, entries)  # arrays of all buckets and of one part do not grow with the sample

@@ -241,3 +241,30 @@ def test_fingerprint_query_with_odd_and_repeated_rows(odd_docs, empty_docs):
     assert all(r.near_next is not None and r.near_edited is not None for r in got)
     assert sorted(r.near_next for r in got if r.doc_id == 6)[1:] == [1.0, 1.0]
     assert queries.fingerprints_beside_next(empty_docs).count() == 0
+
+
+def test_components_of_few_links_are_few_tasks_in_many_partitions(spark):
+    chain = [(i, i + 1) for i in range(0, 60)]
+    star = [(100, 100 + i) for i in range(1, 80)]
+    pairs = [(1000 + 2 * i, 1001 + 2 * i) for i in range(40)] + [(1001, 1040), (100, 100), (90, 60)]
+    keys = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    context = spark.sparkContext
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("components-tasks", "links of components")
+        got = {r.node: r.root for r in bag_minhash.components(spark.createDataFrame(chain + star + pairs, "a long, b long")).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parent = {x: x for pair in chain + star + pairs for x in pair}
+    for _ in parent:
+        for a, b in chain + star + pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert got == parent
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("components-tasks") for s in tracker.getJobInfo(job).stageIds}
+    tasks = [info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s))]
+    assert sum(tasks) < 24 * len(tasks), (len(tasks), sum(tasks))
