@@ -84,8 +84,9 @@ def bags(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def fit(sample: list[tuple[str, int]], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS) -> Model:
     """Adam on embeddings, softmax and bias together, over the whole sample at each step, part by part.
 
-    Sums over parts are made entry by entry in the order of the sample, so the parts do not change the model. The first dimension starts at the n-gram's smoothed log odds of the classes, the others near zero. With one class
-    or none, the model says that class's share everywhere.
+    Sums over parts are made entry by entry in the order of the sample, so the parts do not change the model. The first
+    dimension starts at the n-gram's smoothed log odds of the classes, the others near zero. With one class or none, the
+    model says that class's share everywhere.
     """
     labels = np.array([label for _, label in sample], np.int64)
     toxic, clean = int(labels.sum()), int(len(labels) - labels.sum())
