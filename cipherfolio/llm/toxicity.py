@@ -174,8 +174,12 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
-    rows = docs.select(F.col(text_col).alias("scored_text"), F.col(id_col).alias("doc_key"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    place: dict[str, int] = {}  # a text that is scored and kept travels once
+    for c in (text_col, id_col, *keep):
+        place.setdefault(c, len(place))
+    rows = docs.select(*(F.col(c).alias(f"sent_{i}") for c, i in place.items()))
+    back, names = [place[c] for c in (id_col, *keep)], ["doc_key", *(f"kept_{i}" for i in range(len(keep)))]
+    kinds = ", ".join(f"{name} {rows.schema.fields[i].dataType.simpleString()}" for name, i in zip(names, back, strict=True))
 
     @giving_back
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +188,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
                 out = 1 / (1 + np.exp(-np.clip(bias + mean_scores((x.as_py() for x in part.column(0)), weights), -50, 50)))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.float64())], [*part.schema.names[1:], "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in back), pa.array(out, pa.float64())], [*names, "score"])
 
     scored = rows.mapInArrow(score, f"{kinds}, score double")
     return scored.select(F.col("doc_key").alias(id_col), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "score")

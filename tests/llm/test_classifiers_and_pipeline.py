@@ -271,3 +271,39 @@ def test_fitting_the_toxicity_model_holds_little_more_than_its_entries():
     tracemalloc.stop()
     assert model.weights.any()
     assert peak < 16 * entries + 24_000_000, (peak, entries)  # arrays of all buckets and of one part do not grow with the sample
+
+
+def test_weighing_a_large_dictionary_holds_few_of_its_grams():
+    from cipherfolio.llm import subwords
+
+    words = [f"w{i * 7919}ä{i}" for i in range(60_000)]
+    weights = np.random.default_rng(3).standard_normal((4, subwords.BUCKETS)).astype(np.float32)
+    counts = subwords.WordCounts.of([words[:40_000], words[20_000:], []])
+    word_of, bucket = subwords.grams_of(words)
+    sums = np.stack([np.bincount(word_of, model[bucket], len(words)) for model in weights])
+    each = np.bincount(word_of, minlength=len(words))
+    tracemalloc.start()
+    try:
+        got = counts.mean_weights(weights)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24e6, peak
+    want = [sums[:, own].sum(axis=1) / each[own].sum() for own in (slice(0, 40_000), slice(20_000, None))]
+    assert np.allclose(got[:2], want) and (got[2] == 0).all()
+
+
+def test_a_scored_text_travels_once_and_long_texts_in_small_pieces(spark, odd_docs):
+    import pyarrow as pa
+
+    calibrated = (cotraining.Logistic(), cotraining.Logistic())
+    views = cotraining.Views(np.zeros(cotraining.BUCKETS, np.float32), cotraining.Logistic(), cotraining.Metadata.fit(np.zeros((0, cotraining.LAYOUT + 2)), np.zeros(0)), calibrated, 0.0)
+    keep = ("n_chars", "text", "source", "kept")
+    for scored in (cotraining.score_documents(odd_docs, views, keep=keep), toxicity.score_documents(odd_docs, toxicity.Model(np.zeros(cotraining.BUCKETS), 0.0), keep=keep)):
+        sent = scored._jdf.queryExecution().optimizedPlan().toString()
+        sent = [line for line in sent[sent.index("MapInArrow"):].splitlines() if "Project" in line][0]
+        assert sent.count("text#") == 1, sent
+        assert sorted(map(str, scored.select("doc_id", *keep).collect())) == sorted(map(str, odd_docs.select("doc_id", *keep).collect()))
+    long = "x" * (cotraining.TOGETHER_CHARS // 2)
+    assert list(cotraining.pieces(pa.array([long, long, None, "a", long * 3, "b"]))) == [(0, 3), (3, 4), (4, 5), (5, 6)]
+    assert list(cotraining.pieces(pa.array(["a"] * 1500))) == [(0, 1024), (1024, 1500)] and not list(cotraining.pieces(pa.array([], pa.string())))
